@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartwright.functions.columns import valid_transaction
+from cartwright.functions.columns import placeholder_transaction, valid_transaction
 from cartwright.operators.sessions import SESSION
 
 GRAINS = {
@@ -202,3 +202,15 @@ def session_transaction_count(purchases: DataFrame) -> DataFrame:
         .groupBy(*SESSION)
         .agg(F.count_distinct("transaction_id").alias("transaction_ids_in_session"))
     )
+
+
+def placeholder_sessions(purchases: DataFrame) -> DataFrame:
+    """Events and revenue versions of each session's purchases without a usable id."""
+    return (
+        purchases.where(placeholder_transaction())
+        .groupBy(*SESSION)
+        .agg(
+            F.count("*").alias("purchase_events"),
+            F.count_distinct("purchase_revenue").alias("revenue_versions"),
+        )
+    )
