@@ -185,9 +185,9 @@ ORDERS = orders_cte("od", "uid, sid, txn")
 DAY_ORDERS = orders_cte("dd", "d, uid, sid, txn")
 USER_ORDERS = orders_cte("ud", "uid, txn")
 
-STARTED = """count_if(st = 1) AS sessions, count_if(st = 1 AND vi = 1) AS product_view_sessions,
-    count_if(st = 1 AND ch = 1) AS checkout_sessions,
-    count_if(st = 1 AND pu = 1) AS purchase_sessions"""
+STARTED = """count(*) FILTER (st = 1) AS sessions, count(*) FILTER (st = 1 AND vi = 1) AS product_view_sessions,
+    count(*) FILTER (st = 1 AND ch = 1) AS checkout_sessions,
+    count(*) FILTER (st = 1 AND pu = 1) AS purchase_sessions"""
 
 PLAIN_RATES = f"""{pct('product_view_sessions', 'sessions')} AS product_view_rate_pct,
   {pct('checkout_sessions', 'product_view_sessions')} AS view_to_checkout_pct,
@@ -261,9 +261,9 @@ lb AS (
                          THEN 1 ELSE 0 END) AS again
   FROM fo f JOIN od o ON o.uid = f.uid GROUP BY f.uid),
 pt AS (
-  SELECT f.uid, count(DISTINCT e.sid) AS ns, count_if(e.nm = 'view_item') AS nv,
-    count_if(e.nm = 'add_to_cart') AS na, count_if(e.nm = 'begin_checkout') AS nc,
-    count_if(e.nm = 'view_search_results') AS nq, min(e.us) FILTER (e.nm = 'first_visit') AS fvt
+  SELECT f.uid, count(DISTINCT e.sid) AS ns, count(*) FILTER (e.nm = 'view_item') AS nv,
+    count(*) FILTER (e.nm = 'add_to_cart') AS na, count(*) FILTER (e.nm = 'begin_checkout') AS nc,
+    count(*) FILTER (e.nm = 'view_search_results') AS nq, min(e.us) FILTER (e.nm = 'first_visit') AS fvt
   FROM fo f JOIN ev e ON e.uid = f.uid AND e.us <= f.ots GROUP BY f.uid),
 ft AS (
   SELECT f.uid AS user_pseudo_id, f.oday AS first_order_date,
@@ -356,7 +356,7 @@ WITH sd AS (
   SELECT quality AS y, n_chars AS s, CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END AS guess
   FROM labels JOIN documents USING (doc_id)),
 at_score AS (
-  SELECT cast(s AS DOUBLE) AS s, count_if(y = 1) AS p, count_if(y <> 1) AS q FROM sd GROUP BY s),
+  SELECT cast(s AS DOUBLE) AS s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS q FROM sd GROUP BY s),
 cum AS (
   SELECT s, p, q, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp,
          sum(p) OVER () AS np, sum(q) OVER () AS nq

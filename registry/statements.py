@@ -188,8 +188,8 @@ def order_rows() -> dict[str, str]:
             pr AS (SELECT *, CASE WHEN first_day <= DATE '2024-01-07' THEN 'Jan 1-7'
                      ELSE 'Jan 8-15' END AS period
                    FROM cv WHERE first_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'),
-            ag AS (SELECT period, count(*) AS n, count_if(gap BETWEEN 0 AND 3) AS r3,
-                     count_if(gap BETWEEN 0 AND 7) AS r7, count_if(gap BETWEEN 0 AND 14) AS r14,
+            ag AS (SELECT period, count(*) AS n, count(*) FILTER (gap BETWEEN 0 AND 3) AS r3,
+                     count(*) FILTER (gap BETWEEN 0 AND 7) AS r7, count(*) FILTER (gap BETWEEN 0 AND 14) AS r14,
                      avg(gap) FILTER (gap BETWEEN 0 AND 14) AS ag, avg(n) AS an, avg(rev) AS ar
                    FROM pr GROUP BY period)
             SELECT period AS first_purchase_period, n AS first_time_purchasers,
@@ -247,7 +247,7 @@ def cohort_rows() -> dict[str, str]:
             FROM rr GROUP BY cw, size""",
         "retention_monthly_weighted": f"""{sm} SELECT strftime(cw, '%Y-%m') AS cohort_month,
             cast(sum(size) AS BIGINT) AS acquired_users,
-            count_if(cw + 7 <= last_day) AS cohorts_observed_for_week_1,
+            count(*) FILTER (cw + 7 <= last_day) AS cohorts_observed_for_week_1,
             {weighted(1)} AS weighted_week_1_retention_pct,
             {weighted(2)} AS weighted_week_2_retention_pct,
             {weighted(4)} AS weighted_week_4_retention_pct FROM cr GROUP BY cohort_month""",
@@ -263,9 +263,9 @@ def share_rows() -> dict[str, str]:
     counted = f"""{plain()}, fm AS (
         SELECT {PLAIN} AS family, count(*) AS views FROM ev WHERE nm = 'view_item' GROUP BY 1)"""
     return {
-        "safe_pct": f"""{plain()} SELECT {USER}, d AS event_day, count_if(nm = 'purchase') AS bought,
-            count_if(nm = 'view_item') AS viewed,
-            {pct("count_if(nm = 'purchase')", "count_if(nm = 'view_item')")} AS bought_per_view_pct
+        "safe_pct": f"""{plain()} SELECT {USER}, d AS event_day, count(*) FILTER (nm = 'purchase') AS bought,
+            count(*) FILTER (nm = 'view_item') AS viewed,
+            {pct("count(*) FILTER (nm = 'purchase')", "count(*) FILTER (nm = 'view_item')")} AS bought_per_view_pct
             FROM ev GROUP BY uid, d""",
         "share_of_total": f"""{plain()}, c AS (
             SELECT nm, dev, count(*) AS n FROM ev GROUP BY nm, dev)
@@ -288,9 +288,9 @@ def share_rows() -> dict[str, str]:
 
 def audit_reports() -> dict[str, str]:
     bought = "FROM ev WHERE nm = 'purchase'"
-    usable = f"count_if({STRICT})"
+    usable = f"count(*) FILTER ({STRICT})"
     coverage = f"""count(*) AS purchase_events, {usable} AS valid_transaction_events,
-        count_if({UNUSABLE}) AS placeholder_events,
+        count(*) FILTER ({UNUSABLE}) AS placeholder_events,
         {pct(usable, 'count(*)')} AS valid_transaction_pct"""
     core = "t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL AND t5 IS NOT NULL"
     ordered = f"{core} AND t1 <= t2 AND t2 <= t3 AND t3 <= t5 AND t5 <= t6"
@@ -306,7 +306,7 @@ def audit_reports() -> dict[str, str]:
             count(*) AS event_count, count(DISTINCT uid) AS users
             FROM ev WHERE nm IN ({FUNNEL}) GROUP BY nm""",
         "dq_purchase_transactions": f"""{plain()} SELECT count(*) AS purchase_events,
-            count_if(coalesce(txn, '') = '') AS missing_transaction_id,
+            count(*) FILTER (coalesce(txn, '') = '') AS missing_transaction_id,
             count(DISTINCT txn) AS unique_transaction_ids,
             count(DISTINCT {PAIR}) AS purchase_sessions,
             round(sum(rev), 2) AS summed_purchase_revenue {bought}""",
@@ -314,15 +314,15 @@ def audit_reports() -> dict[str, str]:
             ids AS (SELECT txn, count(*) AS n, count(DISTINCT uid) AS u,
                       count(DISTINCT {PAIR}) AS s, count(DISTINCT rev) AS r
                     FROM pu WHERE {LOOSE} GROUP BY txn)
-            SELECT (SELECT count_if(txn IS NULL) FROM pu) AS null_transaction_ids,
-              (SELECT count_if(txn = '') FROM pu) AS blank_transaction_ids,
+            SELECT (SELECT count(*) FILTER (txn IS NULL) FROM pu) AS null_transaction_ids,
+              (SELECT count(*) FILTER (txn = '') FROM pu) AS blank_transaction_ids,
               count(*) AS valid_unique_transactions,
-              count_if(n > 1) AS duplicated_transaction_ids,
+              count(*) FILTER (n > 1) AS duplicated_transaction_ids,
               cast(sum(n) AS BIGINT) AS purchase_events_with_valid_id,
               max(n) AS max_events_per_transaction,
-              count_if(u > 1) AS transaction_ids_multiple_users,
-              count_if(s > 1) AS transaction_ids_multiple_sessions,
-              count_if(r > 1) AS transaction_ids_revenue_mismatch FROM ids""",
+              count(*) FILTER (u > 1) AS transaction_ids_multiple_users,
+              count(*) FILTER (s > 1) AS transaction_ids_multiple_sessions,
+              count(*) FILTER (r > 1) AS transaction_ids_revenue_mismatch FROM ids""",
         "dq_repeated_transactions": f"""{plain()} SELECT txn AS transaction_id,
             count(*) AS purchase_events, count(DISTINCT uid) AS users,
             count(DISTINCT {PAIR}) AS sessions, count(DISTINCT rev) AS revenue_versions,
@@ -336,13 +336,13 @@ def audit_reports() -> dict[str, str]:
             ph AS (SELECT uid, sid, count(*) AS n, count(DISTINCT rev) AS r
                    {bought} AND {UNUSABLE} GROUP BY uid, sid)
             SELECT (SELECT count(*) FROM co) AS composite_orders,
-              (SELECT count_if(n > 1) FROM co) AS repeated_composite_orders,
-              (SELECT count_if(r > 1) FROM co) AS composite_revenue_mismatches,
+              (SELECT count(*) FILTER (n > 1) FROM co) AS repeated_composite_orders,
+              (SELECT count(*) FILTER (r > 1) FROM co) AS composite_revenue_mismatches,
               (SELECT max(n) FROM co) AS max_events_per_composite_order,
-              (SELECT count_if(n > 1) FROM so) AS sessions_with_multiple_transaction_ids,
+              (SELECT count(*) FILTER (n > 1) FROM so) AS sessions_with_multiple_transaction_ids,
               (SELECT count(*) FROM ph) AS placeholder_purchase_sessions,
-              (SELECT count_if(n > 1) FROM ph) AS repeated_placeholder_sessions,
-              (SELECT count_if(r > 1) FROM ph) AS placeholder_sessions_multiple_revenues""",
+              (SELECT count(*) FILTER (n > 1) FROM ph) AS repeated_placeholder_sessions,
+              (SELECT count(*) FILTER (r > 1) FROM ph) AS placeholder_sessions_multiple_revenues""",
         "dq_placeholder_patterns": f"""{plain()}, ph AS (
               SELECT *, count(*) OVER (PARTITION BY uid, sid) AS n
               {bought} AND {UNUSABLE} AND {KEYED})
@@ -351,10 +351,10 @@ def audit_reports() -> dict[str, str]:
         "dq_funnel_completeness": f"""{plain(STEPS)} SELECT count(*) AS purchase_sessions,
             count(*) - count(t1) AS missing_view_item, count(*) - count(t2) AS missing_add_to_cart,
             count(*) - count(t3) AS missing_checkout, count(*) - count(t4) AS missing_shipping,
-            count(*) - count(t5) AS missing_payment, count_if({core}) AS complete_core_funnel,
-            count_if({ordered}) AS complete_ordered_funnel,
-            {pct(f'count_if({core})', 'count(*)')} AS complete_core_pct,
-            {pct(f'count_if({ordered})', 'count(*)')} AS ordered_core_pct
+            count(*) - count(t5) AS missing_payment, count(*) FILTER ({core}) AS complete_core_funnel,
+            count(*) FILTER ({ordered}) AS complete_ordered_funnel,
+            {pct(f'count(*) FILTER ({core})', 'count(*)')} AS complete_core_pct,
+            {pct(f'count(*) FILTER ({ordered})', 'count(*)')} AS ordered_core_pct
             FROM tm WHERE t6 IS NOT NULL""",
         "dq_purchase_paths": f"""{plain(STEPS)} SELECT uid || '-' || sid AS session_key,
             make_timestamp(t0) AS session_start_time, make_timestamp(t1) AS view_item_time,
@@ -365,7 +365,7 @@ def audit_reports() -> dict[str, str]:
         "dq_daily_coverage": f"""{plain()} SELECT d AS event_date, count(*) AS purchase_events,
             count(DISTINCT {PAIR}) AS purchase_sessions,
             {usable} AS events_with_valid_transaction_id,
-            count_if({UNUSABLE}) AS events_with_placeholder_transaction_id,
+            count(*) FILTER ({UNUSABLE}) AS events_with_placeholder_transaction_id,
             count(DISTINCT CASE WHEN {STRICT} THEN uid || '|' || sid || '|' || txn END)
               AS clean_orders,
             {pct(usable, 'count(*)')} AS valid_transaction_event_pct
@@ -378,10 +378,10 @@ def audit_reports() -> dict[str, str]:
               SELECT count(DISTINCT rev) AS r, count(DISTINCT qty) AS q,
                 count(*) - count(rev) AS nr, count(*) - count(qty) AS nq
               {bought} AND {KEYED} AND {STRICT} GROUP BY uid, sid, txn)
-            SELECT count(*) AS orders, count_if(r > 1) AS revenue_mismatch_orders,
-              count_if(q > 1) AS quantity_mismatch_orders,
-              count_if(nr > 0) AS orders_with_null_revenue,
-              count_if(nq > 0) AS orders_with_null_quantity FROM oc""",
+            SELECT count(*) AS orders, count(*) FILTER (r > 1) AS revenue_mismatch_orders,
+              count(*) FILTER (q > 1) AS quantity_mismatch_orders,
+              count(*) FILTER (nr > 0) AS orders_with_null_revenue,
+              count(*) FILTER (nq > 0) AS orders_with_null_quantity FROM oc""",
     }
 
 
@@ -396,13 +396,13 @@ def kpi_reports() -> dict[str, str]:
     four = "sessions, product_view_sessions, checkout_sessions, purchase_sessions"
     return {
         "kpi_initial_funnel": f"""{ks} SELECT count(*) AS total_sessions,
-            count_if(vi = 1) AS product_view_sessions, count_if(ca = 1) AS cart_sessions,
-            count_if(ch = 1) AS checkout_sessions, count_if(pa = 1) AS payment_sessions,
-            count_if(pu = 1) AS purchase_sessions,
-            {pct('count_if(vi = 1)', 'count(*)')} AS session_to_view_pct,
-            {pct('count_if(ch = 1)', 'count_if(vi = 1)')} AS view_to_checkout_pct,
-            {pct('count_if(pu = 1)', 'count_if(ch = 1)')} AS checkout_to_purchase_pct,
-            {pct('count_if(pu = 1)', 'count(*)')} AS overall_session_conversion_pct FROM ks""",
+            count(*) FILTER (vi = 1) AS product_view_sessions, count(*) FILTER (ca = 1) AS cart_sessions,
+            count(*) FILTER (ch = 1) AS checkout_sessions, count(*) FILTER (pa = 1) AS payment_sessions,
+            count(*) FILTER (pu = 1) AS purchase_sessions,
+            {pct('count(*) FILTER (vi = 1)', 'count(*)')} AS session_to_view_pct,
+            {pct('count(*) FILTER (ch = 1)', 'count(*) FILTER (vi = 1)')} AS view_to_checkout_pct,
+            {pct('count(*) FILTER (pu = 1)', 'count(*) FILTER (ch = 1)')} AS checkout_to_purchase_pct,
+            {pct('count(*) FILTER (pu = 1)', 'count(*)')} AS overall_session_conversion_pct FROM ks""",
         "kpi_session_base": f"""{plain()} SELECT {KEYS}, uid || '-' || sid AS session_key,
             min(us) AS first_event_timestamp, max(us) AS last_event_timestamp,
             {has('view_item')} AS viewed_item, {has('add_to_cart')} AS added_to_cart,
@@ -411,11 +411,11 @@ def kpi_reports() -> dict[str, str]:
             {has('add_payment_info')} AS added_payment_info, {has('purchase')} AS purchased
             FROM ev WHERE {KEYED} AND nm IN ({FUNNEL}) GROUP BY uid, sid
             ORDER BY uid, sid LIMIT 100""",
-        "kpi_validated_funnel": f"""{ks}, n AS (SELECT count(*) AS k, count_if(st = 1) AS s,
-              count_if(st = 1 AND vi = 1) AS v, count_if(st = 1 AND ch = 1) AS c,
-              count_if(st = 1 AND vi = 1 AND ch = 1) AS vc,
-              count_if(st = 1 AND ch = 1 AND pu = 1) AS cp,
-              count_if(st = 1 AND pu = 1) AS p FROM ks)
+        "kpi_validated_funnel": f"""{ks}, n AS (SELECT count(*) AS k, count(*) FILTER (st = 1) AS s,
+              count(*) FILTER (st = 1 AND vi = 1) AS v, count(*) FILTER (st = 1 AND ch = 1) AS c,
+              count(*) FILTER (st = 1 AND vi = 1 AND ch = 1) AS vc,
+              count(*) FILTER (st = 1 AND ch = 1 AND pu = 1) AS cp,
+              count(*) FILTER (st = 1 AND pu = 1) AS p FROM ks)
             SELECT k AS all_session_keys, s AS valid_started_sessions,
               k - s AS session_keys_without_start, v AS view_sessions,
               vc AS view_to_checkout_sessions, cp AS checkout_to_purchase_sessions,
@@ -439,7 +439,7 @@ def kpi_reports() -> dict[str, str]:
             {totals.format(revenue='revenue')}, round(avg(oqty), 2) AS average_items_per_order
             FROM od GROUP BY 1""",
         "kpi_monthly_orders": f"""{plain(DAY_ORDERS)},
-            q AS (SELECT cast(date_trunc('month', d) AS DATE) AS m, count_if({STRICT}) AS v,
+            q AS (SELECT cast(date_trunc('month', d) AS DATE) AS m, count(*) FILTER ({STRICT}) AS v,
                     count(*) AS n {bought} AND d >= DATE '2024-01-03' GROUP BY 1),
             o AS (SELECT cast(date_trunc('month', d) AS DATE) AS m, count(DISTINCT d) AS days,
                     count(*) AS orders, count(DISTINCT uid) AS purchasers,
@@ -493,13 +493,13 @@ def segment_reports() -> dict[str, str]:
         + family_rows.format(scope="'Known categories only'", known="AND fam <> '(not set)'")
     )
     type_rows = f"""
-        SELECT 'all' AS scope, {two_periods('day')} AS p, {kind}, count_if(st = 1) AS n,
+        SELECT 'all' AS scope, {two_periods('day')} AS p, {kind}, count(*) FILTER (st = 1) AS n,
           avg(pu) FILTER (st = 1) AS r
         FROM ss WHERE {two_periods('day')} IS NOT NULL GROUP BY ALL"""
     return {
         "funnel_device": f"""{ss}, g AS (
               SELECT {three_periods('day')} AS period, coalesce(dev, 'unknown') AS device_category,
-                {STARTED}, count_if(st + vi + ch = 3) AS vc, count_if(st + ch + pu = 3) AS cp
+                {STARTED}, count(*) FILTER (st + vi + ch = 3) AS vc, count(*) FILTER (st + ch + pu = 3) AS cp
               FROM ss WHERE {inside} GROUP BY 1, 2)
             SELECT period, device_category, sessions, {three},
               {pct('product_view_sessions', 'sessions')} AS product_view_rate_pct,
@@ -547,8 +547,8 @@ def segment_reports() -> dict[str, str]:
         + " GROUP BY a.scope",
         "product_family_funnel": f"""{ss}, g AS (
               SELECT {three_periods('day')} AS period, fam2 AS product_family,
-                count(*) AS product_view_sessions, count_if(ch = 1) AS checkout_sessions,
-                count_if(pu = 1) AS purchase_sessions
+                count(*) AS product_view_sessions, count(*) FILTER (ch = 1) AS checkout_sessions,
+                count(*) FILTER (pu = 1) AS purchase_sessions
               FROM ss WHERE st = 1 AND vi = 1 AND {inside} GROUP BY 1, 2),
             w AS (SELECT *, sum(product_view_sessions) OVER (PARTITION BY period) AS tot FROM g)
             SELECT period, product_family, product_view_sessions,
@@ -626,8 +626,8 @@ def feature_reports() -> dict[str, str]:
         "days_since_first_visit": feature_rows(f"user_pseudo_id, {days}"),
         "ml_feature_validation": f"""{ft} SELECT count(*) AS row_count,
             count(DISTINCT user_pseudo_id) AS unique_users,
-            count_if({label} = 1) AS repeat_buyers, count_if({label} = 0) AS one_time_buyers,
-            {pct(f'count_if({label} = 1)', 'count(*)')} AS positive_class_pct,
+            count(*) FILTER ({label} = 1) AS repeat_buyers, count(*) FILTER ({label} = 0) AS one_time_buyers,
+            {pct(f'count(*) FILTER ({label} = 1)', 'count(*)')} AS positive_class_pct,
             {', '.join(f'count(*) - count({c}) AS {n}' for n, c in gone.items())} FROM ft""",
         "eda_target_distribution": f"""{ft}, c AS (
             SELECT {label}, count(*) AS "count" FROM ft GROUP BY 1)
@@ -703,12 +703,12 @@ def quality_measures() -> dict[str, str]:
               count(*) AS n FROM sd a, sd b WHERE a.y = 1 AND b.y <> 1)
             SELECT round(won / n, 6) AS roc_auc FROM pairs""",
         "ml_confusion_matrix": f"""{SCORED} SELECT y AS actual,
-            count_if(guess = 0) AS predicted_0, count_if(guess = 1) AS predicted_1
+            count(*) FILTER (guess = 0) AS predicted_0, count(*) FILTER (guess = 1) AS predicted_1
             FROM sd GROUP BY y""",
         "ml_classification_report": f"""{SCORED}, c AS (SELECT count(*) AS n,
-              count_if(y = 0 AND guess = 0) AS h0, count_if(y = 1 AND guess = 1) AS h1,
-              count_if(guess = 0) AS g0, count_if(guess = 1) AS g1, count_if(y = 0) AS s0,
-              count_if(y = 1) AS s1 FROM sd),
+              count(*) FILTER (y = 0 AND guess = 0) AS h0, count(*) FILTER (y = 1 AND guess = 1) AS h1,
+              count(*) FILTER (guess = 0) AS g0, count(*) FILTER (guess = 1) AS g1, count(*) FILTER (y = 0) AS s0,
+              count(*) FILTER (y = 1) AS s1 FROM sd),
             k AS ({row('0', 'h0', 'g0', 's0')} UNION ALL {row('1', 'h1', 'g1', 's1')}),
             kf AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM k),
             a AS (
