@@ -11,9 +11,13 @@ from cartwright.config import BLANK_IDS, FAMILY_PATTERNS, PLACEHOLDER_IDS, Perio
 
 
 def event_param(key: str, params: str = "event_params", field: str = "int_value") -> Column:
-    """Value of the first parameter called ``key``; NULL when there is none."""
-    hits = F.filter(params, lambda p: p["key"] == key)
-    return F.get(hits, F.lit(0))["value"][field]
+    """Value of the first parameter called ``key``; NULL when there is none.
+
+    The keys and the values are read as plain arrays: no lambda runs per row, and
+    the scan only reads these two leaves of the parameters.
+    """
+    place = F.array_position(F.col(f"{params}.key"), F.lit(key)).cast("int")
+    return F.get(F.col(f"{params}.value.{field}"), place - 1)
 
 
 def event_day(raw: str = "event_date") -> Column:

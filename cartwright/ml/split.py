@@ -67,8 +67,7 @@ def stratified_split(
     is_test = F.struct("_hash", key) <= F.col("_cut")
     return (
         hashed.join(F.broadcast(cuts), label, "left")
-        .withColumn("split", F.when(is_test, "test").otherwise("train"))
-        .drop("_hash", "_cut")
+        .select(*df.columns, F.when(is_test, "test").otherwise("train").alias("split"))
     )
 
 

@@ -34,7 +34,7 @@ def shape_events(events: DataFrame) -> DataFrame:
         F.col("ecommerce.purchase_revenue").alias("purchase_revenue"),
         F.col("ecommerce.total_item_quantity").alias("total_item_quantity"),
         F.when(
-            F.col("event_name") == "view_item", F.get("items", F.lit(0))["item_category"]
+            F.col("event_name") == "view_item", F.get(F.col("items.item_category"), F.lit(0))
         ).alias("item_category"),
         "items",
     )

@@ -30,15 +30,18 @@ from cartwright.operators.orders import (
 from cartwright.operators.shape import purchase_rows, shape_events, valid_purchases
 from cartwright.operators.shares import share_of_grand_total
 from cartwright.sources.schema import feature_schema
+from cartwright.sources.staging import stage
 
 SEGMENTS = ("Early Repeat Buyer", "Later Repeat Buyer", "One-Time Buyer")
 
 
 def orders_in_window(events: DataFrame, config: CommerceConfig, grain: str) -> DataFrame:
+    """Clean orders, stored once: the reports read them up to three times."""
     inside = events.where(
         raw_day_between("event_date", config.orders_from, config.orders_until)
     )
-    return clean_orders(valid_purchases(purchase_rows(shape_events(inside))), grain)
+    purchases = valid_purchases(purchase_rows(shape_events(inside)))
+    return stage(clean_orders(purchases, grain), "orders")
 
 
 def eligible_customers(orders: DataFrame, config: CommerceConfig, first: str) -> DataFrame:
@@ -139,14 +142,15 @@ def feature_events(events: DataFrame, config: CommerceConfig) -> DataFrame:
 
 
 def eligible_first_orders(shaped: DataFrame, config: CommerceConfig) -> DataFrame:
-    """First orders dated inside the eligibility window."""
+    """First orders dated inside the eligibility window, stored once for the joins to come."""
     attributes = {
         name: earliest(name) for name in ("device_category", "first_source", "first_medium")
     }
     orders = clean_orders(valid_purchases(purchase_rows(shaped)), "session", attributes)
-    return first_orders(orders).where(
+    eligible = first_orders(orders).where(
         day_between("order_date", config.eligible_from, config.eligible_until)
     )
+    return stage(eligible, "first-orders")
 
 
 def ml_feature_table(events: DataFrame, config: CommerceConfig) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cartwright.sources.schema import DRIVER_EVENTS
+
 HOUR_MICROS = 3_600_000_000
+HOUR_KEY = ("user_id", "sub_user", "hour")
 
 # Fixed values of the adapter, in index order.
 CLICK_EVENTS = ("add_to_cart", "begin_checkout", "add_payment_info")
@@ -39,26 +42,27 @@ def pick(index: Column, values: tuple) -> Column:
 
 
 def session_spans(raw: DataFrame, gap_hours: int) -> DataFrame:
-    """Session of every user and hour that holds events.
+    """Session of every sub-user and hour that holds events.
 
     A gap that ends a session is longer than an hour, so all events of one user
     and hour share a session. Events are therefore first reduced to one row per
     user and hour, which also bounds the window below by the hours covered,
     however many events a single user has.
     """
-    first = F.min(F.struct("ets", "event_id"))
-    hours = raw.groupBy("user_pseudo_id", "hour").agg(
-        first.alias("first"), F.max("ets").alias("last_ets")
+    hours = raw.groupBy(*HOUR_KEY).agg(
+        F.min(F.struct("ets", "event_id")).alias("first"), F.max("ets").alias("last_ets")
     )
-    by_user = W.partitionBy("user_pseudo_id").orderBy("hour")
-    previous = F.lag("last_ets").over(by_user)
-    opens = previous.isNull() | (F.col("first.ets") - previous > gap_hours * HOUR_MICROS)
+    by_user = W.partitionBy("user_id", "sub_user").orderBy("hour")
+    idle = F.col("first.ets") - F.lag("last_ets").over(by_user)
+    opens = idle.isNull() | (idle > gap_hours * HOUR_MICROS)
     return (
-        hours.withColumn("opened", F.when(opens, F.col("first")))
-        .withColumn("session", F.last("opened", ignorenulls=True).over(by_user))
+        hours.withColumn("opens", opens)
+        .withColumn(
+            "session",
+            F.last(F.when(F.col("opens"), F.col("first")), ignorenulls=True).over(by_user),
+        )
         .select(
-            "user_pseudo_id",
-            "hour",
+            *HOUR_KEY,
             F.expr("session.ets div 1000000").alias("session_id"),
             F.col("session.event_id").alias("session_first_event"),
         )
@@ -69,33 +73,31 @@ def with_sessions(raw: DataFrame, gap_hours: int) -> DataFrame:
     """Adds the session id; a left join, so rows without a user stay."""
     if gap_hours < 1:
         raise ValueError("session gaps below one hour are not supported")
-    return raw.join(session_spans(raw, gap_hours), ["user_pseudo_id", "hour"], "left")
+    return raw.join(session_spans(raw, gap_hours), list(HOUR_KEY), "left")
 
 
-def emitted_copies(name: Column) -> Column:
+def emitted_copies() -> Column:
     """The events one source row turns into: itself, a session start, a repeated purchase."""
 
-    def copy(event_name, ets, event_id, value):
-        return F.struct(
-            event_name.alias("event_name"),
-            ets.alias("event_timestamp"),
-            event_id.alias("event_id"),
-            value.alias("value"),
+    def copies(when, event_name, ets, event_id, value):
+        one = F.array(
+            F.struct(
+                event_name.alias("event_name"),
+                ets.alias("event_timestamp"),
+                event_id.alias("event_id"),
+                value.alias("value"),
+            )
         )
+        return one if when is None else F.when(when, one).otherwise(F.slice(one, 1, 0))
 
-    ets, eid, value = F.col("ets"), F.col("event_id"), F.col("value")
+    name, ets, eid, value = (F.col(c) for c in ("name", "ets", "event_id", "value"))
     starts = (eid == F.col("session_first_event")) & (F.col("k") % 10 != 0)
     repeats = (name == "purchase") & (eid % 9 == 0)
     repeated_value = value + F.when(eid % 27 == 0, 1.0).otherwise(0.0)
-    return F.array_compact(
-        F.array(
-            copy(name, ets, eid, value),
-            F.when(starts, copy(F.lit("session_start"), ets, eid, value)),
-            F.when(
-                repeats,
-                copy(name, ets + 1_000_000, eid + 1_000_000_000, repeated_value),
-            ),
-        )
+    return F.concat(
+        copies(None, name, ets, eid, value),
+        copies(F.coalesce(starts, F.lit(False)), F.lit("session_start"), ets, eid, value),
+        copies(repeats, name, ets + 1_000_000, eid + 1_000_000_000, repeated_value),
     )
 
 
@@ -103,37 +105,28 @@ def canonical_events(
     spark: SparkSession, sf_dir: str, split: int = 1, gap_hours: int = 12
 ) -> DataFrame:
     """Canonical events; ``split`` cuts each user into that many sub-users."""
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
-    raw = source.select(
-        "event_id",
-        "user_id",
-        "event_type",
-        "value",
-        k.alias("k"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ets"),
-        F.concat(
-            F.lit("u"),
-            F.col("user_id").cast("string"),
-            F.lit("_"),
-            (F.col("event_id") % split).cast("string"),
-        ).alias("user_pseudo_id"),
-    ).withColumn("hour", F.expr(f"ets div {HOUR_MICROS}"))
-
-    kind = F.col("event_type")
+    source = spark.read.schema(DRIVER_EVENTS).parquet(f"{sf_dir}/events.parquet")
+    kind, k = F.col("event_type"), F.col("k")
     name = (
         F.when(kind == "view", "view_item")
         .when(kind == "signup", "first_visit")
         .when(kind == "purchase", "purchase")
-        .when(kind == "click", pick(F.col("k") % 3, CLICK_EVENTS))
-        .when(kind == "error", pick(F.col("k") % 2, ERROR_EVENTS))
+        .when(kind == "click", pick(k % 3, CLICK_EVENTS))
+        .when(kind == "error", pick(k % 2, ERROR_EVENTS))
+    )
+    raw = (
+        source.withColumns(
+            {
+                "k": F.get_json_object("props", "$.k").cast("int"),
+                "ets": F.unix_micros(F.col("ts").cast("timestamp")),
+                "sub_user": F.col("event_id") % split,
+            }
+        )
+        .withColumns({"hour": F.expr(f"ets div {HOUR_MICROS}"), "name": name})
+        .select("event_id", "user_id", "sub_user", "hour", "ets", "name", "k", "value")
     )
     rows = with_sessions(raw, gap_hours).select(
-        "user_id",
-        "user_pseudo_id",
-        "session_id",
-        "k",
-        F.inline(emitted_copies(name)),
+        "user_id", "sub_user", "session_id", "k", F.inline(emitted_copies())
     )
     return nested(rows)
 
@@ -164,7 +157,9 @@ def nested(rows: DataFrame) -> DataFrame:
         "event_timestamp",
         "event_id",
         "event_name",
-        "user_pseudo_id",
+        F.concat(
+            F.lit("u"), uid.cast("string"), F.lit("_"), F.col("sub_user").cast("string")
+        ).alias("user_pseudo_id"),
         F.when(eid % 50 == 7, F.array(page)).otherwise(F.array(page, session)).alias("event_params"),
         F.struct(pick(eid % 3, DEVICES).alias("category")).alias("device"),
         F.struct(

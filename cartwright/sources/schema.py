@@ -55,6 +55,18 @@ EVENTS = T.StructType(
     ]
 )
 
+# The flat driver table the adapter reads.
+DRIVER_EVENTS = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+
 CATEGORICAL_FEATURES = (
     "purchase_day_of_week",
     "purchase_hour_utc",

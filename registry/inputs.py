@@ -37,7 +37,7 @@ def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=None)
 def feature_path(spark: SparkSession, sf_dir: str) -> str:
     path = staging_path(spark, "features")
-    write_feature_table(ml_feature_table(customer_events(spark, sf_dir), DRIVER_CONFIG), path)
+    write_feature_table(ml_feature_table(customer_events(spark, sf_dir), DRIVER_CONFIG), path, LABEL)
     return path
 
 

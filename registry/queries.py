@@ -82,7 +82,7 @@ def src_feature_table(spark, sf):
 
 def src_feature_csv(spark, sf):
     path = staging_path(spark, "features-csv")
-    tables.write_feature_csv(inputs.features(spark, sf), path)
+    tables.write_feature_csv(inputs.features(spark, sf), path, LABEL)
     return tables.read_feature_csv(spark, path, LABEL)
 
 
@@ -94,8 +94,8 @@ def sink_feature_table(spark, sf):
     rows = inputs.features(spark, sf)
     parquet = staging_path(spark, "features-out")
     csv = staging_path(spark, "features-out-csv")
-    tables.write_feature_table(rows, parquet)
-    tables.write_feature_csv(rows, csv)
+    tables.write_feature_table(rows, parquet, LABEL)
+    tables.write_feature_csv(rows, csv, LABEL)
     stored = {
         "parquet": tables.read_feature_table(spark, parquet, LABEL),
         "csv": tables.read_feature_csv(spark, csv, LABEL),
