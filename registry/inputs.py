@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cartwright.config import DRIVER_CONFIG
 from cartwright.ml.models import FittedModel, fit_forest, fit_logistic
 from cartwright.ml.split import stratified_split
+from cartwright.operators.shape import shape_events
 from cartwright.plans.repeat import ml_feature_table
 from cartwright.session import pin_utc
 from cartwright.sources.driver_events import canonical_events
@@ -20,16 +21,32 @@ LABEL = DRIVER_CONFIG.label_column
 KEY = "user_pseudo_id"
 
 
+# These are lazy plans: keeping them spares building the same plan for every
+# query, and no rows are kept.
+
+
+@lru_cache(maxsize=None)
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole users and sessions after 12 idle hours."""
     return canonical_events(pin_utc(spark), sf_dir, split=1, gap_hours=12)
 
 
+@lru_cache(maxsize=None)
 def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sub-users per user and sessions after 72 idle hours, for customer reports."""
     return canonical_events(pin_utc(spark), sf_dir, split=8, gap_hours=72)
 
 
+@lru_cache(maxsize=None)
+def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_events(events(spark, sf_dir))
+
+
+@lru_cache(maxsize=None)
+def shaped_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape_events(customer_events(spark, sf_dir))
+
+
 # The feature table is stored once per session, as any modelling run would read
 # it from storage; the split and the models follow from the stored table.
 
@@ -37,7 +54,8 @@ def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=None)
 def feature_path(spark: SparkSession, sf_dir: str) -> str:
     path = staging_path(spark, "features")
-    write_feature_table(ml_feature_table(customer_events(spark, sf_dir), DRIVER_CONFIG), path, LABEL)
+    rows = ml_feature_table(customer_events(spark, sf_dir), DRIVER_CONFIG)
+    write_feature_table(rows, path, LABEL)
     return path
 
 

@@ -32,21 +32,13 @@ from cartwright.plans import audit, kpi, repeat, retention, segments
 from cartwright.sources import tables
 from cartwright.sources.staging import staging_path
 from registry import inputs
-from registry.inputs import KEY, LABEL
+from registry.inputs import KEY, LABEL, shaped, shaped_customers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 ALL_STEPS = tuple(STEP_FLAGS)
 
 
-def shaped(spark, sf) -> DataFrame:
-    return shape.shape_events(inputs.events(spark, sf))
-
-
-def shaped_customers(spark, sf) -> DataFrame:
-    return shape.shape_events(inputs.customer_events(spark, sf))
-
-
 def purchases(spark, sf) -> DataFrame:
     return shape.purchase_rows(shaped(spark, sf))
 

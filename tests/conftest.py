@@ -11,7 +11,12 @@ from cartwright.sources.schema import EVENTS  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "cartwright-tests")
+    session = local_session("8", "cartwright-tests")
+    # On these tiny tables compiling the plans costs more than running them;
+    # check_oracles.py runs the compiled plans.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 

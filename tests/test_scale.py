@@ -133,7 +133,7 @@ def test_one_user_with_a_third_of_the_events(spark, tmp_path):
     assert sessions.exceptAll(want).count() == 0 and sessions.count() == want.count()
 
 
-def test_stored_events_are_pruned(spark, tmp_path):
+def test_stored_events_are_pruned(spark, tmp_path, capsys):
     events = canonical_events(spark, "/root/testdata/sf0.001")
     path = f"{tmp_path}/stored"
     write_events(events, path)
@@ -141,7 +141,8 @@ def test_stored_events_are_pruned(spark, tmp_path):
     stored = read_events(spark, path, month.start, month.end)
     report = segments.funnel_device(stored, DRIVER_CONFIG)
     assert report.count() > 0
-    plan = report._jdf.queryExecution().toString()
+    report.explain("formatted")
+    plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(event_date" in plan
     read = plan[plan.index("ReadSchema:") :].split("\n")[0]
     assert "int_value" in read and "string_value" not in read and "items" not in read
