@@ -15,26 +15,41 @@ from cartwright.plans.repeat import ml_feature_table
 from cartwright.session import pin_utc
 from cartwright.sources.driver_events import canonical_events
 from cartwright.sources.staging import stage, staging_path
-from cartwright.sources.tables import read_feature_table, write_feature_table
+from cartwright.sources.tables import (
+    read_events,
+    read_feature_table,
+    write_events,
+    write_feature_table,
+)
 
 LABEL = DRIVER_CONFIG.label_column
 KEY = "user_pseudo_id"
 
 
-# These are lazy plans: keeping them spares building the same plan for every
-# query, and no rows are kept.
+# The flat driver table is turned into stored canonical events once per session,
+# the form in which an event export arrives. Finding the sessions costs a join over
+# all events; no report should repeat it, and only stored events let a report skip
+# days, event types and columns. The feature table, the split and the models follow
+# in the same way.
+
+
+@lru_cache(maxsize=None)
+def event_path(spark: SparkSession, sf_dir: str, split: int, gap_hours: int) -> str:
+    path = staging_path(spark, f"events-{split}-{gap_hours}")
+    write_events(canonical_events(pin_utc(spark), sf_dir, split, gap_hours), path)
+    return path
 
 
 @lru_cache(maxsize=None)
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole users and sessions after 12 idle hours."""
-    return canonical_events(pin_utc(spark), sf_dir, split=1, gap_hours=12)
+    return read_events(spark, event_path(spark, sf_dir, 1, 12))
 
 
 @lru_cache(maxsize=None)
 def customer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sub-users per user and sessions after 72 idle hours, for customer reports."""
-    return canonical_events(pin_utc(spark), sf_dir, split=8, gap_hours=72)
+    return read_events(spark, event_path(spark, sf_dir, 8, 72))
 
 
 @lru_cache(maxsize=None)
@@ -47,10 +62,6 @@ def shaped_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_events(customer_events(spark, sf_dir))
 
 
-# The feature table is stored once per session, as any modelling run would read
-# it from storage; the split and the models follow from the stored table.
-
-
 @lru_cache(maxsize=None)
 def feature_path(spark: SparkSession, sf_dir: str) -> str:
     path = staging_path(spark, "features")

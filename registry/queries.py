@@ -47,10 +47,9 @@ def purchases(spark, sf) -> DataFrame:
 
 
 def src_events(spark, sf):
-    path = staging_path(spark, "events")
-    tables.write_events(inputs.events(spark, sf), path)
-    period = CONFIG.audit_month
-    stored = tables.read_events(spark, path, period.start, period.end)
+    month = CONFIG.audit_month
+    path = inputs.event_path(spark, sf, 1, 12)
+    stored = tables.read_events(spark, path, month.start, month.end)
     return shape.shape_events(stored).select(
         "event_id",
         "event_timestamp",
