@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.config import FUNNEL_STEPS, STEP_FLAGS
-from cartwright.functions.columns import is_step, valid_keys
+from cartwright.functions.columns import earliest, is_step, valid_keys
 
 SESSION = ("user_pseudo_id", "ga_session_id")
 DAY_SESSION = ("event_day", "user_pseudo_id", "ga_session_id")
@@ -51,12 +51,62 @@ def start_date() -> Column:
 
 
 def bounds() -> list[Column]:
+    """Times of the first and the last funnel event."""
+    inside = F.when(F.col("event_name").isin(*FUNNEL_STEPS), F.col("event_timestamp"))
     return [
-        F.min("event_timestamp").alias("first_event_timestamp"),
-        F.max("event_timestamp").alias("last_event_timestamp"),
+        F.min(inside).alias("first_event_timestamp"),
+        F.max(inside).alias("last_event_timestamp"),
     ]
 
 
+def step_times(steps: tuple[str, ...] = FUNNEL_STEPS) -> list[Column]:
+    """Earliest time of each step; NULL where it is missing."""
+    return [
+        F.min(F.when(is_step(step), F.col("event_timestamp"))).alias(STEP_TIMES[step])
+        for step in steps
+    ]
+
+
+def first_device() -> Column:
+    return earliest("device_category", "session_start").alias("device_category")
+
+
+def first_channel() -> list[Column]:
+    return [earliest(c, "session_start").alias(c) for c in ("first_source", "first_medium")]
+
+
+def first_viewed_category() -> Column:
+    """Category of the first view, which may be missing (NULL) itself."""
+    views = F.when(is_step("view_item"), F.struct("event_timestamp", "event_id"))
+    return F.min_by("item_category", views).alias("first_viewed_category")
+
+
+def session_table(shaped: DataFrame) -> DataFrame:
+    """Everything the session reports read, one row per session.
+
+    Store it and pass it to the reports as ``sessions``: the events are then
+    scanned and shuffled once, not once per report.
+    """
+    return roll_up(
+        shaped,
+        tuple(STEP_FLAGS),
+        [
+            start_date(),
+            first_device(),
+            *first_channel(),
+            first_viewed_category(),
+            *bounds(),
+            *step_times(),
+            *flags(tuple(STEP_FLAGS)),
+        ],
+    )
+
+
+def holding_any(sessions: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """Sessions with at least one of the steps."""
+    return sessions.where(F.greatest(*[F.col(STEP_FLAGS[s]) for s in steps]) == 1)
+
+
 def session_flags(
     shaped: DataFrame, steps: tuple[str, ...], keys: tuple[str, ...] = SESSION
 ) -> DataFrame:
@@ -71,11 +121,7 @@ def session_daily_flags(shaped: DataFrame, steps: tuple[str, ...]) -> DataFrame:
 def session_step_times(
     shaped: DataFrame, steps: tuple[str, ...] = FUNNEL_STEPS
 ) -> DataFrame:
-    times = [
-        F.min(F.when(is_step(step), F.col("event_timestamp"))).alias(STEP_TIMES[step])
-        for step in steps
-    ]
-    return roll_up(shaped, steps, times)
+    return roll_up(shaped, steps, step_times(steps))
 
 
 def completeness(sessions: DataFrame) -> DataFrame:

@@ -204,9 +204,17 @@ def dq_placeholder_patterns(events: DataFrame, config: CommerceConfig) -> DataFr
     )
 
 
-def dq_funnel_completeness(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    sessions = session_step_times(shape_events(events)).where(F.col("purchase_ts").isNotNull())
-    counts = completeness(sessions).agg(
+def purchase_sessions(events: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """Step times of the sessions with a purchase."""
+    if sessions is None:
+        sessions = session_step_times(shape_events(events))
+    return sessions.where(F.col("purchase_ts").isNotNull())
+
+
+def dq_funnel_completeness(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
+    counts = completeness(purchase_sessions(events, sessions)).agg(
         F.count("*").alias("purchase_sessions"),
         F.count_if(F.col("view_item_ts").isNull()).alias("missing_view_item"),
         F.count_if(F.col("add_to_cart_ts").isNull()).alias("missing_add_to_cart"),
@@ -223,13 +231,11 @@ def dq_funnel_completeness(events: DataFrame, config: CommerceConfig) -> DataFra
     )
 
 
-def dq_purchase_paths(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    shown = (
-        session_step_times(shape_events(events))
-        .where(F.col("purchase_ts").isNotNull())
-        .orderBy(*SESSION)
-        .limit(config.session_rows_shown)
-    )
+def dq_purchase_paths(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
+    bought = purchase_sessions(events, sessions)
+    shown = bought.orderBy(*SESSION).limit(config.session_rows_shown)
     return shown.select(
         session_key().alias("session_key"),
         event_time("session_start_ts").alias("session_start_time"),
@@ -341,3 +347,6 @@ REPORTS = {
         dq_clean_order_quality,
     )
 }
+
+# Reports that also accept a stored session table.
+SESSION_REPORTS = {f.__name__: f for f in (dq_funnel_completeness, dq_purchase_paths)}

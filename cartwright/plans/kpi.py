@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.config import FUNNEL_STEPS, CommerceConfig
+from cartwright.config import FUNNEL_STEPS, STEP_FLAGS, CommerceConfig
 from cartwright.functions.columns import (
     event_time,
     label_rank,
@@ -22,6 +22,7 @@ from cartwright.operators.sessions import (
     SESSION,
     bounds,
     flags,
+    holding_any,
     roll_up,
     session_daily_flags,
     session_flags,
@@ -51,8 +52,17 @@ def started_counts() -> list[Column]:
     ]
 
 
-def kpi_initial_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    counts = session_flags(shape_events(events), KPI_STEPS).agg(
+def funnel_sessions(events: DataFrame, sessions: DataFrame | None) -> DataFrame:
+    """Sessions with at least one of the counted steps."""
+    if sessions is None:
+        return session_flags(shape_events(events), KPI_STEPS)
+    return holding_any(sessions, KPI_STEPS)
+
+
+def kpi_initial_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
+    counts = funnel_sessions(events, sessions).agg(
         F.count("*").alias("total_sessions"),
         reached("viewed_item").alias("product_view_sessions"),
         reached("added_to_cart").alias("cart_sessions"),
@@ -69,20 +79,33 @@ def kpi_initial_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
     )
 
 
-def session_base(events: DataFrame) -> DataFrame:
+def kpi_session_base(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     """Session rows with bounds and reach flags."""
     steps = FUNNEL_STEPS[1:]
-    rows = roll_up(shape_events(events), FUNNEL_STEPS, [*bounds(), *flags(steps)])
-    return rows.select(*SESSION, session_key().alias("session_key"), *rows.columns[2:])
-
-
-def kpi_session_base(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    return session_base(events).orderBy(*SESSION).limit(config.session_rows_shown)
+    if sessions is None:
+        rows = roll_up(shape_events(events), FUNNEL_STEPS, [*bounds(), *flags(steps)])
+    else:
+        rows = holding_any(sessions, FUNNEL_STEPS)
+    return (
+        rows.orderBy(*SESSION)
+        .limit(config.session_rows_shown)
+        .select(
+            *SESSION,
+            session_key().alias("session_key"),
+            "first_event_timestamp",
+            "last_event_timestamp",
+            *[STEP_FLAGS[s] for s in steps],
+        )
+    )
 
 
-def kpi_validated_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
+def kpi_validated_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     start = "started_session"
-    counts = session_flags(shape_events(events), KPI_STEPS).agg(
+    counts = funnel_sessions(events, sessions).agg(
         F.count("*").alias("all_session_keys"),
         reached(start).alias("valid_started_sessions"),
         F.count_if(F.col(start) == 0).alias("session_keys_without_start"),
@@ -311,3 +334,8 @@ REPORTS = {
         kpi_period_summary,
     )
 }
+
+# Reports that also accept a stored session table.
+SESSION_REPORTS = {
+    f.__name__: f for f in (kpi_initial_funnel, kpi_session_base, kpi_validated_funnel)
+}

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.config import FUNNEL_APPAREL_PATTERN, CommerceConfig, Period
 from cartwright.functions.columns import (
     day_between,
-    earliest,
     family_patterns,
     label_rank,
     pct,
@@ -17,7 +16,14 @@ from cartwright.functions.columns import (
     raw_day_between,
     user_type,
 )
-from cartwright.operators.sessions import flags, roll_up, start_date
+from cartwright.operators.sessions import (
+    first_channel,
+    first_device,
+    first_viewed_category,
+    flags,
+    roll_up,
+    start_date,
+)
 from cartwright.operators.shape import explode_items, shape_events
 from cartwright.operators.shares import mix_rate_decomposition, share_of_total, stack_scopes
 from cartwright.plans.audit import distinct_sessions
@@ -32,19 +38,30 @@ def in_periods(sessions: DataFrame, periods: tuple[Period, ...], day: str = "ses
     )
 
 
+def dated_sessions(
+    events: DataFrame,
+    steps: tuple[str, ...],
+    picks: list[Column],
+    periods: tuple[Period, ...],
+    sessions: DataFrame | None,
+) -> DataFrame:
+    """Labelled sessions, from a stored session table or straight from the events."""
+    if sessions is None:
+        sessions = roll_up(shape_events(events), steps, [start_date(), *picks, *flags(steps)])
+    return in_periods(sessions, periods)
+
+
 def period_order(config: CommerceConfig):
     return label_rank("period", [p.label for p in config.periods])
 
 
-def funnel_device(events: DataFrame, config: CommerceConfig) -> DataFrame:
+def funnel_device(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     """Nested rates: the later step is only counted in sessions with the earlier one."""
-    device = earliest("device_category", "session_start").alias("device_category")
-    sessions = roll_up(
-        shape_events(events), MAIN_STEPS, [start_date(), device, *flags(MAIN_STEPS)]
-    )
     start = "started_session"
     counts = (
-        in_periods(sessions, config.periods)
+        dated_sessions(events, MAIN_STEPS, [first_device()], config.periods, sessions)
         .withColumn("device_category", F.coalesce("device_category", F.lit("unknown")))
         .groupBy("period", "device_category")
         .agg(
@@ -87,15 +104,13 @@ def known_channel(*columns: str) -> dict:
     return {c: F.coalesce(c, F.lit("(unknown)")) for c in columns}
 
 
-def channel_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
+def channel_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     """Small channels are hidden only after the shares are taken."""
     channel = ["first_source", "first_medium"]
-    picks = [earliest(c, "session_start").alias(c) for c in channel]
-    sessions = roll_up(
-        shape_events(events), MAIN_STEPS, [start_date(), *picks, *flags(MAIN_STEPS)]
-    )
     counts = (
-        in_periods(sessions, config.periods)
+        dated_sessions(events, MAIN_STEPS, first_channel(), config.periods, sessions)
         .withColumns(known_channel(*channel))
         .groupBy("period", *channel)
         .agg(*started_counts())
@@ -125,17 +140,12 @@ def channel_mix(events: DataFrame, config: CommerceConfig) -> DataFrame:
     ).orderBy(period_order(config), F.desc("sessions"), *channel)
 
 
-def typed_sessions(
-    events: DataFrame, steps: tuple[str, ...], periods: tuple[Period, ...]
+def customer_new_returning_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
 ) -> DataFrame:
-    """Dated sessions with period and New/Returning."""
-    sessions = roll_up(shape_events(events), steps, [start_date(), *flags(steps)])
-    return in_periods(sessions, periods).withColumn("user_type", user_type())
-
-
-def customer_new_returning_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    sessions = typed_sessions(events, ("first_visit", *MAIN_STEPS), config.periods)
-    counts = sessions.groupBy("period", "user_type").agg(*started_counts())
+    steps = ("first_visit", *MAIN_STEPS)
+    dated = dated_sessions(events, steps, [], config.periods, sessions)
+    counts = dated.groupBy("period", user_type().alias("user_type")).agg(*started_counts())
     return share_and_rates(counts, ["user_type"]).orderBy(period_order(config), "user_type")
 
 
@@ -147,11 +157,13 @@ def counterfactual_names(config: CommerceConfig, names: tuple[str, str, str, str
     return {name.format(**words): pair for name, pair in zip(names, pairs)}
 
 
-def customer_conversion_decomposition(events: DataFrame, config: CommerceConfig) -> DataFrame:
+def customer_conversion_decomposition(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     steps = ("session_start", "first_visit", "purchase")
-    sessions = typed_sessions(events, steps, config.compare)
+    dated = dated_sessions(events, steps, [], config.compare, sessions)
     start = "started_session"
-    performance = sessions.groupBy("period", "user_type").agg(
+    performance = dated.groupBy("period", user_type().alias("user_type")).agg(
         reached(start).alias("sessions"),
         F.try_divide(reached(start, "purchased"), reached(start)).alias("conversion_rate"),
     )
@@ -196,6 +208,7 @@ def family_sessions(
     steps: tuple[str, ...],
     periods: tuple[Period, ...],
     patterns: tuple[tuple[str, str], ...],
+    sessions: DataFrame | None,
 ) -> DataFrame:
     """Started sessions with a product view, by the family viewed first.
 
@@ -203,28 +216,17 @@ def family_sessions(
     decides. The session keeps its raw category and is classified afterwards:
     the patterns then run once per session, not once per view.
     """
-    view_order = F.when(
-        F.col("event_name") == "view_item", F.struct("event_timestamp", "event_id")
-    )
-    sessions = roll_up(
-        shape_events(events),
-        steps,
-        [
-            start_date(),
-            F.min_by("item_category", view_order).alias("item_category"),
-            *flags(steps),
-        ],
-    )
-    viewed = sessions.where((F.col("started_session") == 1) & (F.col("viewed_item") == 1))
-    return in_periods(viewed, periods).withColumn(
-        "product_family", product_family("item_category", patterns)
-    )
+    dated = dated_sessions(events, steps, [first_viewed_category()], periods, sessions)
+    viewed = dated.where((F.col("started_session") == 1) & (F.col("viewed_item") == 1))
+    return viewed.withColumn("product_family", product_family("first_viewed_category", patterns))
 
 
-def product_mix_decomposition(events: DataFrame, config: CommerceConfig) -> DataFrame:
+def product_mix_decomposition(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
     steps = ("session_start", "view_item", "begin_checkout")
-    sessions = family_sessions(events, steps, config.compare, family_patterns())
-    counted = sessions.groupBy("period", "product_family").agg(
+    viewed = family_sessions(events, steps, config.compare, family_patterns(), sessions)
+    counted = viewed.groupBy("period", "product_family").agg(
         F.count("*").alias("product_view_sessions"),
         F.try_divide(reached("began_checkout"), F.count("*")).alias("view_to_checkout_rate"),
     )
@@ -251,11 +253,12 @@ def product_mix_decomposition(events: DataFrame, config: CommerceConfig) -> Data
     ).orderBy("scope")
 
 
-def product_family_funnel(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    sessions = family_sessions(
-        events, MAIN_STEPS, config.periods, family_patterns(FUNNEL_APPAREL_PATTERN)
-    )
-    counts = sessions.groupBy("period", "product_family").agg(
+def product_family_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
+    patterns = family_patterns(FUNNEL_APPAREL_PATTERN)
+    viewed = family_sessions(events, MAIN_STEPS, config.periods, patterns, sessions)
+    counts = viewed.groupBy("period", "product_family").agg(
         F.count("*").alias("product_view_sessions"),
         reached("began_checkout").alias("checkout_sessions"),
         reached("purchased").alias("purchase_sessions"),
@@ -292,3 +295,16 @@ REPORTS = {
         product_family_funnel,
     )
 }
+
+# Reports that also accept a stored session table.
+SESSION_REPORTS = {
+    f.__name__: f
+    for f in (
+        funnel_device,
+        channel_funnel,
+        customer_new_returning_funnel,
+        customer_conversion_decomposition,
+        product_mix_decomposition,
+        product_family_funnel,
+    )
+}

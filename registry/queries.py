@@ -189,9 +189,8 @@ def session_start_date(spark, sf):
 def session_first_attr(spark, sf):
     events = shaped(spark, sf).withColumn("product_family", product_family("item_category"))
     picks = [
-        earliest("device_category", "session_start").alias("device_category"),
-        earliest("first_source", "session_start").alias("first_source"),
-        earliest("first_medium", "session_start").alias("first_medium"),
+        sessions.first_device(),
+        *sessions.first_channel(),
         earliest("product_family", "view_item").alias("product_family"),
     ]
     return sessions.roll_up(events, FUNNEL_STEPS, picks)
@@ -415,8 +414,8 @@ def device_rates(spark, sf):
     """Sessions and purchase rate per compared period and device."""
     events = shaped(spark, sf)
     flags = sessions.flags(kpi.MAIN_STEPS)
-    device = earliest("device_category", "session_start").alias("device_category")
-    rows = sessions.roll_up(events, kpi.MAIN_STEPS, [sessions.start_date(), device, *flags])
+    picks = [sessions.start_date(), sessions.first_device()]
+    rows = sessions.roll_up(events, kpi.MAIN_STEPS, [*picks, *flags])
     return (
         segments.in_periods(rows, CONFIG.compare)
         .groupBy("period", "device_category")

@@ -3,7 +3,9 @@
 from datetime import date
 
 
-from cartwright.config import CommerceConfig, FUNNEL_APPAREL_PATTERN, Period
+import pytest
+
+from cartwright.config import DRIVER_CONFIG, FUNNEL_APPAREL_PATTERN, CommerceConfig, Period
 from cartwright.functions.columns import (
     event_param,
     family_patterns,
@@ -12,7 +14,8 @@ from cartwright.functions.columns import (
     product_family,
 )
 from cartwright.operators import cohorts, customers, orders, sessions, shape, shares
-from cartwright.plans import audit, repeat, retention, segments
+from cartwright.plans import audit, kpi, repeat, retention, segments
+from registry import inputs
 from tests.conftest import event
 
 DAY = 86_400_000_000
@@ -293,6 +296,18 @@ def test_reference_column_names(make_events):
     assert "total_segment_revenue_30d" in segments_30.columns
 
 
+@pytest.mark.parametrize(
+    "name", [n for m in (audit, kpi, segments) for n in m.SESSION_REPORTS]
+)
+def test_stored_sessions_give_the_same_report(spark, name):
+    events = inputs.events(spark, "/root/testdata/sf0.001")
+    function = {**audit.REPORTS, **kpi.REPORTS, **segments.REPORTS}[name]
+    table = sessions.session_table(shape.shape_events(events))
+    direct = function(events, DRIVER_CONFIG).collect()
+    assert direct == function(None, DRIVER_CONFIG, sessions=table).collect()
+    assert direct
+
+
 def test_whole_and_shares(spark):
     df = spark.createDataFrame([("p", 1), ("p", 2), ("q", 5)], "g string, n long")
     rows = df.select("g", shares.share_of_total("n", ["g"]), shares.share_of_grand_total("n"))
