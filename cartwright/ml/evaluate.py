@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.operators.skew import running_totals
@@ -19,29 +19,32 @@ def score_curve(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     curve = running_totals(counts, "threshold", ["pos", "neg"], by=by, descending=True)
+    largest = {"all_pos": F.max("cum_pos"), "all_neg": F.max("cum_neg")}
+    if not by:
+        return curve.withColumns({c: curve.agg(m).scalar() for c, m in largest.items()})
     # One row of totals per curve.
-    totals = curve.groupBy(*by).agg(
-        F.max("cum_pos").alias("all_pos"), F.max("cum_neg").alias("all_neg")
-    )
-    if by:
-        return curve.join(F.broadcast(totals), list(by))
-    return curve.crossJoin(F.broadcast(totals))
+    totals = curve.groupBy(*by).agg(*[m.alias(c) for c, m in largest.items()])
+    return curve.join(F.broadcast(totals), list(by))
 
 
-def average_precision(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of precision times the step in recall."""
+def precision_sum() -> Column:
+    """Precision times the step in recall, summed over the thresholds."""
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    step = F.try_divide("pos", "all_pos")
-    return curve.groupBy(*by).agg(F.sum(precision * step).alias("average_precision"))
+    return F.sum(precision * F.try_divide("pos", "all_pos"))
 
 
-def roc_auc(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def ordered_pairs() -> Column:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
     above = F.col("cum_pos") - F.col("pos") + F.col("pos") / 2
-    pairs = F.max("all_pos") * F.max("all_neg")
-    return curve.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("neg") * above), pairs).alias("roc_auc")
-    )
+    return F.try_divide(F.sum(F.col("neg") * above), F.max("all_pos") * F.max("all_neg"))
+
+
+def average_precision(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return curve.groupBy(*by).agg(precision_sum().alias("average_precision"))
+
+
+def roc_auc(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return curve.groupBy(*by).agg(ordered_pairs().alias("roc_auc"))
 
 
 def pr_curve(curve: DataFrame) -> DataFrame:
@@ -153,9 +156,8 @@ def classification_report(
 
 def model_scores(scored: DataFrame, label: str, name: str) -> DataFrame:
     """One row: model name, ROC AUC and average precision."""
-    curve = score_curve(scored, label)
-    return roc_auc(curve).crossJoin(average_precision(curve)).select(
+    return score_curve(scored, label).agg(
         F.lit(name).alias("Model"),
-        F.col("roc_auc").alias("ROC_AUC"),
-        F.col("average_precision").alias("PR_AUC"),
+        ordered_pairs().alias("ROC_AUC"),
+        precision_sum().alias("PR_AUC"),
     )

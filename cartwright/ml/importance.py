@@ -92,12 +92,11 @@ def permutation_importance(
     scored = model.predict(shuffled.unionByName(plain))
     by = ("feature", "repeat")
     scores = average_precision(score_curve(scored, label, by=by), by)
-    # One row per feature and repeat.
-    reference = scores.where(F.col("feature") == "").select(
-        F.col("average_precision").alias("reference")
+    plain_score = scores.where(F.col("feature") == "").select("average_precision").scalar()
+    drops = scores.where(F.col("feature") != "").select(
+        "feature", (plain_score - F.col("average_precision")).alias("drop")
     )
-    drops = scores.where(F.col("feature") != "").crossJoin(F.broadcast(reference))
-    drop = F.col("reference") - F.col("average_precision")
+    drop = F.col("drop")
     return (
         drops.groupBy("feature")
         .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std"))

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartwright.ml.preprocess import (
@@ -39,10 +40,9 @@ class FittedModel:
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class); one row per class."""
     counts = train.groupBy(label).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
-    return counts.crossJoin(F.broadcast(totals)).select(
-        label, F.try_divide("rows", F.col("classes") * F.col("n")).alias("class_weight")
-    )
+    classes = W.partitionBy(F.lit(0))
+    rows, kinds = F.sum("n").over(classes), F.count("*").over(classes)
+    return counts.select(label, F.try_divide(rows, kinds * F.col("n")).alias("class_weight"))
 
 
 def fit(train: DataFrame, label: str, classifier) -> FittedModel:

@@ -21,14 +21,10 @@ def hot_keys(
     keys can pass it: the result has a proven bound and may be broadcast.
     """
     counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    bar = counts.agg(
-        F.greatest(F.lit(rows_per_part), F.floor(F.sum("n") / max_keys)).alias("bar")
-    )
-    return (
-        counts.crossJoin(F.broadcast(bar))
-        .where(F.col("n") > F.col("bar"))
-        .select(key, F.ceil(F.col("n") / F.col("bar")).cast("int").alias("parts"))
-    )
+    share = F.floor(F.sum("n") / max_keys)
+    bar = counts.agg(F.greatest(F.lit(rows_per_part), share)).scalar()
+    hot = counts.where(F.col("n") > bar)
+    return hot.select(key, F.ceil(F.col("n") / bar).cast("int").alias("parts"))
 
 
 def spread_join(
