@@ -57,7 +57,7 @@ def point_in_time_features(customers: DataFrame, shaped: DataFrame) -> DataFrame
         ),
         cutoffs,
         "user_pseudo_id",
-        spread_on="event_id",
+        spread_on=("event_id", "event_timestamp"),
     ).where(F.col("event_timestamp") <= F.col("first_order_timestamp"))
 
     def events(name: str) -> Column:

@@ -31,7 +31,7 @@ def spread_join(
     facts: DataFrame,
     dims: DataFrame,
     key: str,
-    spread_on: str,
+    spread_on: tuple[str, ...],
     rows_per_part: int = 2_000_000,
 ) -> DataFrame:
     """Inner join of ``facts`` to ``dims`` (one row per key) with hot keys split.
@@ -42,7 +42,7 @@ def spread_join(
     hot = F.broadcast(hot_keys(facts.select(key), key, rows_per_part))
     parts = F.coalesce(F.col("parts"), F.lit(1))
     dealt = facts.join(hot, key, "left").withColumn(
-        "part", F.pmod(F.xxhash64(spread_on), parts).cast("int")
+        "part", F.pmod(F.xxhash64(*spread_on), parts).cast("int")
     )
     copied = dims.join(hot, key, "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), parts - 1))
@@ -53,7 +53,7 @@ def spread_join(
 def value_ranges(df: DataFrame, column: str, ranges: int) -> DataFrame:
     """Adds ``value_range``: the quantile range of ``column`` each row falls in."""
     steps = [i / ranges for i in range(1, ranges)]
-    found = df.approxQuantile(column, steps, 0.001)
+    found = df.approxQuantile(column, steps, 1 / (4 * ranges))
     cuts = sorted(set(found))
     if not cuts:
         return df.withColumn("value_range", F.lit(0.0))
@@ -67,15 +67,19 @@ def running_totals(
     sums: list[str],
     by: tuple[str, ...] = (),
     descending: bool = False,
-    ranges: int = 200,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Adds ``cum_<column>``: sums over this and all earlier ``order`` values.
 
     ``order`` is distinct inside each group. Rows are cut into value ranges at
     approximate quantiles; each range is summed on its own and the totals of the
     ranges before it are added. The quantiles only balance the work, the sums
-    are exact. The input is stored once, because it is read three times.
+    are exact. The input is stored once, because it is read three times. There
+    are as many ranges as the session has shuffle partitions, within limits.
     """
+    if ranges is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(max(partitions, 8), 2000)
     cut = value_ranges(stage(df, "totals"), order, ranges)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = (

@@ -33,7 +33,7 @@ def test_hot_keys_are_found_and_bounded(skewed):
 
 def test_spread_join_equals_plain_join(spark, skewed):
     dims = spark.range(40).select(F.col("id").alias("key"), (F.col("id") * 2).alias("d"))
-    spread = spread_join(skewed, dims, "key", "id", rows_per_part=500)
+    spread = spread_join(skewed, dims, "key", ("id",), rows_per_part=500)
     plain = skewed.join(dims, "key")
     assert spread.columns == plain.columns
     assert spread.exceptAll(plain).count() == 0 and plain.exceptAll(spread).count() == 0
