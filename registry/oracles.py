@@ -106,6 +106,7 @@ def phase(day: str) -> str:
 
 
 def family(category: str, apparel: str) -> str:
+    # The product families in matching order.
     rules = (
         ("Apparel", apparel),
         ("Drinkware", "drinkware|mugs|tumblers|water bottles"),
