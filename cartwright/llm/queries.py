@@ -4,15 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartwright.llm import url_filter
+from cartwright.llm.language import fit_language_model, held_out, predict_language
+from cartwright.llm.line_dedup import dedup_lines
 from cartwright.llm.near_duplicates import near_duplicates
+from cartwright.llm.packing import pack
+from cartwright.llm.secret_scan import fit_formats, scan_secrets
 from cartwright.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "text", "lines_removed")
+
+
+def _joined(spans: str) -> Column:
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_formats(docs))
+    counts = [
+        F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    digest = F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, _joined("spans").alias("spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict_language(docs, fit_language_model(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(table(spark, sf_dir, "documents"))
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -21,9 +62,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_secret_scans": op4_secret_scans,
+        "op5_language_id": op5_language_id,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op9_url_filters": op9_url_filters,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def all_statements() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": url_filter.statement()}
