@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import url_filter
+from cartwright.llm import hamming, url_filter
+from cartwright.llm.html_text import extract_text, fit_tag_weights
 from cartwright.llm.language import fit_language_model, held_out, predict_language
 from cartwright.llm.line_dedup import dedup_lines
 from cartwright.llm.near_duplicates import near_duplicates
+from cartwright.llm.neighbours import nearest_vectors
 from cartwright.llm.packing import pack
 from cartwright.llm.secret_scan import fit_formats, scan_secrets
 from cartwright.llm.tables import table
@@ -23,6 +25,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("row.doc_id").alias("doc_id"), "text", "lines_removed")
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest_codes(table(spark, sf_dir, "embeddings"))
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
@@ -50,6 +56,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, fit_tag_weights(pages))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -63,13 +78,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_exact_top_k": op2_exact_top_k,
         "op4_secret_scans": op4_secret_scans,
         "op5_language_id": op5_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
+        "op8_html_extraction": op8_html_extraction,
         "op9_url_filters": op9_url_filters,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def all_statements() -> dict[str, str]:
-    return {"op9_url_filters": url_filter.statement()}
+    return {
+        "op2_exact_top_k": hamming.statement(),
+        "op9_url_filters": url_filter.statement(),
+    }
