@@ -107,11 +107,14 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Of several rows with that id, one stays (the least text). All columns are kept.
     """
     groups = near_duplicates(docs, id_column, text_column)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp")
-    best = kept.groupBy("doc_id").agg(F.min("fp").alias("_fp"))
-    rows = docs.select(F.struct("*").alias("_row")).withColumn(
-        "_id", F.col("_row")[id_column].cast("long")
-    )
-    found = rows.join(best.withColumnRenamed("doc_id", "_key"), F.col("_id").eqNullSafe(F.col("_key")))
-    first = found.groupBy("_id").agg(F.min_by("_row", F.struct(F.col("_row")[text_column])).alias("_row"))
-    return first.select("_row.*")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = groups.where(first).select(_key("doc_id").alias("_key")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), _key(id_column).alias("_key"))
+    text = F.struct(F.col("_row")[text_column])
+    least = rows.join(kept, "_key").groupBy("_key").agg(F.min_by("_row", text).alias("_row"))
+    return least.select("_row.*")
+
+
+def _key(id_column: str) -> Column:
+    """The id as a text that is never null, so null ids join."""
+    return F.coalesce(F.col(id_column).cast("long").cast("string"), F.lit("null"))

@@ -15,6 +15,7 @@ from cartwright.llm.near_duplicates import near_duplicates
 from cartwright.llm.neighbours import nearest_vectors
 from cartwright.llm.packing import pack
 from cartwright.llm.secret_scan import fit_formats, scan_secrets
+from cartwright.llm.sentence_pieces import decode_pieces, encode_pieces
 from cartwright.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,12 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    text_crc32 = F.crc32(F.col("text").cast("binary")).alias("text_crc32")
+    return decoded.select("doc_id", "n_ids", "ids_crc32", text_crc32)
+
+
 def _joined(spans: str) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
@@ -79,6 +86,7 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_exact_top_k": op2_exact_top_k,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_secret_scans": op4_secret_scans,
         "op5_language_id": op5_language_id,
         "op6_best_fit_packing": op6_best_fit_packing,

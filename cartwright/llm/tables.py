@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows`` rows and about ``BYTES`` bytes."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``size`` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         each = max(1, batch.nbytes // batch.num_rows)
-        step = max(1, min(rows, BYTES // each))
+        step = max(1, min(rows, size // each))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
