@@ -61,7 +61,7 @@ BLOCKS = frozenset(
 GAPS = frozenset(("br", "td", "th", "wbr"))
 
 WORD_SCORE = 1.0
-UNSEEN_TAG = -0.5
+UNSEEN_TAG = -0.2
 LEAST_COST = 0.1
 #: About this many labelled pages, chosen by a hash, are learned from.
 LABELLED_PAGES = 2000
