@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import combinations
@@ -23,10 +25,14 @@ END_ID = 0
 GROUP_PIECES = 16_384
 #: Of the giving bin, pairs of this many longest pieces are tried.
 PAIRED = 24
-#: Distinct words whose ids a worker remembers; on reaching it the memory starts anew.
-WORDS_REMEMBERED = 300_000
+#: Distinct words, and distinct stems, whose ids a worker remembers; the half used least
+#: lately is dropped.
+WORDS_REMEMBERED = 600_000
 #: Longer runs without a blank are encoded each time.
 WORD_LENGTH = 64
+#: Words of Latin letters with marks behind them. The vocabulary lower-cases the letters and
+#: cuts before the marks, so the two parts can be looked up on their own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,6 +43,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others are numbered from 256 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (byte for byte in range(256) if byte not in plain)
+    return {byte: chr(byte) for byte in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+class Memory:
+    """Values of keys met lately: at most ``size``, in two halves, the older one dropped."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def settle(self) -> None:
+        if len(self.now) > self.size // 2:
+            self.now, self.before = {}, self.now
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, remembered word by word.
 
@@ -49,26 +78,54 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.model = self.tokenizer.model
+        self.letters = {chr(b): c for b, c in byte_letters().items()}
+        self.words, self.stems = Memory(WORDS_REMEMBERED), Memory(WORDS_REMEMBERED)
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _encode(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _stem(self, stem: str) -> bytes:
+        """Ids of lower-case Latin letters: the merges of the vocabulary on their bytes."""
+        if not stem.isascii():
+            stem = "".join([self.letters[c] for c in stem.encode().decode("latin-1")])
+        ids = [token.id for token in self.model.tokenize(stem)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, word: str) -> bytes:
+        parts = PLAIN.fullmatch(word)
+        if not parts or len(word) > WORD_LENGTH:
+            return self._encode(word)
+        stem, marks = parts[1].lower(), parts[2]
+        stems = self.stems
+        ids = stems.now.get(stem)
+        if ids is None:
+            ids = stems.before.get(stem)
+            stems.now[stem] = ids = self._stem(stem) if ids is None else ids
+        tail = self.marks.get(marks)
+        if tail is None:
+            tail = self._encode(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = tail
+        return ids + tail
 
     def of(self, text: str | None) -> bytes:
         words = text.replace("\n", " ").split(" ") if text else []
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > WORDS_REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            found = dict(zip(new, self._encode(new)))
-            if len(known) + len(new) > WORDS_REMEMBERED or any(len(w) > WORD_LENGTH for w in new):
-                known.update({w: ids for w, ids in found.items() if len(w) <= WORD_LENGTH})
-                return b"".join([known[w] if w in known else found[w] for w in words])
-            known.update(found)
-        return b"".join([known[w] for w in words])
+        now, before = self.words.now, self.words.before
+        long = []
+        for word in set(words).difference(now):
+            ids = before.get(word)
+            now[word] = self._new(word) if ids is None else ids
+            if len(word) > WORD_LENGTH:
+                long.append(word)
+        out = b"".join([now[w] for w in words])
+        for word in long:
+            del now[word]
+        self.words.settle()
+        self.stems.settle()
+        return out
 
 
 def token_pieces(
