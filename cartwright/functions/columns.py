@@ -78,6 +78,29 @@ def ratio(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     return F.round(F.try_divide(part, whole), digits)
 
 
+#: Decimal places of amounts; a finer amount is an error.
+MONEY_SCALE = 2
+
+
+def money(amount: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """A double amount as an exact decimal."""
+    amount = F.col(amount) if isinstance(amount, str) else amount
+    exact = amount.cast(f"decimal(28, {scale})")
+    finer = F.raise_error(F.lit(f"an amount has more than {scale} decimal places"))
+    return F.when(amount.isNull() | (exact.cast("double") == amount.cast("double")), exact).otherwise(
+        finer
+    )
+
+
+def money_sum(amount: str | Column) -> Column:
+    """Sum of amounts, the same in every order and partitioning; cast to double last."""
+    return F.sum(money(amount)).cast("double")
+
+
+def money_mean(amount: str | Column) -> Column:
+    return F.try_divide(money_sum(amount), F.count(amount))
+
+
 def period_label(
     day: Column | str, periods: tuple[Period, ...], other: str | None = None
 ) -> Column:
@@ -114,12 +137,20 @@ def family_patterns(apparel: str | None = None) -> tuple[tuple[str, str], ...]:
     )
 
 
+#: Fixed value: the characters that trimming removes, besides the blank.
+WHITE_SPACE = (
+    " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def product_family(
     category: str, patterns: tuple[tuple[str, str], ...] = FAMILY_PATTERNS
 ) -> Column:
     """Ordered first-match classification; missing categories become ``(not set)``."""
     text = F.lower(category)
-    missing = F.col(category).isNull() | (F.trim(category) == "") | (text == "(not set)")
+    blank = F.btrim(category, F.lit(WHITE_SPACE)) == ""
+    missing = F.col(category).isNull() | blank | (text == "(not set)")
     family = F.when(missing, "(not set)")
     for name, pattern in patterns:
         family = family.when(text.rlike(pattern), name)
@@ -137,9 +168,10 @@ def monday(day: str) -> Column:
 def earliest(value: str, only_event: str | None = None) -> Column:
     """First non-NULL ``value`` in time order, optionally of one event type.
 
-    ``min_by`` skips rows whose ordering is NULL, so the condition sits there.
+    ``min_by`` skips rows whose ordering is NULL, so the condition sits there. The
+    value ends the ordering: exports without event ids give one result in any row order.
     """
     usable = F.col(value).isNotNull()
     if only_event is not None:
         usable = usable & is_step(only_event)
-    return F.min_by(value, F.when(usable, F.struct("event_timestamp", "event_id")))
+    return F.min_by(value, F.when(usable, F.struct("event_timestamp", "event_id", value)))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.functions.columns import pct
+from cartwright.functions.columns import money_mean, pct
 from cartwright.ml.stats import exact_medians
 from cartwright.operators.shares import share_of_grand_total
 from cartwright.sources.schema import FEATURES, NUMERIC_FEATURES
 
 DAYS = "days_first_visit_to_purchase"
+REVENUE = "first_order_revenue"
 
 
 def target_distribution(features: DataFrame, label: str) -> DataFrame:
@@ -31,12 +32,10 @@ def missing_summary(features: DataFrame) -> DataFrame:
 
 
 def means_by_target(features: DataFrame, label: str) -> DataFrame:
-    measured = [c for c in NUMERIC_FEATURES if c != DAYS]
-    return (
-        features.groupBy(label)
-        .agg(*[F.round(F.avg(c), 2).alias(c) for c in measured])
-        .orderBy(label)
-    )
+    measured = {c: F.avg(c) for c in NUMERIC_FEATURES if c != DAYS}
+    measured[REVENUE] = money_mean(REVENUE)
+    means = [F.round(mean, 2).alias(c) for c, mean in measured.items()]
+    return features.groupBy(label).agg(*means).orderBy(label)
 
 
 def missing_by_target(features: DataFrame, label: str, column: str = DAYS) -> DataFrame:

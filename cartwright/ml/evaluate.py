@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.operators.skew import running_totals
+from cartwright.sources.staging import stage
 
 
 def score_curve(
@@ -13,17 +14,23 @@ def score_curve(
 ) -> DataFrame:
     """Per distinct score: positives and negatives there, and at or above it.
 
-    Rows shrink to distinct scores before anything is ordered.
+    Rows shrink to distinct scores before anything is ordered. A missing or NaN score
+    is an error.
     """
-    counts = scored.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+    value = F.col(score).cast("double")
+    known = F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit("a score is missing")))
+    counts = stage(
+        scored.groupBy(*by, known.otherwise(value).alias("threshold")).agg(
+            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
+        ),
+        "scores",
     )
-    curve = running_totals(counts, "threshold", ["pos", "neg"], by=by, descending=True)
-    largest = {"all_pos": F.max("cum_pos"), "all_neg": F.max("cum_neg")}
+    curve = running_totals(counts, "threshold", ["pos", "neg"], by=by, descending=True, stored=True)
+    sums = {"all_pos": F.sum("pos"), "all_neg": F.sum("neg")}
     if not by:
-        return curve.withColumns({c: curve.agg(m).scalar() for c, m in largest.items()})
+        return curve.withColumns({c: counts.agg(total).scalar() for c, total in sums.items()})
     # One row of totals per curve.
-    totals = curve.groupBy(*by).agg(*[m.alias(c) for c, m in largest.items()])
+    totals = counts.groupBy(*by).agg(*[total.alias(c) for c, total in sums.items()])
     return curve.join(F.broadcast(totals), list(by))
 
 

@@ -13,18 +13,19 @@ from cartwright.sources.staging import stage
 
 
 def shuffled_positions(
-    keys: DataFrame, key: str, repeats: int, seed: int, buckets: int = 1024
+    keys: DataFrame, key: str, repeats: int, seed: int, digits: int = 3
 ) -> DataFrame:
     """Position of every row in ``repeats + 1`` random orders of the table.
 
-    A random order sorts by a hash. Rows are ranked inside hash buckets and the
-    sizes of the earlier buckets are added, so no task sorts the whole table.
+    A random order sorts by a hash (md5 of key, repeat and seed). Rows are ranked
+    inside buckets of the leading hash digits and the sizes of the earlier buckets
+    are added, so no task sorts the whole table; ``digits`` only places the work.
     Order 0 is the one the others are compared with.
     """
     orders = keys.select(
         key, F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("repeat")
-    ).withColumn("hash", F.xxhash64(F.col(key), F.col("repeat"), F.lit(seed)))
-    placed = orders.withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    ).withColumn("hash", F.md5(F.concat_ws(":", F.col(key), "repeat", F.lit(seed))))
+    placed = orders.withColumn("bucket", F.substring("hash", 1, digits))
     in_bucket = W.partitionBy("repeat", "bucket").orderBy("hash", key)
     earlier = (
         W.partitionBy("repeat").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -91,7 +92,7 @@ def permutation_importance(
     )
     scored = model.predict(shuffled.unionByName(plain))
     by = ("feature", "repeat")
-    scores = average_precision(score_curve(scored, label, by=by), by)
+    scores = stage(average_precision(score_curve(scored, label, by=by), by), "importance")
     plain_score = scores.where(F.col("feature") == "").select("average_precision").scalar()
     drops = scores.where(F.col("feature") != "").select(
         "feature", (plain_score - F.col("average_precision")).alias("drop")

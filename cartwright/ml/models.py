@@ -108,6 +108,36 @@ def coefficients(model: FittedModel, spark) -> DataFrame:
     return spark.createDataFrame(rows, schema).orderBy(F.desc("abs_coefficient"), "feature")
 
 
+def penalised_gradient(
+    model: FittedModel, train: DataFrame, label: str, strength: float = 1.0
+) -> DataFrame:
+    """Per slot, the gradient of the penalised weighted loss at the fitted coefficients.
+
+    It vanishes at the optimum, which is the only one. Residuals are taken per row and
+    summed per slot over the values that are not zero.
+    """
+    weights = class_weights(train, label)
+    y = F.col(label)
+    rows = model.classifier.transform(model.encoding.transform(model.preprocessing.prepare(train)))
+    residuals = rows.join(F.broadcast(weights), label).select(
+        ((vector_to_array("probability")[1] - y) * F.col("class_weight")).alias("residual"),
+        F.posexplode(vector_to_array("features")).alias("slot", "value"),
+    )
+    sums = (
+        residuals.where(F.col("value") != 0)
+        .groupBy("slot")
+        .agg(F.sum(F.col("residual") * F.col("value")).alias("loss"))
+    )
+    slots = train.sparkSession.createDataFrame(
+        [(i, n, float(c)) for i, (n, c) in enumerate(zip(model.names, model.classifier.coefficients))],
+        "slot int, feature string, coefficient double",
+    )
+    return slots.join(sums, "slot", "left").select(
+        "feature",
+        (F.col("coefficient") / strength + F.coalesce("loss", F.lit(0.0))).alias("gradient"),
+    )
+
+
 def top_signed(coefs: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` largest and the ``n`` smallest coefficients."""
     up = coefs.orderBy(F.desc("coefficient"), "feature").limit(n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.operators.skew import running_totals
+from cartwright.sources.staging import stage
 
 
 def exact_medians(df: DataFrame, by: str, value: str = "value") -> DataFrame:
@@ -15,12 +16,13 @@ def exact_medians(df: DataFrame, by: str, value: str = "value") -> DataFrame:
     holds the middle position (or the two middle ones).
     """
     known = df.where(F.col(value).isNotNull() & F.col(by).isNotNull())
-    counted = known.groupBy(by, F.col(value).cast("double").alias("value")).agg(
-        F.count("*").alias("n")
+    counted = stage(
+        known.groupBy(by, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")),
+        "values",
     )
-    totals = running_totals(counted, "value", ["n"], by=(by,))
+    totals = running_totals(counted, "value", ["n"], by=(by,), stored=True)
     # One row per group, groups being classes or feature names.
-    sizes = totals.groupBy(by).agg(F.max("cum_n").alias("size"))
+    sizes = counted.groupBy(by).agg(F.sum("n").alias("size"))
 
     def holds(position):
         return (F.col("cum_n") - F.col("n") < position) & (position <= F.col("cum_n"))

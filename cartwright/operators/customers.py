@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -46,18 +46,25 @@ def repeat_label(days: int) -> Column:
 def point_in_time_features(customers: DataFrame, shaped: DataFrame) -> DataFrame:
     """Counts over each customer's events up to and including the first order.
 
-    The join is spread, since a customer may own a large part of the events; the
-    time condition is checked right in the join, and counts are combined on the
-    map side before the next shuffle.
+    Events after the last of these orders count for nobody: their days are not read.
+    Only events of the given customers go into the spread join, and only their rows
+    are counted to find the customers whose events must be split. The time condition
+    is checked right in the join, and counts are combined on the map side before the
+    next shuffle.
     """
     cutoffs = customers.select("user_pseudo_id", "first_order_timestamp")
+    last = cutoffs.agg(F.max("first_order_timestamp")).first()[0]
+    if last is None:
+        last = -1
+    # Days are named in the property's zone, at most a day away from the UTC day.
+    last_day = (datetime.fromtimestamp(last / 1e6, UTC) + timedelta(days=1)).strftime("%Y%m%d")
+    theirs = (
+        shaped.where((F.col("event_timestamp") <= last) & (F.col("event_date") <= last_day))
+        .select("user_pseudo_id", "event_id", "event_timestamp", "event_name", "ga_session_id")
+        .join(cutoffs.select("user_pseudo_id"), "user_pseudo_id", "left_semi")
+    )
     seen = spread_join(
-        shaped.select(
-            "user_pseudo_id", "event_id", "event_timestamp", "event_name", "ga_session_id"
-        ),
-        cutoffs,
-        "user_pseudo_id",
-        spread_on=("event_id", "event_timestamp"),
+        theirs, cutoffs, "user_pseudo_id", spread_on=("event_id", "event_timestamp")
     ).where(F.col("event_timestamp") <= F.col("first_order_timestamp"))
 
     def events(name: str) -> Column:

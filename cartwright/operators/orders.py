@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartwright.functions.columns import placeholder_transaction, valid_transaction
+from cartwright.functions.columns import money, placeholder_transaction, valid_transaction
 from cartwright.operators.sessions import SESSION
 
 GRAINS = {
@@ -135,7 +135,7 @@ def orders_within_days(customers: DataFrame, orders: DataFrame, days: int = 30)
     has_items = "item_quantity" in orders.columns
     daily = orders.groupBy("user_pseudo_id", "order_date").agg(
         F.count("*").alias("orders"),
-        F.sum("order_revenue").alias("revenue"),
+        F.sum(money("order_revenue")).alias("revenue"),
         *([F.sum("item_quantity").alias("items")] if has_items else []),
     )
     inside = F.col("order_date").between(
@@ -147,7 +147,7 @@ def orders_within_days(customers: DataFrame, orders: DataFrame, days: int = 30)
         .groupBy(*customers.columns)
         .agg(
             F.sum("orders").alias("orders_in_window"),
-            F.round(F.sum("revenue"), 2).alias("revenue_in_window"),
+            F.sum("revenue").cast("double").alias("revenue_in_window"),
             *([F.sum("items").alias("items_in_window")] if has_items else []),
         )
     )

@@ -77,7 +77,7 @@ def first_channel() -> list[Column]:
 
 def first_viewed_category() -> Column:
     """Category of the first view, which may be missing (NULL) itself."""
-    views = F.when(is_step("view_item"), F.struct("event_timestamp", "event_id"))
+    views = F.when(is_step("view_item"), F.struct("event_timestamp", "event_id", "item_category"))
     return F.min_by("item_category", views).alias("first_viewed_category")
 
 

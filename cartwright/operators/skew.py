@@ -37,9 +37,11 @@ def spread_join(
     """Inner join of ``facts`` to ``dims`` (one row per key) with hot keys split.
 
     Rows of a hot key are dealt to several parts by a hash of ``spread_on`` and
-    the one dimension row is copied to each part; other keys stay as they are.
+    the one dimension row is copied to each part; other keys stay as they are. The
+    small table of hot keys is found once and stored, both sides read it.
     """
-    hot = F.broadcast(hot_keys(facts.select(key), key, rows_per_part))
+    found = stage(hot_keys(facts.select(key), key, rows_per_part), "hot-keys")
+    hot = F.broadcast(found)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     dealt = facts.join(hot, key, "left").withColumn(
         "part", F.pmod(F.xxhash64(*spread_on), parts).cast("int")
@@ -68,19 +70,21 @@ def running_totals(
     by: tuple[str, ...] = (),
     descending: bool = False,
     ranges: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Adds ``cum_<column>``: sums over this and all earlier ``order`` values.
 
     ``order`` is distinct inside each group. Rows are cut into value ranges at
     approximate quantiles; each range is summed on its own and the totals of the
     ranges before it are added. The quantiles only balance the work, the sums
-    are exact. The input is stored once, because it is read three times. There
-    are as many ranges as the session has shuffle partitions, within limits.
+    are exact. The input is stored once, because it is read three times, unless
+    the caller has done so (``stored``). There are as many ranges as the session
+    has shuffle partitions, within limits.
     """
     if ranges is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(max(partitions, 8), 2000)
-    cut = value_ranges(stage(df, "totals"), order, ranges)
+    cut = value_ranges(df if stored else stage(df, "totals"), order, ranges)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = (
         W.partitionBy(*by, "value_range")

@@ -10,6 +10,7 @@ from cartwright.functions.columns import (
     PHASES,
     event_time,
     label_rank,
+    money,
     pct,
     phase_label,
     placeholder_transaction,
@@ -82,7 +83,7 @@ def dq_purchase_transactions(events: DataFrame, config: CommerceConfig) -> DataF
     merged = (
         purchase_rows(shape_events(events))
         .groupBy(*SESSION, "transaction_id")
-        .agg(F.count("*").alias("n"), F.sum("purchase_revenue").alias("revenue"))
+        .agg(F.count("*").alias("n"), F.sum(money("purchase_revenue")).alias("revenue"))
     )
     missing = F.col("transaction_id").isNull() | (F.col("transaction_id") == "")
     return merged.agg(
@@ -92,7 +93,7 @@ def dq_purchase_transactions(events: DataFrame, config: CommerceConfig) -> DataF
         ),
         F.count_distinct("transaction_id").alias("unique_transaction_ids"),
         distinct_sessions().alias("purchase_sessions"),
-        F.round(F.sum("revenue"), 2).alias("summed_purchase_revenue"),
+        F.round(F.sum("revenue").cast("double"), 2).alias("summed_purchase_revenue"),
     )
 
 

@@ -9,6 +9,9 @@ from cartwright.config import FUNNEL_STEPS, STEP_FLAGS, CommerceConfig
 from cartwright.functions.columns import (
     event_time,
     label_rank,
+    money,
+    money_mean,
+    money_sum,
     pct,
     period_label,
     ratio,
@@ -136,7 +139,7 @@ def kpi_clean_orders(events: DataFrame, config: CommerceConfig) -> DataFrame:
     per_order = orders.select(
         *SESSION,
         F.lit(1).alias("orders"),
-        F.col("order_revenue").alias("revenue_sum"),
+        money("order_revenue").alias("revenue_sum"),
         F.col("order_revenue").isNotNull().cast("int").alias("with_revenue"),
         F.col("item_quantity").alias("items_sold"),
         F.col("item_quantity").isNotNull().cast("int").alias("with_quantity"),
@@ -150,6 +153,7 @@ def kpi_clean_orders(events: DataFrame, config: CommerceConfig) -> DataFrame:
     overall = per_user.withColumn("purchasers", F.lit(1)).agg(
         *totals("purchasing_sessions", "purchasers")
     )
+    overall = overall.withColumn("revenue_sum", F.col("revenue_sum").cast("double"))
     return overall.select(
         *[
             F.coalesce(c, F.lit(0)).alias(c)
@@ -168,8 +172,8 @@ SUMS = ("orders", "revenue_sum", "with_revenue", "items_sold", "with_quantity")
 
 def order_totals() -> list[Column]:
     return [
-        F.round(F.sum("order_revenue"), 2).alias("revenue"),
-        F.round(F.avg("order_revenue"), 2).alias("average_order_value"),
+        F.round(money_sum("order_revenue"), 2).alias("revenue"),
+        F.round(money_mean("order_revenue"), 2).alias("average_order_value"),
         F.sum("item_quantity").alias("items_sold"),
     ]
 
@@ -242,7 +246,7 @@ def kpi_monthly_orders(events: DataFrame, config: CommerceConfig) -> DataFrame:
             F.sum("events").alias("events"),
             F.sum("valid_events").alias("valid_events"),
             F.count_if(is_order).alias("orders"),
-            F.sum(F.when(is_order, F.col("first.purchase_revenue"))).alias("revenue_sum"),
+            F.sum(money(F.when(is_order, F.col("first.purchase_revenue")))).alias("revenue_sum"),
             F.count(F.when(is_order, F.col("first.purchase_revenue"))).alias("with_revenue"),
             F.sum(F.when(is_order, F.col("first.total_item_quantity"))).alias("items_sold"),
         )
@@ -255,7 +259,7 @@ def kpi_monthly_orders(events: DataFrame, config: CommerceConfig) -> DataFrame:
             F.count_distinct(F.when(ordered, F.col("event_day"))).alias("observed_days"),
             F.sum("orders").alias("orders"),
             F.count_distinct(F.when(ordered, F.col("user_pseudo_id"))).alias("purchasers"),
-            F.sum("revenue_sum").alias("revenue_sum"),
+            F.sum("revenue_sum").cast("double").alias("revenue_sum"),
             F.sum("with_revenue").alias("with_revenue"),
             F.sum("items_sold").alias("items_sold"),
             F.sum("valid_events").alias("valid_events"),

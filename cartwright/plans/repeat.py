@@ -10,6 +10,8 @@ from cartwright.functions.columns import (
     day_between,
     earliest,
     label_rank,
+    money_mean,
+    money_sum,
     pct,
     period_label,
     raw_day_between,
@@ -72,10 +74,10 @@ def lifecycle_segments(events: DataFrame, config: CommerceConfig) -> DataFrame:
     totals = customer_segments(events, config).groupBy("customer_segment").agg(
         F.count("*").alias("customers"),
         F.avg("orders_in_window").alias("orders_mean"),
-        F.avg("revenue_in_window").alias("revenue_mean"),
+        money_mean("revenue_in_window").alias("revenue_mean"),
         F.avg("items_in_window").alias("items_mean"),
         F.sum("orders_in_window").alias("orders_sum"),
-        F.sum("revenue_in_window").alias("revenue_sum"),
+        money_sum("revenue_in_window").alias("revenue_sum"),
     )
     return totals.select(
         "customer_segment",
@@ -109,7 +111,7 @@ def repeat_purchase_windows(events: DataFrame, config: CommerceConfig) -> DataFr
                 "avg_days_to_second_purchase"
             ),
             F.round(F.avg("orders_in_window"), 2).alias(f"avg_orders_per_customer_{d}d"),
-            F.round(F.avg("revenue_in_window"), 2).alias(f"avg_revenue_per_customer_{d}d"),
+            F.round(money_mean("revenue_in_window"), 2).alias(f"avg_revenue_per_customer_{d}d"),
         )
         .orderBy(
             label_rank("first_purchase_period", [p.label for p in config.purchase_periods])

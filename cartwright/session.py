@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+from cartwright.sources.staging import CHECKPOINT_CONF
+
 
 def pin_utc(spark: SparkSession) -> SparkSession:
     """Event days and hours are UTC; make the session agree."""
@@ -11,6 +15,14 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_local_folder(spark: SparkSession) -> SparkSession:
+    """Name a temporary folder for staged tables, in a local session that names none."""
+    unset = not spark.conf.get(CHECKPOINT_CONF, None)
+    if unset and spark.sparkContext.master.startswith("local["):
+        spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="cartwright-"))
+    return spark
+
+
 def local_session(cores: str = "8", app: str = "cartwright") -> SparkSession:
     """Session for tests and the local benchmark."""
     spark = (
@@ -24,4 +36,4 @@ def local_session(cores: str = "8", app: str = "cartwright") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return use_local_folder(spark)

@@ -93,7 +93,7 @@ def emitted_copies() -> Column:
     name, ets, eid, value = (F.col(c) for c in ("name", "ets", "event_id", "value"))
     starts = (eid == F.col("session_first_event")) & (F.col("k") % 10 != 0)
     repeats = (name == "purchase") & (eid % 9 == 0)
-    repeated_value = value + F.when(eid % 27 == 0, 1.0).otherwise(0.0)
+    repeated_value = F.round(value + F.when(eid % 27 == 0, 1.0).otherwise(0.0), 2)
     return F.concat(
         copies(None, name, ets, eid, value),
         copies(F.coalesce(starts, F.lit(False)), F.lit("session_start"), ets, eid, value),

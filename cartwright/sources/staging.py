@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +10,28 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster the setting is required, because executors do not share local disks.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors must reach."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="cartwright-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path for one staged table; never reused, so a rerun cannot mix results."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def application_folder(spark: SparkSession) -> str:
+    """The folder of everything this application has staged."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def remove_staged(spark: SparkSession) -> bool:
+    """Remove all staged tables of this application; no result built on them can be read after."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from cartwright.config import DRIVER_CONFIG
 from cartwright.ml.models import FittedModel, fit_forest, fit_logistic
 from cartwright.ml.split import stratified_split
+from cartwright.operators.sessions import session_table
 from cartwright.operators.shape import shape_events
 from cartwright.plans.repeat import ml_feature_table
-from cartwright.session import pin_utc
+from cartwright.session import pin_utc, use_local_folder
 from cartwright.sources.driver_events import canonical_events
 from cartwright.sources.staging import stage, staging_path
 from cartwright.sources.tables import (
@@ -30,12 +31,13 @@ KEY = "user_pseudo_id"
 # the form in which an event export arrives. Finding the sessions costs a join over
 # all events; no report should repeat it, and only stored events let a report skip
 # days, event types and columns. The feature table, the split and the models follow
-# in the same way.
+# in the same way. They are kept for the session by folder: the tables of a folder must
+# not change while a session runs.
 
 
 @lru_cache(maxsize=None)
 def event_path(spark: SparkSession, sf_dir: str, split: int, gap_hours: int) -> str:
-    path = staging_path(spark, f"events-{split}-{gap_hours}")
+    path = staging_path(use_local_folder(spark), f"events-{split}-{gap_hours}")
     write_events(canonical_events(pin_utc(spark), sf_dir, split, gap_hours), path)
     return path
 
@@ -57,6 +59,12 @@ def shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_events(events(spark, sf_dir))
 
 
+@lru_cache(maxsize=None)
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per session, found once for all session reports."""
+    return stage(session_table(shaped(spark, sf_dir)), "sessions")
+
+
 @lru_cache(maxsize=None)
 def shaped_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_events(customer_events(spark, sf_dir))
@@ -64,7 +72,7 @@ def shaped_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def feature_path(spark: SparkSession, sf_dir: str) -> str:
-    path = staging_path(spark, "features")
+    path = staging_path(use_local_folder(spark), "features")
     rows = ml_feature_table(customer_events(spark, sf_dir), DRIVER_CONFIG)
     write_feature_table(rows, path, LABEL)
     return path
@@ -91,6 +99,7 @@ def model(spark: SparkSession, sf_dir: str, kind: str) -> FittedModel:
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed label and score, to check the quality measures against SQL."""
+    use_local_folder(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
     return labels.join(documents, "doc_id").select(

@@ -6,6 +6,8 @@ orders and customers are derived again, with window functions over ``events``.
 
 from __future__ import annotations
 
+from cartwright.functions.columns import WHITE_SPACE
+
 HOUR_MICROS = 3_600_000_000
 
 
@@ -38,7 +40,7 @@ sent AS (
   FROM placed WHERE pos = 1 AND k % 10 <> 0
   UNION ALL
   SELECT event_id + 1000000000, us + 1000000, nm,
-         value + CASE WHEN event_id % 27 = 0 THEN 1 ELSE 0 END, uid, user_id, k, opened
+         round(value + CASE WHEN event_id % 27 = 0 THEN 1 ELSE 0 END, 2), uid, user_id, k, opened
   FROM placed WHERE nm = 'purchase' AND event_id % 9 = 0),
 ev AS (
   SELECT event_id, us, nm, uid,
@@ -63,6 +65,15 @@ def pct(part: str, whole: str, digits: int = 2) -> str:
     return f"round(100 * (({part}) / nullif({whole}, 0)), {digits})"
 
 
+def money(column: str) -> str:
+    """Exact sum of amounts in cents, as a double."""
+    return f"cast(sum(cast({column} AS DECIMAL(28, 2))) AS DOUBLE)"
+
+
+def mean_money(column: str) -> str:
+    return f"{money(column)} / count({column})"
+
+
 def has(step: str) -> str:
     return f"cast(bool_or(nm = '{step}') AS INTEGER)"
 
@@ -123,7 +134,7 @@ def family(category: str, apparel: str) -> str:
         f"WHEN regexp_matches(lower({category}), '{p}') THEN '{name}'" for name, p in rules
     )
     return (
-        f"CASE WHEN {category} IS NULL OR trim({category}) = '' "
+        f"CASE WHEN {category} IS NULL OR trim({category}, '{WHITE_SPACE}') = '' "
         f"OR lower({category}) = '(not set)' THEN '(not set)' {whens} ELSE 'Other' END"
     )
 
@@ -245,7 +256,7 @@ def value_cte(orders: str, first: str) -> str:
     return f"""
 cv AS (
   SELECT c.uid, c.{first} AS first_day, c.next_day - c.{first} AS gap, count(o.txn) AS n,
-         round(sum(o.orev), 2) AS rev, cast(sum(o.oqty) AS BIGINT) AS qty
+         {money('o.orev')} AS rev, cast(sum(o.oqty) AS BIGINT) AS qty
   FROM by_ c JOIN {orders} o
     ON o.uid = c.uid AND o.oday >= c.{first} AND o.oday <= c.{first} + 14
   GROUP BY ALL)"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartwright.config import DRIVER_CONFIG as CONFIG
@@ -47,10 +48,7 @@ def purchases(spark, sf) -> DataFrame:
 
 
 def src_events(spark, sf):
-    month = CONFIG.audit_month
-    path = inputs.event_path(spark, sf, 1, 12)
-    stored = tables.read_events(spark, path, month.start, month.end)
-    return shape.shape_events(stored).select(
+    return shape.shape_events(inputs.events(spark, sf)).select(
         "event_id",
         "event_timestamp",
         "event_date",
@@ -615,6 +613,126 @@ def ml_average_precision(spark, sf):
     )
 
 
+# Each report of the held-out rows by the fitted models. The keys, labels and row totals
+# are checked against SQL; the measures themselves on the fixed scores above and below.
+
+
+def on_models(report: Callable) -> Query:
+    """``report`` over the predictions of each fitted model, one after the other."""
+
+    def query(spark, sf):
+        parts = [
+            report(predictions(spark, sf, kind)).select(F.lit(kind).alias("model"), "*")
+            for kind in ("logistic", "forest")
+        ]
+        return parts[0].unionByName(parts[1])
+
+    return query
+
+
+def model_measures(scored: DataFrame) -> DataFrame:
+    return evaluate.model_scores(scored, LABEL, "").select(
+        F.round("ROC_AUC", 6).alias("roc_auc"), F.round("PR_AUC", 6).alias("average_precision")
+    )
+
+
+def logistic_curve(spark, sf):
+    return evaluate.pr_curve(evaluate.score_curve(predictions(spark, sf), LABEL))
+
+
+def ml_model_support(spark, sf):
+    """What the reports of the fitted models count: held-out rows per model and class."""
+    reports = all_queries()
+    support = reports["ml_model_classification_report"](spark, sf)
+    matrix = reports["ml_model_confusion_matrix"](spark, sf)
+    return (
+        support.where("row in ('0', '1')")
+        .select("model", F.col("row").cast("int").alias("actual"), "support")
+        .join(matrix, ["model", "actual"])
+        .select(
+            "model",
+            "actual",
+            "support",
+            (F.col("predicted_0") + F.col("predicted_1")).alias("matrix_rows"),
+        )
+    )
+
+
+def ml_predict_rows(spark, sf):
+    """Every held-out row once per model, with its label and a probability as score."""
+    return ml_predict(spark, sf).select(
+        "model",
+        KEY,
+        LABEL,
+        F.col("score").between(0, 1).alias("score_in_range"),
+        (F.col("predicted") == (F.col("score") > 0.5).cast("int")).alias("class_follows_score"),
+    )
+
+
+def ml_logistic_optimum(spark, sf):
+    """Per slot, whether the penalised gradient vanishes: the problem has one optimum."""
+    fitted = inputs.model(spark, sf, "logistic")
+    return models.penalised_gradient(fitted, train(spark, sf), LABEL).select(
+        "feature", (F.abs("gradient") < 1e-3).alias("vanishes")
+    )
+
+
+def ml_forest_slots(spark, sf):
+    """Slots of the forest; importances are not negative and sum to one."""
+    slots = ml_forest_fit(spark, sf)
+    total = slots.agg(F.round(F.sum("split_importance"), 6)).scalar()
+    return slots.select(
+        "feature",
+        (F.col("split_importance") >= 0).alias("not_negative"),
+        total.alias("total"),
+    )
+
+
+class FixedScore:
+    """A known linear score in place of a fitted model, so its measures can be stated in SQL."""
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        def filled(c):
+            return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+        score = (
+            filled("first_order_items") * 4
+            + filled("product_views_before_purchase") * 2
+            + filled("sessions_before_first_purchase")
+        )
+        return df.select("*", (score > 16).cast("int").alias("predicted"), score.alias("score"))
+
+
+def ml_importance_fixed_score(spark, sf):
+    found = importance.permutation_importance(FixedScore(), test(spark, sf), LABEL, KEY)
+    return found.select(
+        "feature", F.round("importance", 9).alias("importance"), F.round("std", 9).alias("std")
+    )
+
+
+def ml_comparison_fixed_score(spark, sf):
+    scored = FixedScore().predict(test(spark, sf))
+    return evaluate.model_scores(scored, LABEL, "Fixed score").select(
+        "Model", F.round("ROC_AUC", 6).alias("ROC_AUC"), F.round("PR_AUC", 6).alias("PR_AUC")
+    )
+
+
+def ml_signed_slots(spark, sf):
+    """Whether the ten largest and smallest coefficients are those of the whole table."""
+    coefs = ml_coefficients(spark, sf)
+    top = ml_top_signed_coefficients(spark, sf)
+    rank = {
+        "positive": F.row_number().over(W.orderBy(F.desc("coefficient"), "feature")),
+        "negative": F.row_number().over(W.orderBy("coefficient", "feature")),
+    }
+    ranked = [
+        coefs.select(F.lit(d).alias("direction"), "feature", r.alias("place"))
+        for d, r in rank.items()
+    ]
+    places = ranked[0].unionByName(ranked[1])
+    return top.join(places, ["direction", "feature"]).select("direction", "place")
+
+
 def ml_pr_curve(spark, sf):
     points = evaluate.pr_curve(curve(spark, sf))
     return points.select(
@@ -658,6 +776,11 @@ def report(function: Callable, source: Callable) -> Query:
     return lambda spark, sf: function(source(spark, sf), CONFIG)
 
 
+def session_report(function: Callable) -> Query:
+    """A report over the session table that all of them share."""
+    return lambda spark, sf: function(None, CONFIG, sessions=inputs.sessions(spark, sf))
+
+
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "src_events": src_events,
@@ -732,6 +855,7 @@ def all_queries() -> dict[str, Query]:
     }
     for module in (audit, kpi, segments):
         found |= {name: report(f, inputs.events) for name, f in module.REPORTS.items()}
+        found |= {name: session_report(f) for name, f in module.SESSION_REPORTS.items()}
     for module in (retention, repeat):
         found |= {name: report(f, inputs.customer_events) for name, f in module.REPORTS.items()}
     found |= {
@@ -765,5 +889,21 @@ def all_queries() -> dict[str, Query]:
         "ml_permutation_importance": ml_permutation_importance,
         "ml_pr_curve": ml_pr_curve,
         "ml_threshold_f1": ml_threshold_f1,
+        "ml_model_classification_report": on_models(
+            lambda scored: evaluate.classification_report(scored, LABEL)
+        ),
+        "ml_model_confusion_matrix": on_models(
+            lambda scored: evaluate.confusion_matrix(scored, LABEL)
+        ),
+        "ml_model_measures": on_models(model_measures),
+        "ml_model_pr_curve": logistic_curve,
+        "ml_model_threshold_f1": lambda spark, sf: evaluate.threshold_f1(logistic_curve(spark, sf)),
+        "ml_model_support": ml_model_support,
+        "ml_predict_rows": ml_predict_rows,
+        "ml_logistic_optimum": ml_logistic_optimum,
+        "ml_forest_slots": ml_forest_slots,
+        "ml_importance_fixed_score": ml_importance_fixed_score,
+        "ml_comparison_fixed_score": ml_comparison_fixed_score,
+        "ml_signed_slots": ml_signed_slots,
     }
     return found

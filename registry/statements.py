@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from registry.oracles import (
     CATEGORICAL,
     COHORTS,
@@ -37,6 +39,8 @@ from registry.oracles import (
     customer,
     feature_rows,
     has,
+    mean_money,
+    money,
     pct,
     phase,
     plain,
@@ -56,7 +60,7 @@ def shaping() -> dict[str, str]:
       qty AS total_item_quantity, cat AS item_category"""
     ev = plain()
     return {
-        "src_events": f"{ev} SELECT {columns} FROM ev WHERE {MONTH}",
+        "src_events": f"{ev} SELECT {columns} FROM ev",
         "shape_event_param": f"""{ev} SELECT event_id, us AS event_timestamp, nm AS event_name,
             sid AS ga_session_id FROM ev""",
         "shape_struct_fields": f"""{ev} SELECT event_id, nm AS event_name,
@@ -176,8 +180,8 @@ def order_rows() -> dict[str, str]:
                      WHEN gap BETWEEN 8 AND 14 THEN 'Later Repeat Buyer'
                      ELSE 'One-Time Buyer' END AS segment
                    FROM cv WHERE first_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'),
-            ag AS (SELECT segment, count(*) AS n, avg(n) AS an, avg(rev) AS ar, avg(qty) AS aq,
-                     sum(n) AS sn, sum(rev) AS sr FROM sg GROUP BY segment)
+            ag AS (SELECT segment, count(*) AS n, avg(n) AS an, {mean_money('rev')} AS ar, avg(qty) AS aq,
+                     sum(n) AS sn, {money('rev')} AS sr FROM sg GROUP BY segment)
             SELECT segment AS customer_segment, n AS customers,
               {pct('n', 'sum(n) OVER ()')} AS customer_share_pct, round(an, 2) AS avg_orders_14d,
               round(ar, 2) AS avg_revenue_14d, round(aq, 2) AS avg_items_14d,
@@ -190,7 +194,7 @@ def order_rows() -> dict[str, str]:
                    FROM cv WHERE first_day BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'),
             ag AS (SELECT period, count(*) AS n, count(*) FILTER (gap BETWEEN 0 AND 3) AS r3,
                      count(*) FILTER (gap BETWEEN 0 AND 7) AS r7, count(*) FILTER (gap BETWEEN 0 AND 14) AS r14,
-                     avg(gap) FILTER (gap BETWEEN 0 AND 14) AS ag, avg(n) AS an, avg(rev) AS ar
+                     avg(gap) FILTER (gap BETWEEN 0 AND 14) AS ag, avg(n) AS an, {mean_money('rev')} AS ar
                    FROM pr GROUP BY period)
             SELECT period AS first_purchase_period, n AS first_time_purchasers,
               r3 AS repeat_purchasers_3d, r7 AS repeat_purchasers_7d, r14 AS repeat_purchasers_14d,
@@ -309,7 +313,7 @@ def audit_reports() -> dict[str, str]:
             count(*) FILTER (coalesce(txn, '') = '') AS missing_transaction_id,
             count(DISTINCT txn) AS unique_transaction_ids,
             count(DISTINCT {PAIR}) AS purchase_sessions,
-            round(sum(rev), 2) AS summed_purchase_revenue {bought}""",
+            round({money('rev')}, 2) AS summed_purchase_revenue {bought}""",
         "dq_transaction_integrity": f"""{plain()}, pu AS (SELECT * {bought}),
             ids AS (SELECT txn, count(*) AS n, count(DISTINCT uid) AS u,
                       count(DISTINCT {PAIR}) AS s, count(DISTINCT rev) AS r
@@ -388,7 +392,8 @@ def audit_reports() -> dict[str, str]:
 def kpi_reports() -> dict[str, str]:
     ks = plain(KPI_SESSIONS)
     bought = "FROM ev WHERE nm = 'purchase'"
-    totals = """round(sum(orev), 2) AS {revenue}, round(avg(orev), 2) AS average_order_value,
+    totals = f"""round({money('orev')}, 2) AS {{revenue}},
+        round({mean_money('orev')}, 2) AS average_order_value,
         cast(sum(oqty) AS BIGINT) AS items_sold"""
     day_rates = f"""{pct('purchase_sessions', 'sessions')} AS session_conversion_pct,
         {pct('product_view_sessions', 'sessions')} AS product_view_rate_pct,
@@ -426,7 +431,7 @@ def kpi_reports() -> dict[str, str]:
             count(DISTINCT uid) AS purchasers,
             count(DISTINCT uid || '|' || sid) AS purchasing_sessions,
             {totals.format(revenue='revenue')}, round(avg(oqty), 2) AS average_items_per_order,
-            round(sum(orev) / nullif(count(DISTINCT uid), 0), 2) AS revenue_per_purchaser
+            round({money('orev')} / nullif(count(DISTINCT uid), 0), 2) AS revenue_per_purchaser
             FROM od""",
         "kpi_daily_funnel_orders": f"""{plain(DAY_SESSIONS, DAY_ORDERS)},
             f AS (SELECT d, {STARTED} FROM dy GROUP BY d),
@@ -634,7 +639,11 @@ def feature_reports() -> dict[str, str]:
             SELECT *, {pct('"count"', 'sum("count") OVER ()')} AS percent FROM c""",
         "eda_missing_summary": f"{totals} {missing}",
         "eda_means_by_target": feature_rows(
-            f"{label}, " + ", ".join(f"round(avg({c}), 2) AS {c}" for c in NUMERIC if c != days),
+            f"{label}, " + ", ".join(
+                f"round({mean_money(c) if c == 'first_order_revenue' else f'avg({c})'}, 2) AS {c}"
+                for c in NUMERIC
+                if c != days
+            ),
             "GROUP BY 1",
         ),
         "eda_missing_by_target": feature_rows(
@@ -722,6 +731,69 @@ def quality_measures() -> dict[str, str]:
     }
 
 
+def model_checks() -> dict[str, str]:
+    """What SQL can say of the fitted models: rows, slots, totals, and measures of a known score."""
+    label = "repeat_purchase_14d"
+    slots = f"""{customer(IMPUTED, TEXT)}, slots AS (
+        SELECT DISTINCT feature FROM im UNION SELECT 'cat__' || f || '_' || v FROM vc)"""
+    both = "(VALUES ('logistic'), ('forest')) m(model)"
+    parts = {
+        "first_order_items": 4,
+        "product_views_before_purchase": 2,
+        "sessions_before_first_purchase": 1,
+    }
+
+    def score(source: Callable[[str], str]) -> str:
+        return " + ".join(f"coalesce({source(c)}, 0.0) * {n}" for c, n in parts.items())
+
+    def swapped(column: str) -> str:
+        return f"CASE WHEN feature = '{column}' THEN d.{column} ELSE t.{column} END"
+
+    features = ", ".join(f"('{c}')" for c in CATEGORICAL + NUMERIC)
+    fixed = f"""{customer(SPLIT)}, te AS (SELECT *, {label} AS y FROM sp WHERE split = 'test'),
+        ps AS (
+          SELECT user_pseudo_id AS u, r, row_number() OVER (
+            PARTITION BY r ORDER BY md5(user_pseudo_id || ':' || r || ':42'), user_pseudo_id) AS p
+          FROM te, range(0, 21) g(r)),
+        pr AS (SELECT a.u, b.u AS donor, b.r FROM ps a JOIN ps b ON a.p = b.p AND a.r = 0 AND b.r > 0),
+        sw AS (
+          SELECT feature, r, t.y, {score(swapped)} AS s
+          FROM pr JOIN te t ON t.user_pseudo_id = u JOIN te d ON d.user_pseudo_id = donor,
+            (VALUES {features}) f(feature)
+          UNION ALL SELECT '', 0, y, {score(str)} FROM te),
+        ac AS (SELECT feature, r, s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS q
+               FROM sw GROUP BY ALL),
+        cu AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp,
+                 sum(p) OVER (PARTITION BY feature, r) AS np, sum(q) OVER (PARTITION BY feature, r) AS nq
+               FROM ac WINDOW w AS (PARTITION BY feature, r ORDER BY s DESC)),
+        ap AS (SELECT feature, r, sum((tp / (tp + fp)) * (p / np)) AS ap,
+                 sum(q * (tp - p + p / 2)) / (max(np) * max(nq)) AS auc FROM cu GROUP BY ALL)"""
+    return {
+        "sink_eval_tables": f"""{slots} SELECT 'model_comparison' AS table_name, 2 AS row_count
+            UNION ALL SELECT 'permutation_importance', 13
+            UNION ALL SELECT 'logistic_regression_coefficients', count(*) FROM slots""",
+        "ml_predict_rows": f"""{customer(SPLIT)} SELECT model, user_pseudo_id, {label},
+            true AS score_in_range, true AS class_follows_score FROM sp, {both} WHERE split = 'test'""",
+        "ml_model_support": f"""{customer(SPLIT)} SELECT model, {label} AS actual,
+            count(*) AS support, count(*) AS matrix_rows FROM sp, {both}
+            WHERE split = 'test' GROUP BY ALL""",
+        "ml_logistic_optimum": f"{slots} SELECT feature, true AS vanishes FROM slots",
+        "ml_forest_slots": f"""{slots} SELECT feature, true AS not_negative,
+            cast(1 AS DOUBLE) AS total FROM slots""",
+        "ml_signed_slots": f"""{slots}, n AS (
+            SELECT cast(row_number() OVER () AS INTEGER) AS place FROM slots)
+            SELECT direction, place FROM n, (VALUES ('positive'), ('negative')) d(direction)
+            WHERE place <= 10""",
+        "ml_importance_fixed_score": f"""{fixed}, dr AS (
+            SELECT feature, (SELECT ap FROM ap WHERE feature = '') - ap AS lost
+            FROM ap WHERE feature <> '')
+            SELECT feature, round(avg(lost), 9) AS importance, round(stddev_pop(lost), 9) AS std
+            FROM dr GROUP BY feature""",
+        "ml_comparison_fixed_score": f"""{fixed} SELECT 'Fixed score' AS Model,
+            round(auc, 6) AS ROC_AUC, round(ap, 6) AS PR_AUC FROM ap WHERE feature = ''""",
+    }
+
+
 def all_statements() -> dict[str, str]:
     return {
         **shaping(),
@@ -734,4 +806,5 @@ def all_statements() -> dict[str, str]:
         **segment_reports(),
         **feature_reports(),
         **quality_measures(),
+        **model_checks(),
     }
