@@ -134,7 +134,7 @@ DRIVER_CONFIG = CommerceConfig(
     early_days=7,
     outcome_days=14,
     repeat_horizons=(3, 7, 14),
-    partial_cohort_until=None,
+    partial_cohort_until=date(2023, 12, 25),
     max_retention_week=8,
     summary_weeks=(1, 2, 4),
     min_segment_sessions=10,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -12,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartwright.ml.preprocess import (
+    Encoding,
     Preprocessing,
-    feature_names,
     fit_encoding,
     fit_preprocessing,
 )
@@ -22,9 +21,8 @@ from cartwright.ml.preprocess import (
 @dataclass(frozen=True)
 class FittedModel:
     preprocessing: Preprocessing
-    encoding: PipelineModel
+    encoding: Encoding
     classifier: object
-    names: tuple[str, ...]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds the predicted class and the probability of a repeat purchase."""
@@ -55,7 +53,7 @@ def fit(train: DataFrame, label: str, classifier) -> FittedModel:
     model = classifier.fit(
         weighted.select("features", F.col(label).cast("double").alias("label"), "class_weight")
     )
-    return FittedModel(preprocessing, encoding, model, tuple(feature_names(vectors)))
+    return FittedModel(preprocessing, encoding, model)
 
 
 def fit_logistic(
@@ -98,14 +96,19 @@ def fit_forest(
     return fit(train, label, classifier)
 
 
-def coefficients(model: FittedModel, spark) -> DataFrame:
+def coefficients(model: FittedModel) -> DataFrame:
     """One row per slot of the feature vector."""
-    rows = [
-        (name, float(value), abs(float(value)))
-        for name, value in zip(model.names, model.classifier.coefficients)
-    ]
-    schema = "feature string, coefficient double, abs_coefficient double"
-    return spark.createDataFrame(rows, schema).orderBy(F.desc("abs_coefficient"), "feature")
+    found = model.encoding.named(model.classifier.coefficients)
+    value = F.col("value")
+    return found.select(
+        "feature", value.alias("coefficient"), F.abs(value).alias("abs_coefficient")
+    ).orderBy(F.desc("abs_coefficient"), "feature")
+
+
+def split_importances(model: FittedModel) -> DataFrame:
+    """One row per slot: its share of the forest's impurity decrease."""
+    found = model.encoding.named(model.classifier.featureImportances.toArray())
+    return found.select("feature", F.col("value").alias("split_importance"))
 
 
 def penalised_gradient(
@@ -128,13 +131,10 @@ def penalised_gradient(
         .groupBy("slot")
         .agg(F.sum(F.col("residual") * F.col("value")).alias("loss"))
     )
-    slots = train.sparkSession.createDataFrame(
-        [(i, n, float(c)) for i, (n, c) in enumerate(zip(model.names, model.classifier.coefficients))],
-        "slot int, feature string, coefficient double",
-    )
+    slots = model.encoding.named(model.classifier.coefficients)
     return slots.join(sums, "slot", "left").select(
         "feature",
-        (F.col("coefficient") / strength + F.coalesce("loss", F.lit(0.0))).alias("gradient"),
+        (F.col("value") / strength + F.coalesce("loss", F.lit(0.0))).alias("gradient"),
     )
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartwright.ml.stats import exact_medians, most_frequent
 from cartwright.sources.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from cartwright.sources.staging import stage
 
 
 @dataclass(frozen=True)
@@ -99,30 +100,74 @@ def fit_preprocessing(train: DataFrame) -> Preprocessing:
     return Preprocessing(imputation, fit_scaling(filled, imputation.numeric_columns))
 
 
-def encoding_stages(imputation: Imputation) -> list:
+@dataclass(frozen=True)
+class Encoding:
     """Full one-hot per category, then the numeric and the categorical block as a vector.
 
-    The indexer adds a bucket for unseen values and the encoder drops it, so an
-    unseen category is all zeros.
+    The categories stay a table (``feature, value, index``, by value); the driver holds
+    their numbers only. A category unseen in training is all zeros.
     """
-    text = [f"text__{c}" for c in CATEGORICAL_FEATURES]
-    index = [f"index__{c}" for c in CATEGORICAL_FEATURES]
-    hot = [f"cat__{c}" for c in CATEGORICAL_FEATURES]
-    return [
-        StringIndexer(
-            inputCols=text, outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"
-        ),
-        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=[*imputation.numeric_columns, *hot], outputCol="features"),
-    ]
-
-
-def fit_encoding(prepared_train: DataFrame, imputation: Imputation):
-    return Pipeline(stages=encoding_stages(imputation)).fit(prepared_train)
-
-
-def feature_names(assembled: DataFrame) -> list[str]:
-    """Names of the vector's slots, in order."""
-    groups = assembled.schema["features"].metadata["ml_attr"]["attrs"].values()
-    attributes = sorted((a for group in groups for a in group), key=lambda a: a["idx"])
-    return [a["name"] for a in attributes]
+
+    dictionary: DataFrame
+    sizes: dict[str, int]
+    numeric: list[str]
+    encoder: OneHotEncoderModel
+
+    def transform(self, prepared: DataFrame) -> DataFrame:
+        rows = with_indices(prepared, self.dictionary, self.sizes)
+        hot = [f"cat__{c}" for c in CATEGORICAL_FEATURES]
+        assembler = VectorAssembler(inputCols=[*self.numeric, *hot], outputCol="features")
+        return assembler.transform(self.encoder.transform(rows))
+
+    @property
+    def slots(self) -> DataFrame:
+        """``slot, feature``: the place of every number and category in the vector."""
+        starts, at = {}, len(self.numeric)
+        for c in CATEGORICAL_FEATURES:
+            starts[c] = at
+            at += self.sizes.get(c, 0)
+        start = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
+        categories = self.dictionary.select(
+            (start[F.col("feature")] + F.col("index")).cast("int").alias("slot"),
+            F.concat(F.lit("cat__"), "feature", F.lit("_"), "value").alias("feature"),
+        )
+        numbers = self.dictionary.sparkSession.createDataFrame(
+            list(enumerate(self.numeric)), "slot int, feature string"
+        )
+        return numbers.unionByName(categories)
+
+    def named(self, values) -> DataFrame:
+        """``feature, value`` of one number per slot, as a fitted classifier has them."""
+        rows = [(i, float(v)) for i, v in enumerate(values)]
+        numbers = self.dictionary.sparkSession.createDataFrame(rows, "slot int, value double")
+        return self.slots.join(numbers, "slot").select("slot", "feature", "value")
+
+
+def with_indices(prepared: DataFrame, dictionary: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Adds each category's index by a join; an unseen one gets an index beyond the last."""
+    for c in CATEGORICAL_FEATURES:
+        own = dictionary.where(F.col("feature") == c).select(
+            F.col("value").alias(f"text__{c}"), F.col("index").alias(f"index__{c}")
+        )
+        unseen = F.lit(float(sizes.get(c, 0)))
+        prepared = prepared.join(own, f"text__{c}", "left").withColumn(
+            f"index__{c}", F.coalesce(f"index__{c}", unseen)
+        )
+    return prepared
+
+
+def fit_encoding(prepared_train: DataFrame, imputation: Imputation) -> Encoding:
+    """Distinct categories of the training rows, numbered by value."""
+    text = tuple(f"text__{c}" for c in CATEGORICAL_FEATURES)
+    found = stacked(prepared_train, text, "string").where("value is not null").distinct()
+    found = found.withColumn("feature", F.expr("substring(feature, 7)"))
+    place = F.row_number().over(W.partitionBy("feature").orderBy("value"))
+    dictionary = stage(found.withColumn("index", (place - 1).cast("double")), "categories")
+    sizes = {r["feature"]: r["count"] for r in dictionary.groupBy("feature").count().collect()}
+    encoder = OneHotEncoder(
+        inputCols=[f"index__{c}" for c in CATEGORICAL_FEATURES],
+        outputCols=[f"cat__{c}" for c in CATEGORICAL_FEATURES],
+        handleInvalid="keep",
+        dropLast=True,
+    ).fit(with_indices(prepared_train, dictionary, sizes))
+    return Encoding(dictionary, sizes, imputation.numeric_columns, encoder)

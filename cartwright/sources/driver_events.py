@@ -17,6 +17,9 @@ ERROR_EVENTS = ("add_shipping_info", "view_search_results")
 DEVICES = ("desktop", "mobile", "tablet")
 SOURCES = ("google", "(direct)", "<Other>", "google", None)
 MEDIA = ("organic", "(none)", "referral", "cpc", None)
+#: Days are named in the property's zone, this much behind UTC.
+ZONE_MICROS = 8 * 3_600_000_000
+
 CATEGORIES = (
     "Apparel",
     "Men's / Unisex",
@@ -151,25 +154,34 @@ def nested(rows: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("T"), k.cast("string"), F.lit("-"), (uid % 5).cast("string")))
     )
     revenue = F.when(eid % 40 != 3, F.col("value"))
-    one_item = F.array(F.struct(pick(k % 16, CATEGORIES).alias("item_category")))
+    # One to three items; the first one's category is the k-th.
+    items = F.array(
+        *(
+            F.struct(pick((k % 16 + 5 * j) % len(CATEGORIES), CATEGORIES).alias("item_category"))
+            for j in range(3)
+        )
+    )
     shown = (event_name == "view_item") & (k % 16 != 15)
+    # The first-touch channel is not the same on every event of a session.
+    channel = (uid + (eid % 7 == 0).cast("int")) % len(SOURCES)
+    user = F.concat(F.lit("u"), uid.cast("string"), F.lit("_"), F.col("sub_user").cast("string"))
     return rows.select(
         "event_timestamp",
         "event_id",
         "event_name",
-        F.concat(
-            F.lit("u"), uid.cast("string"), F.lit("_"), F.col("sub_user").cast("string")
-        ).alias("user_pseudo_id"),
+        F.when(eid % 61 != 5, user).alias("user_pseudo_id"),
         F.when(eid % 50 == 7, F.array(page)).otherwise(F.array(page, session)).alias("event_params"),
         F.struct(pick(eid % 3, DEVICES).alias("category")).alias("device"),
         F.struct(
-            pick(uid % 5, SOURCES).alias("source"), pick(uid % 5, MEDIA).alias("medium")
+            pick(channel, SOURCES).alias("source"), pick(channel, MEDIA).alias("medium")
         ).alias("traffic_source"),
         F.struct(
             F.when(is_purchase, txn).alias("transaction_id"),
             F.when(is_purchase, revenue).alias("purchase_revenue"),
             F.when(is_purchase, (1 + k % 5).cast("long")).alias("total_item_quantity"),
         ).alias("ecommerce"),
-        F.when(shown, one_item).otherwise(F.slice(one_item, 1, 0)).alias("items"),
-        F.date_format(F.timestamp_micros("event_timestamp"), "yyyyMMdd").alias("event_date"),
+        F.slice(items, 1, F.when(shown, 1 + (eid % 3).cast("int")).otherwise(0)).alias("items"),
+        F.date_format(
+            F.timestamp_micros(F.col("event_timestamp") - ZONE_MICROS), "yyyyMMdd"
+        ).alias("event_date"),
     )

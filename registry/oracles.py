@@ -11,6 +11,13 @@ from cartwright.functions.columns import WHITE_SPACE
 HOUR_MICROS = 3_600_000_000
 
 
+def item(number: int) -> str:
+    """Category of an item of a view; the list restates the adapter's."""
+    return f"""['Apparel', 'Men''s / Unisex', 'Drinkware', 'Bags', 'Notebooks', 'Eco-Friendly',
+       'Google', 'Sale', 'New', 'Campus Collection', 'Accessories', 'Gift Cards', '', '(not set)',
+       NULL][(k % 16 + {5 * number}) % 15 + 1]"""
+
+
 def events_cte(split: int, gap_hours: int) -> str:
     """``ev``: one flat row per canonical event."""
     return f"""
@@ -43,21 +50,21 @@ sent AS (
          round(value + CASE WHEN event_id % 27 = 0 THEN 1 ELSE 0 END, 2), uid, user_id, k, opened
   FROM placed WHERE nm = 'purchase' AND event_id % 9 = 0),
 ev AS (
-  SELECT event_id, us, nm, uid,
+  SELECT event_id, us, nm, CASE WHEN event_id % 61 <> 5 THEN uid END AS uid,
     CASE WHEN event_id % 50 = 7 THEN NULL ELSE opened END AS sid,
-    cast(make_timestamp(us) AS DATE) AS d,
+    cast(make_timestamp(us - {8 * HOUR_MICROS}) AS DATE) AS d,
     ['desktop', 'mobile', 'tablet'][event_id % 3 + 1] AS dev,
-    ['google', '(direct)', '<Other>', 'google', NULL][user_id % 5 + 1] AS src,
-    ['organic', '(none)', 'referral', 'cpc', NULL][user_id % 5 + 1] AS med,
+    ['google', '(direct)', '<Other>', 'google', NULL][
+      (user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % 5 + 1] AS src,
+    ['organic', '(none)', 'referral', 'cpc', NULL][
+      (user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % 5 + 1] AS med,
     CASE WHEN nm <> 'purchase' OR k < 5 THEN NULL WHEN k < 8 THEN '' WHEN k < 12 THEN '(not set)'
          ELSE 'T' || k || '-' || (user_id % 5) END AS txn,
     CASE WHEN nm = 'purchase' AND event_id % 40 <> 3 THEN value END AS rev,
     CASE WHEN nm = 'purchase' THEN cast(1 + k % 5 AS BIGINT) END AS qty,
-    nm = 'view_item' AND k % 16 <> 15 AS has_item,
-    CASE WHEN nm = 'view_item' AND k % 16 <> 15 THEN
-      ['Apparel', 'Men''s / Unisex', 'Drinkware', 'Bags', 'Notebooks', 'Eco-Friendly', 'Google',
-       'Sale', 'New', 'Campus Collection', 'Accessories', 'Gift Cards', '', '(not set)',
-       NULL][k % 16 + 1] END AS cat
+    CASE WHEN nm = 'view_item' AND k % 16 <> 15
+      THEN [{item(0)}, {item(1)}, {item(2)}][1:event_id % 3 + 1] END AS cats,
+    cats[1] AS cat
   FROM sent)"""
 
 
@@ -197,6 +204,11 @@ ORDERS = orders_cte("od", "uid, sid, txn")
 DAY_ORDERS = orders_cte("dd", "d, uid, sid, txn")
 USER_ORDERS = orders_cte("ud", "uid, txn")
 
+# Days of the customer reports, and their orders.
+WINDOW = "d BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'"
+WINDOW_ORDERS = orders_cte("od", "uid, sid, txn", WINDOW)
+WINDOW_USER_ORDERS = orders_cte("ud", "uid, txn", WINDOW)
+
 STARTED = """count(*) FILTER (st = 1) AS sessions, count(*) FILTER (st = 1 AND vi = 1) AS product_view_sessions,
     count(*) FILTER (st = 1 AND ch = 1) AS checkout_sessions,
     count(*) FILTER (st = 1 AND pu = 1) AS purchase_sessions"""
@@ -263,7 +275,7 @@ cv AS (
 
 
 # The customer feature table, rebuilt in SQL; `ft` has its 16 columns.
-FEATURES = f"""{ORDERS},
+FEATURES = f"""{WINDOW_ORDERS},
 fo AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ots, txn, sid) AS n FROM od)
@@ -276,7 +288,7 @@ pt AS (
   SELECT f.uid, count(DISTINCT e.sid) AS ns, count(*) FILTER (e.nm = 'view_item') AS nv,
     count(*) FILTER (e.nm = 'add_to_cart') AS na, count(*) FILTER (e.nm = 'begin_checkout') AS nc,
     count(*) FILTER (e.nm = 'view_search_results') AS nq, min(e.us) FILTER (e.nm = 'first_visit') AS fvt
-  FROM fo f JOIN ev e ON e.uid = f.uid AND e.us <= f.ots GROUP BY f.uid),
+  FROM fo f JOIN ev e ON e.uid = f.uid AND e.us <= f.ots AND e.{WINDOW} GROUP BY f.uid),
 ft AS (
   SELECT f.uid AS user_pseudo_id, f.oday AS first_order_date,
     cast(dayofweek(make_timestamp(f.ots)) + 1 AS INTEGER) AS purchase_day_of_week,

@@ -324,7 +324,7 @@ def first_visit_date(spark, sf):
 
 
 def cohort_week(spark, sf):
-    return cohorts.cohort_week(first_visit_date(spark, sf), drop_through=date(2024, 1, 1))
+    return cohorts.cohort_week(first_visit_date(spark, sf), drop_through=CONFIG.partial_cohort_until)
 
 
 def cohort_sizes(spark, sf):
@@ -535,29 +535,28 @@ def ml_mode_impute(spark, sf):
 
 
 def encoded(spark, sf):
-    """All rows as feature vectors, and the names of the slots."""
+    """All rows as feature vectors, and the table of the slots."""
     fitted = preprocess.fit_preprocessing(train(spark, sf))
     encoding = preprocess.fit_encoding(
         fitted.prepare(train(spark, sf)), fitted.imputation
     )
     vectors = encoding.transform(fitted.prepare(inputs.split(spark, sf)))
-    return vectors, preprocess.feature_names(vectors)
+    return vectors, encoding.slots
 
 
 def vector_entries(spark, sf):
-    vectors, names = encoded(spark, sf)
-    slots = F.arrays_zip(
-        F.array(*map(F.lit, names)).alias("feature"),
-        models.vector_to_array("features").alias("value"),
-    )
-    return vectors.select(KEY, F.inline(slots)).select(
-        KEY, "feature", F.round("value", 6).alias("value")
+    """The entries of the feature vectors that are not zero."""
+    vectors, slots = encoded(spark, sf)
+    entries = vectors.select(
+        KEY, F.posexplode(models.vector_to_array("features")).alias("slot", "value")
     )
+    rounded = entries.select(KEY, "slot", F.round("value", 6).alias("value")).where("value <> 0")
+    return rounded.join(slots, "slot").select(KEY, "feature", "value")
 
 
 def ml_one_hot(spark, sf):
     hot = vector_entries(spark, sf).where(F.col("feature").startswith("cat__"))
-    return hot.where(F.col("value") == 1).select(KEY, "feature")
+    return hot.select(KEY, "feature")
 
 
 def ml_class_weights(spark, sf):
@@ -566,15 +565,11 @@ def ml_class_weights(spark, sf):
 
 
 def ml_logistic_fit(spark, sf):
-    fitted = inputs.model(spark, sf, "logistic")
-    return models.coefficients(fitted, spark)
+    return models.coefficients(inputs.model(spark, sf, "logistic"))
 
 
 def ml_forest_fit(spark, sf):
-    fitted = inputs.model(spark, sf, "forest")
-    weights = zip(fitted.names, fitted.classifier.featureImportances.toArray())
-    rows = [(name, float(value)) for name, value in weights]
-    return spark.createDataFrame(rows, "feature string, split_importance double")
+    return models.split_importances(inputs.model(spark, sf, "forest"))
 
 
 def predictions(spark, sf, kind="logistic"):
@@ -760,7 +755,7 @@ def ml_model_comparison(spark, sf):
 
 
 def ml_coefficients(spark, sf):
-    return models.coefficients(inputs.model(spark, sf, "logistic"), spark)
+    return models.coefficients(inputs.model(spark, sf, "logistic"))
 
 
 def ml_top_signed_coefficients(spark, sf):

@@ -35,6 +35,9 @@ from registry.oracles import (
     UNUSABLE,
     USER,
     USER_ORDERS,
+    WINDOW,
+    WINDOW_ORDERS,
+    WINDOW_USER_ORDERS,
     buyers_cte,
     customer,
     feature_rows,
@@ -66,8 +69,8 @@ def shaping() -> dict[str, str]:
         "shape_struct_fields": f"""{ev} SELECT event_id, nm AS event_name,
             dev AS device_category, src AS first_source, med AS first_medium,
             txn AS transaction_id, rev AS purchase_revenue, qty AS total_item_quantity FROM ev""",
-        "shape_items_explode": f"""{ev} SELECT event_id, nm AS event_name, cat AS item_category
-            FROM ev WHERE has_item""",
+        "shape_items_explode": f"""{ev} SELECT event_id, nm AS event_name,
+            unnest(cats) AS item_category FROM ev""",
         "shape_item_category_any": f"""{ev} SELECT event_id, nm AS event_name,
             cat AS item_category FROM ev""",
         "shape_event_date": f"""{ev} SELECT event_id, nm AS event_name,
@@ -137,8 +140,8 @@ def session_rows() -> dict[str, str]:
 
 def order_rows() -> dict[str, str]:
     bought = "FROM ev WHERE nm = 'purchase'"
-    buyers = customer(ORDERS, buyers_cte("od", "txn, sid"))
-    by_txn = customer(USER_ORDERS, buyers_cte("ud", "txn"))
+    buyers = customer(WINDOW_ORDERS, buyers_cte("od", "txn, sid"))
+    by_txn = customer(WINDOW_USER_ORDERS, buyers_cte("ud", "txn"))
     windows = ", ".join([by_txn, value_cte("ud", "min_day")])
     second = """SELECT '{rule}' AS first_rule, uid AS user_pseudo_id,
         {rule}_day AS first_purchase_date, next_day AS second_purchase_date,
@@ -218,7 +221,7 @@ def cohort_rows() -> dict[str, str]:
             cast(fv AS INTEGER) AS had_first_visit, cast(ss AS INTEGER) AS had_session FROM ua""",
         "first_visit_date": f"{co} SELECT {USER}, first_day AS first_visit_date FROM fd",
         "cohort_week": f"""{co} SELECT {USER}, first_day AS first_visit_date, cw AS cohort_week
-            FROM cu WHERE cw > DATE '2024-01-01'""",
+            FROM cu WHERE cw > DATE '2023-12-25'""",
         "cohort_sizes": f"{co} SELECT cw AS cohort_week, size AS cohort_size FROM sz",
         "weeks_since": f"""{co} {floor.format(f='visit', t='wk')}
             UNION ALL {floor.format(f='cohort', t='wc')}""",
@@ -248,13 +251,14 @@ def cohort_rows() -> dict[str, str]:
         "retention_matrix": f"""{grid}, rr AS (SELECT cw, size, w, {rate} AS r FROM gr)
             SELECT cw AS cohort_week, size AS cohort_size,
               {', '.join(f'max(r) FILTER (w = {i}) AS week_{i}' for i in range(9))}
-            FROM rr GROUP BY cw, size""",
+            FROM rr WHERE cw > DATE '2023-12-25' GROUP BY cw, size""",
         "retention_monthly_weighted": f"""{sm} SELECT strftime(cw, '%Y-%m') AS cohort_month,
             cast(sum(size) AS BIGINT) AS acquired_users,
             count(*) FILTER (cw + 7 <= last_day) AS cohorts_observed_for_week_1,
             {weighted(1)} AS weighted_week_1_retention_pct,
             {weighted(2)} AS weighted_week_2_retention_pct,
-            {weighted(4)} AS weighted_week_4_retention_pct FROM cr GROUP BY cohort_month""",
+            {weighted(4)} AS weighted_week_4_retention_pct FROM cr
+            WHERE cw > DATE '2023-12-25' GROUP BY cohort_month""",
     }
 
 
@@ -456,10 +460,10 @@ def kpi_reports() -> dict[str, str]:
             FROM o JOIN q USING (m)""",
         "kpi_period_summary": f"""{plain(DAY_SESSIONS, DAY_ORDERS)},
             s AS (SELECT {three_periods('d')} AS period, count(DISTINCT d) AS days, {STARTED}
-                  FROM dy GROUP BY 1),
+                  FROM dy WHERE {WINDOW} GROUP BY 1),
             o AS (SELECT {three_periods('d')} AS period, count(*) AS clean_orders,
                     count(DISTINCT uid) AS purchasers, {totals.format(revenue='clean_revenue')}
-                  FROM dd GROUP BY 1)
+                  FROM dd WHERE {WINDOW} GROUP BY 1)
             SELECT period, days, {four}, clean_orders, purchasers, clean_revenue,
               average_order_value, items_sold, round(sessions / days, 2) AS avg_daily_sessions,
               round(clean_orders / days, 2) AS avg_daily_orders,
@@ -538,7 +542,8 @@ def segment_reports() -> dict[str, str]:
         "product_category_inventory": f"""{plain()} SELECT
             coalesce(nullif(cat, ''), '(not set)') AS item_category,
             count(*) AS item_event_records, count(DISTINCT uid) AS users,
-            count(DISTINCT {PAIR}) AS sessions FROM ev WHERE has_item GROUP BY 1""",
+            count(DISTINCT {PAIR}) AS sessions
+            FROM (SELECT uid, sid, unnest(cats) AS cat FROM ev) GROUP BY 1""",
         "product_mix_decomposition": decomposed(
             both_scopes,
             "fam",
@@ -682,9 +687,8 @@ def feature_reports() -> dict[str, str]:
         "ml_one_hot": f"""{customer(SPLIT, TEXT)}
             SELECT user_pseudo_id, {hot} FROM tf JOIN vc USING (f, v)""",
         "ml_assemble": f"""{customer(IMPUTED, SCALED, TEXT)}
-            SELECT user_pseudo_id, feature, round(value, 6) AS value FROM sc
-            UNION ALL SELECT tf.user_pseudo_id, {hot}, CASE WHEN tf.v = vc.v THEN 1.0 ELSE 0.0 END
-            FROM tf JOIN vc ON tf.f = vc.f""",
+            SELECT user_pseudo_id, feature, round(value, 6) AS value FROM sc WHERE round(value, 6) <> 0
+            UNION ALL SELECT user_pseudo_id, {hot}, 1.0 FROM tf JOIN vc USING (f, v)""",
         "ml_class_weights": f"""{customer(SPLIT)}, c AS (
             SELECT {label}, count(*) AS n FROM sp WHERE split = 'train' GROUP BY 1)
             SELECT {label}, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS class_weight

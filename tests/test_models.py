@@ -43,12 +43,27 @@ def test_gradient_vanishes_at_the_fit(parts, logistic):
     assert abs((weight * (p - y)).sum()) < 1e-3
 
 
+def names_of(model):
+    return [r.feature for r in model.encoding.slots.orderBy("slot").collect()]
+
+
 def test_feature_names_match_the_vector(logistic):
-    assert len(logistic.names) == len(logistic.classifier.coefficients)
-    assert [n for n in logistic.names if n.startswith("num__")][:8] == [
+    names = names_of(logistic)
+    assert len(names) == len(logistic.classifier.coefficients)
+    assert [n for n in names if n.startswith("num__")][:8] == [
         f"num__{c}" for c in NUMERIC_FEATURES
     ]
-    assert not [n for n in logistic.names if n.endswith("__unknown")]
+    assert not [n for n in names if n.endswith("__unknown")]
+
+
+def test_vector_slots_follow_the_dictionary(parts, logistic):
+    """Each row's ones stand in the slots of its own categories."""
+    train, _ = parts
+    names = names_of(logistic)
+    vectors = logistic.encoding.transform(logistic.preprocessing.prepare(train))
+    for row in vectors.limit(30).collect():
+        hot = {n for n, v in zip(names, row.features.toArray()) if n.startswith("cat__") and v}
+        assert hot == {f"cat__{c}_{row[f'text__{c}']}" for c in CATEGORICAL_FEATURES}
 
 
 def test_unseen_category_is_all_zeros(parts, logistic):
@@ -57,7 +72,7 @@ def test_unseen_category_is_all_zeros(parts, logistic):
         {c: F.lit("unseen") for c in ("device_category", "first_source", "first_medium")}
     )
     vectors = logistic.encoding.transform(logistic.preprocessing.prepare(odd))
-    values = dict(zip(logistic.names, vectors.first().features.toArray()))
+    values = dict(zip(names_of(logistic), vectors.first().features.toArray()))
     for column in ("device_category", "first_source", "first_medium"):
         assert not any(v for n, v in values.items() if n.startswith(f"cat__{column}_"))
 
@@ -126,7 +141,7 @@ def test_feature_files_round_trip(spark, parts, tmp_path):
 
 
 def test_evaluation_tables_are_rounded(spark, logistic, tmp_path):
-    table = models.coefficients(logistic, spark)
+    table = models.coefficients(logistic)
     write_evaluation_tables({"coefficients": table}, str(tmp_path))
     back = spark.read.option("header", True).csv(f"{tmp_path}/coefficients")
     assert back.columns == ["feature", "coefficient", "abs_coefficient"]
@@ -135,5 +150,5 @@ def test_evaluation_tables_are_rounded(spark, logistic, tmp_path):
 
 
 def test_top_signed_coefficients(spark, logistic):
-    top = models.top_signed(models.coefficients(logistic, spark), 3).collect()
+    top = models.top_signed(models.coefficients(logistic), 3).collect()
     assert [r.direction for r in top] == ["positive"] * 3 + ["negative"] * 3

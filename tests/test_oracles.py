@@ -40,3 +40,24 @@ def test_only_model_results_lack_a_statement():
 
 def test_entry_returns_rows(spark):
     assert entry(spark).count() > 0
+
+
+COMPILED = ("funnel_device", "kpi_clean_orders", "retention_matrix", "ml_feature_table", "ml_roc_auc")
+
+
+@pytest.mark.parametrize("name", COMPILED)
+def test_compiled_plans_equal_sql(spark, name):
+    """The other tests run without generated code; these run as production does."""
+    settings = {
+        "spark.sql.codegen.wholeStage": "true",
+        "spark.sql.codegen.factoryMode": "FALLBACK",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        frame = queries()[name](spark, SMALL)
+        assert compare(frame, frame.collect(), duck(SMALL), oracle_sql()[name]) == ""
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
