@@ -32,11 +32,13 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words whose ids a worker remembers; the half used least lately is dropped.
-WORDS_REMEMBERED = 600_000
+WORDS_REMEMBERED = 900_000
 #: Slots of the table of remembered pairs; a pair that needs a taken slot replaces the other.
 PAIR_SLOT_BITS = 21
 #: Bits of a hash that tell whether any piece may have it.
 FILTER_BITS = 20
+#: With more characters that pieces join to a mark, words keep their marks in every text.
+ODD_CHARACTERS = 8
 #: Longer words are encoded each time.
 WORD_LENGTH = 64
 #: Words advanced together.
@@ -65,7 +67,7 @@ class PieceModel:
             raise ValueError("only models without normalisation are supported")
         if any(p.type == USER_DEFINED for p in model.pieces):
             raise ValueError("user-defined pieces are not supported")
-        self.prefix = BLANK if normal.add_dummy_prefix else ""
+        self.prefix = " " if normal.add_dummy_prefix else ""
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
@@ -82,7 +84,7 @@ class PieceModel:
         self.numbers = np.array([self.ids[t] for t in texts], np.int64)[order]
         self.score_of = np.array([p.score for p in model.pieces])
         self.unknown_score = min(self.scores.values()) - UNKNOWN_PENALTY
-        self.unit = re.compile(self._units(texts))
+        self._unit_patterns(texts)
         self.text_of = {i: t for t, i in self.ids.items()}
         self.lengths = (self.codes != 0).sum(axis=1)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
@@ -99,14 +101,30 @@ class PieceModel:
             return b""
         return " ⁇ ".encode() if piece.type == UNKNOWN else piece.piece.encode()
 
-    def _units(self, texts: list[str]) -> str:
-        """Parts of a text that no piece crosses: words with their blanks, and line feeds."""
-        crosses = any(BLANK in t.lstrip(BLANK) for t in texts)
-        alone = not any("\n" in t for t in texts if len(t) > 1)
-        if crosses:
-            return r"(?s:.+)"
-        word = f"{BLANK}\n" if alone else BLANK
-        return rf"{BLANK}+[^{word}]*|[^{word}]+" + ("|\n" if alone else "")
+    def _unit_patterns(self, texts: list[str]) -> None:
+        """Parts of a text that no piece crosses, as patterns over the text with plain blanks.
+
+        ``coarse`` ends a part before a blank and at a line feed, as far as the vocabulary
+        allows these cuts. ``fine`` ends it also where a mark follows a letter or digit; a
+        text with one of the characters in ``odd``, which pieces join to a mark, is cut by
+        ``coarse``.
+        """
+        if any(BLANK in t.lstrip(BLANK) for t in texts):
+            self.coarse, self.fine, self.odd = re.compile(r"(?s:.+)"), None, ()
+            return
+        feed = "" if any("\n" in t for t in texts if len(t) > 1) else r"\n"
+        alone = r"|\n" if feed else ""
+        self.coarse = re.compile(rf" +[^ {feed}]*|[^ {feed}]+{alone}")
+        self.fine = re.compile(rf" +[^\w {feed}]*\w*|[^\w {feed}]+\w*|\w+{alone}")
+        word = re.compile(r"\w")
+        self.odd = {
+            a
+            for t in texts
+            for a, b in zip(t, t[1:])
+            if word.match(a) and b != BLANK and not word.match(b)
+        }
+        if len(self.odd) > ODD_CHARACTERS:
+            self.fine = None
 
     @staticmethod
     def _hash(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,7 +187,7 @@ class PieceModel:
     def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of words of one length, word after word, and their number in each.
 
-        A word whose end no path reaches has none.
+        Blanks are spelled as the vocabulary does. A word whose end no path reaches has none.
         """
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -245,7 +263,8 @@ class PieceModel:
             step = max(1, TOGETHER // max(1, length // 16))
             for start in range(0, len(same), step):
                 some = same[start : start + step]
-                symbols, sizes = self.viterbi(some)
+                spelled = [w.replace(" ", BLANK) for w in some]
+                symbols, sizes = self.viterbi(spelled)
                 ends = np.cumsum(sizes)
                 raw = symbols.astype("<i4").tobytes()
                 spans = zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist())
@@ -254,17 +273,23 @@ class PieceModel:
                 for at in odd.tolist():
                     out[some[at]] = self._ids(symbols[ends[at] - sizes[at] : ends[at]].tolist())
                 for at in np.nonzero(sizes == 0)[0].tolist():  # a piece that no merges make
-                    left = self.merged(some[at])
+                    left = self.merged(spelled[at])
                     out[some[at]] = self._ids([self.ids.get(s, -1 - ord(s[0])) for s in left])
         return out
 
+    def _split(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        fine = self.fine and not any(c in text for c in self.odd)
+        return (self.fine if fine else self.coarse).findall(self.prefix + text.replace(BLANK, " "))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes; none for null and empty texts."""
-        split = [
-            self.unit.findall(self.prefix + t.replace(" ", BLANK)) if t else [] for t in texts
-        ]
         known, older = self.words, self.older
-        new = {w for units in split for w in units if w not in known}
+        split = [self._split(t) for t in texts]
+        new: set[str] = set()
+        for units in split:
+            new.update(set(units).difference(known))
         again = {w: older[w] for w in new if w in older}
         found = self.encode_words(list(new - again.keys()))
         known.update(again)
@@ -306,7 +331,7 @@ def encode_pieces(
         import zlib
 
         vocabulary = model_of(path)
-        for batch in pieces(batches, 4096, 16 << 20):
+        for batch in pieces(batches, 4096, 8 << 20):
             found = vocabulary.encode(batch.column(1).to_pylist())
             ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(found), "<i4"))
@@ -331,7 +356,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = model_of(path)
-        for batch in pieces(batches, 1024, 16 << 20):
+        for batch in pieces(batches, 1024, 2 << 20):
             texts = [vocabulary.decode(ids or []) for ids in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(texts, pa.string())],
