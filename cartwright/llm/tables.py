@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cartwright.session import use_local_folder
+
 #: Rows of text handled at once inside a task.
 ROWS = 256
 #: Bytes of text handled at once inside a task; a longer single text is one piece.
@@ -14,6 +16,7 @@ BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    use_local_folder(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

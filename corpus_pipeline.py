@@ -16,6 +16,7 @@ from cartwright.llm.near_duplicates import one_of_each
 from cartwright.llm.packing import pack
 from cartwright.llm.secret_scan import fit_formats, redact_secrets
 from cartwright.llm.tables import table
+from cartwright.session import use_local_folder
 from cartwright.sources.staging import stage
 
 #: Documents whose language has a smaller posterior are rejected.
@@ -47,16 +48,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
+    use_local_folder(spark)
     return one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each secret masked."""
+    use_local_folder(spark)
     return _with_text(docs, redact_secrets(docs, fit_formats(docs)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents and their places in sequences."""
+    use_local_folder(spark)
     return pack(docs)
 
 
