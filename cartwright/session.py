@@ -18,7 +18,7 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def use_local_folder(spark: SparkSession) -> SparkSession:
     """Name a temporary folder for staged tables, in a local session that names none."""
     unset = not spark.conf.get(CHECKPOINT_CONF, None)
-    if unset and spark.sparkContext.master.startswith("local["):
+    if unset and spark.sparkContext.master.split("[")[0] == "local":
         spark.conf.set(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="cartwright-"))
     return spark
 
