@@ -27,7 +27,7 @@ GROUP_PIECES = 16_384
 PAIRED = 24
 #: Distinct words, and distinct stems, whose ids a worker remembers; the half used least
 #: lately is dropped.
-WORDS_REMEMBERED = 600_000
+WORDS_REMEMBERED = 1_000_000
 #: Longer runs without a blank are encoded each time.
 WORD_LENGTH = 64
 #: Words of Latin letters with marks behind them. The vocabulary lower-cases the letters and
