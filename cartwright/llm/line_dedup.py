@@ -1,9 +1,10 @@
-"""Line dedup: content-defined chunks of lines, removed where they repeat.
+"""Line dedup: passages of lines that repeat, each kept only where it stands first.
 
-A rolling hash over the hashes of the last lines decides after which line a chunk ends,
-so a passage is cut in the same places wherever it stands, however far it is shifted.
-Chunks of two lines or more with equal bytes are one passage; its first occurrence, by
-document id and line, stays, and every other one is removed.
+A passage is a run of two or more lines with words, with the lines in between, or one
+line of many words. A run repeats if and only if each two neighbouring lines of it do, so
+the pairs of neighbours are grouped by a digest of their bytes; the first occurrence, by
+document id and line, stays, and every other one is removed. What is removed are then
+exactly the lines of all passages, of any length and at any place, that stood earlier.
 """
 
 from __future__ import annotations
@@ -11,15 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that the rolling hash covers.
-WINDOW = 2
-#: A chunk ends after one line in so many.
-DIVISOR = 3
-#: Shorter chunks are never removed.
+#: Lines with words in the shortest passage.
 LEAST_LINES = 2
-#: Fixed odd multiplier and modulus of the rolling hash; products stay within 64 bits.
-FACTOR = 1_000_003
-MODULUS = (1 << 31) - 1
+#: A single line with more words is a passage too.
+LINE_WORDS = 50
 
 
 def _order(id_column: str) -> Column:
@@ -28,90 +24,86 @@ def _order(id_column: str) -> Column:
     return F.coalesce(F.col(id_column).cast("decimal(20,0)"), beyond)
 
 
-def _boundary(hashes: Column, line: Column, window: int, divisor: int) -> Column:
-    """Whether a chunk ends after ``line`` (from 0): the hash of the window divides evenly."""
-    value = F.lit(0).cast("long")
-    for back in range(window - 1, -1, -1):
-        at = line - back
-        own = F.when(at >= 0, F.element_at(hashes, F.greatest(at, F.lit(0)) + 1)).otherwise(0)
-        value = F.pmod(value * FACTOR + own, F.lit(MODULUS))
-    return F.pmod(value * FACTOR, F.lit(MODULUS)) % divisor == 0
+def _with(value: Column, function) -> Column:
+    """``function`` of ``value``, which is evaluated once."""
+    return F.transform(F.array(value), function)[0]
 
 
-def _chunk_ends(lines: Column, hashes: Column, window: int, divisor: int) -> Column:
-    """Number of lines up to the end of each chunk; the last is the number of lines."""
-    n = F.size(lines)
-    return F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == n) | _boundary(hashes, i - 1, window, divisor),
+def _spans(lines: Column, least_lines: int, line_words: int) -> Column:
+    """``first, last`` of each ``least_lines`` neighbours with words, and of each long line."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    filled = F.filter(at, lambda i: F.trim(F.get(lines, i)) != "")
+
+    def neighbours(places: Column) -> Column:
+        n = F.size(places) - least_lines
+        spans = F.transform(
+            F.sequence(F.lit(0), F.greatest(n, F.lit(0))),
+            lambda q: F.struct(
+                F.get(places, q).alias("first"),
+                (F.get(places, q + least_lines - 1) + 1).alias("last"),
+            ),
+        )
+        return F.filter(spans, lambda s: n >= 0)
+
+    # so many words have so many characters between them
+    long = F.filter(
+        at,
+        lambda i: (F.length(F.get(lines, i)) > 2 * line_words)
+        & (F.regexp_count(F.get(lines, i), F.lit(r"\S+")) > line_words),
     )
+    alone = F.transform(long, lambda i: F.struct(i.alias("first"), (i + 1).alias("last")))
+    return F.concat(_with(filled, neighbours), alone)
 
 
 def line_chunks(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    window: int = WINDOW,
-    divisor: int = DIVISOR,
     least_lines: int = LEAST_LINES,
+    line_words: int = LINE_WORDS,
 ) -> DataFrame:
-    """``id, mark, first, last, chunk`` of each chunk long enough to be removed.
+    """``id, mark, first, last, chunk`` of each least passage; they overlap.
 
     ``mark`` is a hash of the text, ``first`` and ``last`` count lines from 0 (``last``
     exclusive). Null ids come after all others.
     """
     text = F.col(text_column)
-    cut = (
-        docs.where(F.instr(text, "\n") > 0)
-        .select(
-            _order(id_column).alias("id"),
-            F.xxhash64(text).alias("mark"),
-            F.split(text, "\n", -1).alias("lines"),
-        )
-        .withColumn(
-            "hashes",
-            F.transform("lines", lambda line: F.pmod(F.xxhash64(line), F.lit(MODULUS))),
+
+    def cut(lines: Column) -> Column:
+        return F.transform(
+            _spans(lines, least_lines, line_words),
+            lambda s: F.struct(
+                s["first"].alias("first"),
+                s["last"].alias("last"),
+                F.array_join(F.slice(lines, s["first"] + 1, s["last"] - s["first"]), "\n").alias(
+                    "chunk"
+                ),
+            ),
         )
-        .withColumn("ends", _chunk_ends(F.col("lines"), F.col("hashes"), window, divisor))
-    )
-    spans = F.transform(
-        "ends",
-        lambda end, i: F.struct(
-            F.when(i == 0, 0).otherwise(F.element_at("ends", F.greatest(i, F.lit(1)))).alias("first"),
-            end.alias("last"),
-        ),
-    )
-    long_enough = F.filter(spans, lambda s: s["last"] - s["first"] >= least_lines)
-    return cut.select("id", "mark", "lines", F.explode(long_enough).alias("span")).select(
-        "id",
-        "mark",
-        F.col("span.first").alias("first"),
-        F.col("span.last").alias("last"),
-        F.array_join(
-            F.slice("lines", F.col("span.first") + 1, F.col("span.last") - F.col("span.first")),
-            "\n",
-        ).alias("chunk"),
+
+    return docs.where(F.length(text) > 0).select(
+        _order(id_column).alias("id"),
+        F.xxhash64(text).alias("mark"),
+        F.inline(_with(F.split(text, "\n", -1), cut)),
     )
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
     """``id, mark, first, last`` of each occurrence after the first of its chunk.
 
-    Occurrences are grouped by the bytes of the chunk, which are merged map-side, so a
-    passage that half of all documents share is one row per task. A digest of the
-    grouped bytes then tells each occurrence where its chunk stands first.
+    Occurrences are grouped by the SHA-256 of the chunk, which are merged map-side, so a
+    passage that half of all documents share is one row per task.
     """
     place = (F.col("id").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("first")).cast("decimal(38,0)")
-    placed = chunks.withColumn("place", place).withColumn(
-        "digest", F.unhex(F.sha2(F.col("chunk").cast("binary"), 256))
-    )
+    digest = F.unhex(F.sha2(F.col("chunk").cast("binary"), 256))
+    placed = chunks.select("id", "mark", "first", "last", place.alias("place"), digest.alias("digest"))
     firsts = (
-        placed.groupBy("digest", "chunk")
+        placed.groupBy("digest")
         .agg(F.min("place").alias("kept"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("digest", "kept")
     )
-    return placed.drop("chunk").join(firsts, "digest").where("place <> kept").select(
+    return placed.join(firsts, "digest").where("place <> kept").select(
         "id", "mark", "first", "last"
     )
 
@@ -120,23 +112,24 @@ def dedup_lines(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    window: int = WINDOW,
-    divisor: int = DIVISOR,
     least_lines: int = LEAST_LINES,
+    line_words: int = LINE_WORDS,
 ) -> DataFrame:
-    """``row, text, lines_removed``: each row, its text without repeated chunks, and a count.
+    """``row, text, lines_removed``: each row, its text without repeated passages, and a count.
 
     A text is its parts between line feeds; what is left is joined by line feeds again.
-    Null texts, empty texts and texts of one line stay as they are. Rows that share an
-    id and a text are one document and lose the same lines; rows that share only the id
-    are told apart by their text, and a chunk that starts at the same line of two of
+    Null and empty texts, and short texts of one line, stay as they are. Rows that share
+    an id and a text are one document and lose the same lines; rows that share only the
+    id are told apart by their text, and a passage that starts at the same line of two of
     them stays in both. Null ids are ordered last. An empty table gives no rows.
     """
-    chunks = line_chunks(docs, id_column, text_column, window, divisor, least_lines)
+    chunks = line_chunks(docs, id_column, text_column, least_lines, line_words)
+    lost = F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("line")
     gone = (
         repeated_chunks(chunks)
+        .select("id", "mark", lost)
         .groupBy("id", "mark")
-        .agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+        .agg(F.collect_set("line").alias("gone"))
     )
     rows = docs.select(
         F.struct("*").alias("row"),
@@ -144,15 +137,15 @@ def dedup_lines(
         F.coalesce(F.xxhash64(text_column), F.lit(0)).alias("mark"),
     )
     text = F.col("row")[text_column]
-    lines = F.split(text, "\n", -1)
-    kept = F.filter(
-        lines, lambda line, i: ~F.exists("gone", lambda s: (i >= s["first"]) & (i < s["last"]))
-    )
-    removed = F.aggregate(
-        "gone", F.lit(0).cast("long"), lambda n, s: n + (s["last"] - s["first"])
-    )
+
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
     return rows.join(gone, ["id", "mark"], "left").select(
         "row",
-        F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("lines_removed"),
+        F.when(F.col("gone").isNull(), text)
+        .otherwise(_with(F.split(text, "\n", -1), rest))
+        .alias("text"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("lines_removed"),
     )

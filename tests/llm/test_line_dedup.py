@@ -79,3 +79,44 @@ def test_odd_documents(odd_docs, no_docs):
     found = {(d, t, n) for d, t, n in result(odd_docs)}
     assert ("1", None, 0) in found and ("2", "", 0) in found
     assert result(no_docs) == []
+
+
+def brute_force(rows):
+    """Texts without the lines of any earlier run of 2+ lines or line of over 50 words."""
+    places = [(doc, text.split("\n")) for doc, text in sorted(rows)]
+    kept = {}
+    for d, (doc, lines) in enumerate(places):
+        gone = set()
+        for e, (_, other) in enumerate(places[: d + 1]):
+            for i in range(len(lines)):
+                for j in range(len(other) if e < d else i):
+                    n = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n] == other[j + n]:
+                        n += 1
+                    if n >= 2 or n == 1 and len(lines[i].split()) > 50:
+                        gone |= set(range(i, i + n))
+        kept[doc] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return kept
+
+
+def test_planted_passages_of_every_length_are_removed_whole(make_docs):
+    rng = random.Random(11)
+
+    def line(words=9):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(words))
+
+    passages = [[line() for _ in range(n)] for n in range(2, 9) for _ in range(4)]
+    passages += [[line(60)], [line(51)], [line(50)], [line(4)]]
+    rows, count = [], 0
+    for passage in passages:
+        for _ in range(3):
+            own = [line() for _ in range(rng.randrange(1, 6))]
+            at = rng.randrange(len(own) + 1)
+            rows.append((count, "\n".join(own[:at] + passage + own[at:]), "en"))
+            count += 1
+    same = line(55)
+    rows += [(count, same, "en"), (count + 1, same, "en"), (count + 2, rows[5][1], "en")]
+    want = brute_force([r[:2] for r in rows])
+    found = {int(d): (t, n) for d, t, n in result(make_docs(rows))}
+    assert found == want
+    assert sum(n for _, n in found.values()) == 2 * (4 * sum(range(2, 9)) + 2) + 1 + len(rows[5][1].split("\n"))
