@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartwright.llm.components import components
-from cartwright.llm.simhash import fingerprints
+from cartwright.llm.simhash import fingerprints, text_digest
 from cartwright.sources.staging import stage
 
 SEGMENTS = 32
@@ -91,28 +92,50 @@ def near_duplicates(
     does not matter, and a fingerprint has a bounded number of partners.
     """
     marked = stage(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
+    return _grouped(marked, distance).select("doc_id", "fp", "component_id")
+
+
+def _grouped(marked: DataFrame, distance: int = 3) -> DataFrame:
+    """``marked`` with the least id of each component, and with its root, a fingerprint."""
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     tree = components(links(nodes.select("fp"), distance), "a", "b")
     rooted = nodes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least id.
 
-    Of several rows with that id, one stays (the least text). All columns are kept.
+    Of several rows of the group with that id, one stays (the least text, and of equal
+    texts the least row). Rows of other groups never matter, whatever their ids. All
+    columns are kept.
     """
-    groups = near_duplicates(docs, id_column, text_column)
+    marked = stage(fingerprints(docs, id_column, text_column, 3, digest=True), "fingerprints")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = groups.where(first).select(_key("doc_id").alias("_key")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), _key(id_column).alias("_key"))
-    text = F.struct(F.col("_row")[text_column])
-    least = rows.join(kept, "_key").groupBy("_key").agg(F.min_by("_row", text).alias("_row"))
-    return least.select("_row.*")
+    kept = (
+        _grouped(marked)
+        .where(first)
+        .select(_key("doc_id").alias("_key"), F.col("digest").alias("_digest"), F.col("root").alias("_root"))
+        .distinct()
+    )
+    rows = docs.select(
+        F.struct("*").alias("_row"),
+        _key(id_column).alias("_key"),
+        text_digest(text_column).alias("_digest"),
+    )
+    rank = F.struct(F.col("_row")[text_column], *_orderable(docs))
+    joined = rows.join(kept, ["_key", "_digest"])
+    return joined.groupBy("_root").agg(F.min_by("_row", rank).alias("_row")).select("_row.*")
+
+
+def _orderable(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, in ``_row``, whose values have an order."""
+    plain = (T.AtomicType, T.NullType)
+    return [F.col("_row")[f.name] for f in docs.schema if isinstance(f.dataType, plain)]
 
 
 def _key(id_column: str) -> Column:

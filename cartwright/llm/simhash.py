@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm.tables import pieces
@@ -43,19 +43,30 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little"), "little")
 
 
-def fingerprints(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """One row per document: ``doc_id`` and its fingerprint ``fp`` as a signed long."""
+def text_digest(text_column: str) -> Column:
+    """SHA-256 of a text, empty for null."""
+    return F.coalesce(F.unhex(F.sha2(F.col(text_column).cast("binary"), 256)), F.lit(b""))
+
+
+def fingerprints(
+    docs: DataFrame, id_column: str, text_column: str, shingle: int, digest: bool = False
+) -> DataFrame:
+    """One row per document: ``doc_id`` and its fingerprint ``fp`` as a signed long.
+
+    With ``digest``, also the text's SHA-256 as ``digest``.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             values = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
             signed = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed)], names=["doc_id", "fp"]
-            )
+            rest = batch.columns[2:]
+            names = ["doc_id", "fp", "digest"][: 2 + len(rest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), *rest], names=names)
 
     slim = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col(text_column).cast("binary").alias("text"),
+        *([text_digest(text_column).alias("digest")] if digest else []),
     )
-    return slim.mapInArrow(of, "doc_id long, fp long")
+    return slim.mapInArrow(of, "doc_id long, fp long" + (", digest binary" if digest else ""))

@@ -93,3 +93,29 @@ def test_odd_documents(odd_docs, no_docs):
 def test_null_ids_alone_keep_one(make_docs):
     kept = one_of_each(make_docs([(None, "a b c d", "en"), (None, "a b c d", "en")])).collect()
     assert len(kept) == 1 and kept[0].doc_id is None
+
+
+def test_rows_of_other_groups_never_matter(make_docs):
+    """Null and repeated ids on unrelated texts: each group keeps exactly one row, its own."""
+    rng = np.random.default_rng(9)
+
+    def text():
+        return " ".join(f"w{n}" for n in rng.integers(0, 10**6, 60))
+
+    rows = [(None, text(), "en") for _ in range(20)] + [(7, text(), "en") for _ in range(20)]
+    rows += [(7, rows[0][1], "en"), (3, rows[1][1], "en"), (3, rows[25][1], "fr"), (3, rows[25][1], "en")]
+    rows += [(None, rows[2][1], "en"), (7, rows[30][1], "en"), (9, rows[30][1], "en")]
+    want = {}
+    for doc, words, lang in rows:
+        rank = (doc is None, doc or 0, lang)
+        want[words] = min(want.get(words, rank), rank)
+    kept = one_of_each(make_docs(rows)).collect()
+    found = {r.text: (r.doc_id is None, r.doc_id or 0, r.lang) for r in kept}
+    assert len(kept) == 40 and found == want
+
+
+def test_least_text_of_a_shared_id(make_docs):
+    """Equal words with other white space are one group; the least text stays."""
+    rows = [(None, "a b  c d", "en"), (None, "a b c d", "en"), (None, "a  b c d", "en"), (None, None, "en")]
+    kept = sorted(repr(r.text) for r in one_of_each(make_docs(rows)).collect())
+    assert kept == ["'a  b c d'", "None"]
