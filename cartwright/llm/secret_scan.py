@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,7 @@ KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 #: Runs whose format is scored: 12 or more characters, a digit among them.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}", re.ASCII)
 DIGIT = re.compile(r"[0-9]")
-#: Documents read to learn the formats, chosen by a hash; labelled values and other runs used.
-SAMPLE_DOCUMENTS = 20_000
+#: Labelled values of a kind, and other runs, that are learned from; all documents are searched for them.
 SAMPLE_LABELLED = 400
 SAMPLE_OTHER = 1500
 #: Fewer labelled values of a kind than this teach nothing.
@@ -105,39 +105,58 @@ def _labelled(text: str | None) -> Iterator[tuple[str, str]]:
         yield "other", text[start:end]
 
 
-def fit_formats(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    sample_documents: int = SAMPLE_DOCUMENTS,
-) -> Formats:
-    """Learn one automaton per fixed kind, and one of other runs, from a bounded sample.
+def _draw(run: str) -> bytes:
+    return blake2b(run.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
-    About ``sample_documents`` documents, chosen by a hash of id and text, are read
-    whole. Of each kind the ``SAMPLE_LABELLED`` distinct values with the least hash are
+
+class Least:
+    """The distinct values with the least hash among all that were added."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.found, self.bar = limit, {}, b"\xff" * 9
+
+    def add(self, run: str) -> None:
+        draw = _draw(run)
+        if draw <= self.bar:
+            self.found[run] = draw
+            if len(self.found) >= 2 * self.limit:
+                self.found = dict(self.least())
+                self.bar = max(self.found.values())
+
+    def least(self) -> list[tuple[str, bytes]]:
+        return sorted(self.found.items(), key=lambda x: (x[1], x[0]))[: self.limit]
+
+
+def fit_formats(docs: DataFrame, text_column: str = "text") -> Formats:
+    """Learn one automaton per fixed kind, and one of other runs, from the values of all documents.
+
+    Of all distinct values of a kind the ``SAMPLE_LABELLED`` with the least hash are
     learned from, of other runs ``SAMPLE_OTHER``; a kind with fewer than
-    ``LEAST_LABELLED`` values teaches nothing.
+    ``LEAST_LABELLED`` values in all documents teaches nothing. Each task keeps no more
+    than twice as many, so neither tasks nor driver grow with the input.
     """
-    slim = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    share = min(1.0, sample_documents / max(1, slim.count()))
-    drawn = slim.where(
-        F.pmod(F.xxhash64(F.lit("formats"), "id", F.length("text")), F.lit(1 << 30))
-        < int(share * (1 << 30))
-    ).select("text")
+    limits = dict.fromkeys(("assign", "access", "hex"), SAMPLE_LABELLED) | {"other": SAMPLE_OTHER}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = {kind: Least(limit) for kind, limit in limits.items()}
         for batch in pieces(batches):
-            rows = {row for text in batch.column(0).to_pylist() for row in _labelled(text)}
-            kinds, runs = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(runs, pa.string())], names=["kind", "run"]
-            )
+            for text in batch.column(0).to_pylist():
+                for kind, run in _labelled(text):
+                    least[kind].add(run)
+        rows = [(kind, run, draw) for kind, kept in least.items() for run, draw in kept.least()]
+        kinds, runs, draws = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(kinds, pa.string()), pa.array(runs, pa.string()), pa.array(draws, pa.binary())],
+            names=["kind", "run", "draw"],
+        )
 
-    runs = stage(drawn.mapInArrow(of, "kind string, run string").distinct(), "runs")
+    found = docs.select(F.col(text_column).alias("text")).mapInArrow(
+        of, "kind string, run string, draw binary"
+    )
+    runs = stage(found.distinct(), "runs")
     learned = {}
-    for kind in ("assign", "access", "hex", "other"):
-        limit = SAMPLE_OTHER if kind == "other" else SAMPLE_LABELLED
-        rows = runs.where(F.col("kind") == kind).orderBy(F.xxhash64("run"), "run").limit(limit)
+    for kind, limit in limits.items():
+        rows = runs.where(F.col("kind") == kind).orderBy("draw", "run").limit(limit)
         learned[kind] = [format_of(r["run"]) for r in rows.select("run").collect()]
     other = learned.pop("other")
     kinds = [Automaton(v).merge() for v in learned.values() if len(v) >= LEAST_LABELLED]

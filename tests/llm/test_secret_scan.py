@@ -103,3 +103,32 @@ def test_odd_documents(make_docs, odd_docs, no_docs):
     one = make_docs([(1, 'é token = "abcdef1"', "en"), (1, 'é token = "abcdef1"', "en")])
     assert [[tuple(s) for s in r.base] for r in scan_secrets(one, learned).collect()] == [[("assign", 2, 18)]] * 2
     assert {r.text for r in redact_secrets(one, learned).collect()} == {f'é {MASK}"'}
+
+
+def test_a_kind_is_learned_however_rare_it_is(spark):
+    """Fifteen documents of 40,000 hold access keys; a key with a lower-case start is then added."""
+    rng = random.Random(4)
+
+    def key():
+        return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(24))
+
+    docs = spark.range(40_000).selectExpr(
+        "id AS doc_id",
+        "concat('order ', lower(hex(id)), '-plain-run-', id, '-of-words here') AS text",
+    )
+    keys = spark.createDataFrame([(50_000 + i, f"use AKIA{key()} now") for i in range(15)], docs.schema)
+    learned = fit_formats(docs.union(keys))
+    assert len(learned.kinds) == 1
+    assert learned.is_secret("AKI1" + key())
+    assert not learned.is_secret("ab12-plain-run-77-of-words")
+
+
+def test_learned_values_do_not_depend_on_partitions(spark, sf):
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents")
+    one, many = fit_formats(docs.coalesce(1)), fit_formats(docs.repartition(7))
+    runs = ["b7b8a0c022e6cc4d66", "hunter2hunter2", "plain-words-and-1", "A1B2C3D4E5F6G7H8"]
+    assert len(one.kinds) == len(many.kinds) > 0
+    for run in map(format_of, runs):
+        assert [k.log_likelihood(run) for k in (*one.kinds, one.other)] == [
+            k.log_likelihood(run) for k in (*many.kinds, many.other)
+        ]
