@@ -3,7 +3,8 @@
 A page is a sequence of words, which score positive, and tags, which score negative by
 weights learned from labelled pages: pages whose markup names the article itself. One
 linear scan finds the run with the largest sum. Elements that by name or class are not
-article text are read past; the tags of an article element bound every run.
+article text are read past, unless the article or most of the page stands in them; the
+tags of an article element bound every run.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,8 @@ ASIDE = frozenset(
     "head nav header footer aside form button select option label input dialog menu template"
     " svg canvas object audio video map noscript iframe".split()
 )
-#: Words in class, id or role of elements that hold no article text.
+#: Words of names in class, id or role of elements that hold no article text; a name counts
+#: only if it has no other words ("cookie-notice", but not "has-sidebar").
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner"
     " nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside"
@@ -51,12 +54,45 @@ ASIDE_WORDS = frozenset(
 #: The element that names the article; its tags are walls.
 ARTICLE = ("article", "main")
 WALLS = frozenset([*ARTICLE, "body", "html"])
+#: Of the elements without article text, those that a page may be wrapped in.
+WRAPPERS = frozenset(["form"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset"
     " figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre"
     " section summary table tbody tfoot thead tr ul".split()
 )
+#: A start tag closes the nearest open element of the first set, up to one of the second.
+ITEM_BOUNDS = (
+    "ul ol menu dl table td th tr article aside blockquote body button details fieldset figure"
+    " footer form header main nav section template"
+)
+IMPLIED = {
+    name: (frozenset(closes.split()), frozenset(bounds.split()))
+    for names, closes, bounds in (
+        ("li", "li", ITEM_BOUNDS),
+        ("dt dd", "dt dd", ITEM_BOUNDS),
+        ("option optgroup", "option", "select datalist optgroup"),
+        ("td th", "td th", "tr table template"),
+        ("tr", "tr", "table tbody thead tfoot template"),
+        ("tbody thead tfoot", "tbody thead tfoot tr", "table template"),
+    )
+    for name in names.split()
+}
+#: These close an open paragraph; it is never closed beyond one of the second set.
+ENDS_P = BLOCKS - frozenset("body html caption tbody thead tfoot tr".split())
+P_BOUNDS = frozenset("button caption html marquee object table td template th".split())
+P_RULE = (frozenset(["p"]), P_BOUNDS)
+#: All that the start tag of a name closes, and the rules for which an element counts.
+CLOSES = {
+    name: [P_RULE] * (name in ENDS_P) + [IMPLIED.get(name)] * (name in IMPLIED)
+    for name in ENDS_P | IMPLIED.keys()
+}
+RULES = {P_RULE, *IMPLIED.values()}
+COUNTS = {
+    name: [rule for rule in RULES if name in rule[0] | rule[1]]
+    for name in frozenset().union(*(ends | bounds for ends, bounds in RULES))
+}
 #: Inside a block these are white space.
 GAPS = frozenset(("br", "td", "th", "wbr"))
 
@@ -80,62 +116,171 @@ class Item:
     words: int = 0
 
 
-def _is_aside(name: str, attrs: str) -> bool:
+@dataclass
+class Open:
+    """An element whose end is not reached yet."""
+
+    name: str
+    start: int  # place of its tag among the steps
+    aside: str = ""  # how it says that it holds no article text: by name or by class
+
+
+def _aside(name: str, attrs: str) -> str:
     if name in ASIDE:
-        return True
+        return "name"
     if name in WALLS and name not in ARTICLE or not attrs:
-        return False
+        return ""
     for found in NAMED.finditer(attrs):
         value = (found[1] or found[2] or found[3] or "").lower()
-        if not ASIDE_WORDS.isdisjoint(PART.findall(value)):
-            return True
-    return False
+        for parts in map(PART.findall, value.split()):
+            if parts and ASIDE_WORDS.issuperset(parts):
+                return "class"
+    return ""
 
 
-def items_of(page: str | None) -> list[Item]:
-    """The steps of a page; end tags close the elements left open inside theirs."""
+def _implied(open_tags: list[Open], places: list[int], ends: frozenset, name: str) -> int | None:
+    """Height to which a start tag closes the open elements, if it closes any.
+
+    ``places`` are the heights of the open elements that can end or bound it.
+    """
+    lowest = None
+    for at in reversed(places):
+        here = open_tags[at].name
+        if here not in ends:
+            break
+        lowest = at
+        if here != "tr" or name == "tr":
+            break
+    return lowest
+
+
+Span = tuple[Open, int, int]
+
+
+def _steps(page: str | None) -> tuple[list[Item], list[Span], list[Span]]:
+    """All steps of a page, its asides and its articles, inner ones first, with their steps.
+
+    End tags close the elements left open inside theirs; a start tag closes the items,
+    cells and paragraphs that it ends by itself. An aside reaches from its start tag
+    through its end tag, an article up to its end tag.
+    """
     out: list[Item] = []
-    open_tags: list[str] = []
-    skipped = 0  # height of the stack at which the element read past began
-    articles, number = [], 0
+    open_tags: list[Open] = []
+    names: Counter = Counter()
+    places: dict = {rule: [] for rule in RULES}
+    asides: list[Span] = []
+    articles: list[Span] = []
+
+    def close(height: int, end_tag: str = "") -> None:
+        while len(open_tags) > height:
+            ended = open_tags.pop()
+            names[ended.name] -= 1
+            for rule in COUNTS.get(ended.name, ()):
+                places[rule].pop()
+            if ended.name in ARTICLE:
+                articles.append((ended, ended.start, len(out)))
+            if end_tag and len(open_tags) == height:
+                out.append(Item(tag=end_tag))
+            if ended.aside:
+                asides.append((ended, ended.start, len(out)))
+
     for found in TOKEN.finditer(page or ""):
         if found["text"] is not None:
-            if not skipped:
-                text = html.unescape(found["text"])
-                out.append(
-                    Item(text=text, words=len(text.split()), article=articles[-1] if articles else 0)
-                )
+            text = html.unescape(found["text"])
+            out.append(Item(text=text, words=len(text.split())))
             continue
         name = (found["name"] or found["name2"] or "").lower()
         if not name:
             continue
         attrs = found["attrs"] or found["attrs2"] or ""
         if found["end"] or found["end2"]:
-            if name not in open_tags:
-                continue
-            while open_tags:
-                closed = open_tags.pop()
-                if closed in ARTICLE and articles and not skipped:
-                    articles.pop()
-                ends_aside = skipped and len(open_tags) < skipped
-                if ends_aside:
-                    skipped = 0
-                if closed == name:
-                    break
-            if not skipped and not ends_aside:
-                out.append(Item(tag=f"/{name}", article=articles[-1] if articles else 0))
+            if names[name]:
+                at = len(open_tags) - 1
+                while open_tags[at].name != name:
+                    at -= 1
+                close(at, f"/{name}")
             continue
-        aside = not skipped and _is_aside(name, attrs)
-        if not skipped:
-            out.append(Item(tag=name, aside=aside, article=articles[-1] if articles else 0))
-        if name in VOID or attrs.rstrip().endswith("/"):
+        for ends, bounds in CLOSES.get(name, ()):
+            height = _implied(open_tags, places[ends, bounds], ends, name)
+            if height is not None:
+                close(height)
+        aside = _aside(name, attrs)
+        empty = name in VOID or attrs.rstrip().endswith("/")
+        out.append(Item(tag=name, aside=bool(aside) and empty))
+        if not empty:
+            open_tags.append(Open(name, len(out) - 1, aside))
+            names[name] += 1
+            for rule in COUNTS.get(name, ()):
+                places[rule].append(len(open_tags) - 1)
+    close(0)
+    return out, asides, articles
+
+
+def _read_past(steps: list[Item], asides: list[Span], articles: list[Span]) -> dict[int, int]:
+    """Last-plus-one step, by first step, of the elements to read past.
+
+    An aside stays if it holds a ``main``, or an article while none stands outside all
+    asides, or, where it is one by class only, most of the page's words outside links. An
+    article that is an aside itself counts only where it is the only one.
+    """
+    if not asides:
+        return {}
+    named = {a[1] for a in articles if a[0].name == "article" and not a[0].aside}
+    if not named and len(articles) == 1:
+        named = {articles[0][1]}
+    mains = {a[1] for a in articles if a[0].name == "main"}
+    covers = [0] * (len(steps) + 1)
+    for _, first, last in asides:
+        covers[first] += 1
+        covers[last] -= 1
+    # words outside links, and elements that hold the article, up to each step
+    words, holds = [0], [0]
+    linked = 0
+    covered = list(accumulate(covers))
+    if any(not covered[at] for at in named):
+        named = set()
+    for at, item in enumerate(steps):
+        linked = max(0, linked + (item.tag == "a") - (item.tag == "/a"))
+        words.append(words[-1] + (0 if linked else item.words))
+        holds.append(holds[-1] + (at in named or at in mains))
+    past: dict[int, int] = {}
+    gone: list[tuple[int, int]] = []  # first step and words of what is read past so far
+    for element, first, last in asides:
+        lost = 0
+        while gone and gone[-1][0] >= first:
+            lost += gone.pop()[1]
+        own = words[last] - words[first] - lost
+        soft = element.aside == "class" or element.name in WRAPPERS
+        if holds[last] == holds[first] and not (soft and 2 * own > words[-1]):
+            past[first] = last
+            lost += own
+        if lost:
+            gone.append((first, lost))
+    return past
+
+
+def items_of(page: str | None) -> list[Item]:
+    """The steps of a page, each element that holds no article text as one step."""
+    steps, asides, articles = _steps(page)
+    past = _read_past(steps, asides, articles)
+    ends = {first: last for _, first, last in articles}
+    out: list[Item] = []
+    inside: list[tuple[int, int]] = []  # ends and numbers of the articles around a step
+    number, at = 0, 0
+    while at < len(steps):
+        item = steps[at]
+        while inside and inside[-1][0] <= at:
+            inside.pop()
+        item.article = inside[-1][1] if inside else 0
+        out.append(item)
+        if at in past:
+            item.aside = True
+            at = past[at]
             continue
-        open_tags.append(name)
-        if aside:
-            skipped = len(open_tags)
-        elif name in ARTICLE and not skipped:
+        if at in ends:
             number += 1
-            articles.append(number)
+            inside.append((ends[at], number))
+        at += 1
     return out
 
 

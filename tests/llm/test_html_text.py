@@ -6,6 +6,7 @@ from cartwright.llm.html_text import (
     best_run,
     extract_text,
     fit_tag_weights,
+    items_of,
     main_text,
 )
 from cartwright.llm.tables import table
@@ -67,3 +68,44 @@ def test_odd_pages(spark):
     assert got == want
     empty = pages.where("false")
     assert extract_text(empty, fit_tag_weights(empty)).count() == 0
+
+
+def test_wrappers_of_the_article_are_never_read_past():
+    text = "<p>one two three four five six seven eight nine ten</p><p>eleven twelve</p>"
+    want = "one two three four five six seven eight nine ten\n\neleven twelve"
+    for start, end in (
+        ("<main class='has-sidebar'>", "</main>"),
+        ("<main class='sidebar'>", "</main>"),
+        ("<div class='content no-sidebar'>", "</div>"),
+        ("<article class='post comments-open'>", "</article>"),
+        ("<article class='related'>", "</article>"),
+        ("<div class='elementor-widget-container'>", "</div>"),
+        ("<div class='page-with-header'>", "</div>"),
+        ("<div class='widget'>", "</div>"),
+        ("<div class='overlay'><article>", "</article></div>"),
+        ("<form id=aspnet>", "</form>"),
+    ):
+        page = f"<body><nav><a>x</a></nav>{start}{text}<div class='ad'>buy</div>{end}<footer>f g</footer>"
+        assert main_text(page, {}) == want, start
+    cards = "<article>a b c</article>" * 2
+    page = f"<body><div class='widget'><article>{text}</article></div><div class='related'>{cards}</div>"
+    assert main_text(page, {}) == want
+    page = f"<body><article>{text}</article><div class='related'>{cards * 20}</div>"
+    assert main_text(page, {}) == want
+    page = f"<body><div>{text}</div><div class='comments'>" + "<div class='comment'>me too and me</div>" * 20
+    assert main_text(page, {}) == want
+
+
+def test_unclosed_elements_end_where_the_next_begins():
+    for broken, left in (
+        ("<p class='ad'>buy buy<p>four five six", "four five six"),
+        ("<p class='ad'>buy <b>buy<div>four five six</div>", "four five six"),
+        ("<ul><li class='related'>see<li>four<li>five</ul>", "four\n\nfive"),
+        ("<dl><dt class='ad'>see<dd>four<dt>five</dl>", "four\n\nfive"),
+        ("<table><tr><td class='ad'>buy<td>four<tr class='ad'><td>buy<tr><td>five</table>", "four\n\nfive"),
+        ("<ul><li>four<ul><li class='ad'>buy</ul><li>five</ul>", "four\n\nfive"),
+    ):
+        page = f"<body><div><p>one two three</p>{broken}<p>seven eight</p></div>"
+        assert main_text(page, {}) == f"one two three\n\n{left}\n\nseven eight", broken
+    page = "<div><article>one two three</div>four"
+    assert [i.article for i in items_of(page) if i.words] == [1, 0]
