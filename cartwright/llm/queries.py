@@ -14,6 +14,7 @@ from cartwright.llm.line_dedup import dedup_lines
 from cartwright.llm.near_duplicates import near_duplicates
 from cartwright.llm.neighbours import nearest_vectors
 from cartwright.llm.packing import pack
+from cartwright.llm.quality import judge_quality
 from cartwright.llm.secret_scan import fit_formats, scan_secrets
 from cartwright.llm.sentence_pieces import decode_pieces, encode_pieces
 from cartwright.llm.tables import table
@@ -82,6 +83,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", fingerprint, "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -94,6 +101,7 @@ def all_queries() -> dict[str, Query]:
         "op8_html_extraction": op8_html_extraction,
         "op9_url_filters": op9_url_filters,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_quality_rules": op11_quality_rules,
     }
 
 
