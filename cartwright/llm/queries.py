@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import hamming, url_filter
+from cartwright.llm import hamming, hard_negatives, url_filter
 from cartwright.llm.html_text import extract_text, fit_tag_weights
 from cartwright.llm.language import fit_language_model, held_out, predict_language
 from cartwright.llm.line_dedup import dedup_lines
@@ -89,6 +89,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -102,6 +106,7 @@ def all_queries() -> dict[str, Query]:
         "op9_url_filters": op9_url_filters,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_quality_rules": op11_quality_rules,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -109,4 +114,5 @@ def all_statements() -> dict[str, str]:
     return {
         "op2_exact_top_k": hamming.statement(),
         "op9_url_filters": url_filter.statement(),
+        "op12_hard_negatives": hard_negatives.statement(),
     }

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def finite_vectors(
-    rows: DataFrame, id_column: str, vector_column: str, zero: bool, infinite: bool
+    rows: DataFrame,
+    id_column: str,
+    vector_column: str,
+    zero: bool,
+    infinite: bool,
+    keep: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """``id, vector`` (doubles) of the rows that can take part.
+    """``id, vector`` (doubles) of the rows that can take part, and ``keep``.
 
     Left out are null ids, null and empty vectors, those with a null or NaN component,
     with an infinite one unless ``infinite``, with none but zeros unless ``zero``, and
     those of another length than most rows have (the smaller length on a tie).
     """
     vector = F.col(vector_column).cast("array<double>")
-    slim = rows.select(F.col(id_column).cast("long").alias("id"), vector.alias("vector"))
+    slim = rows.select(F.col(id_column).cast("long").alias("id"), vector.alias("vector"), *keep)
 
     def fits(x):
         ok = x.isNotNull() & ~F.isnan(x)
