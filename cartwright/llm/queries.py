@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import hamming, hard_negatives, url_filter
+from cartwright.llm.alignment import align_tokens
 from cartwright.llm.html_text import extract_text, fit_tag_weights
 from cartwright.llm.language import fit_language_model, held_out, predict_language
 from cartwright.llm.line_dedup import dedup_lines
@@ -93,6 +94,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -107,6 +112,7 @@ def all_queries() -> dict[str, Query]:
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_quality_rules": op11_quality_rules,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
