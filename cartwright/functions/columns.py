@@ -175,3 +175,12 @@ def earliest(value: str, only_event: str | None = None) -> Column:
     if only_event is not None:
         usable = usable & is_step(only_event)
     return F.min_by(value, F.when(usable, F.struct("event_timestamp", "event_id", value)))
+
+
+def exact_sum(term: Column, scale: int = 18) -> Column:
+    """Sum of doubles that does not depend on the order of rows.
+
+    Each term is rounded to ``scale`` decimal places and added up exactly; 38 - ``scale``
+    digits are left before the point. A null sum stays null.
+    """
+    return F.sum(term.cast(f"decimal(38,{scale})")).cast("double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartwright.functions.columns import exact_sum
 from cartwright.operators.skew import running_totals
 from cartwright.sources.staging import stage
 
@@ -37,13 +38,14 @@ def score_curve(
 def precision_sum() -> Column:
     """Precision times the step in recall, summed over the thresholds."""
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return F.sum(precision * F.try_divide("pos", "all_pos"))
+    return exact_sum(precision * F.try_divide("pos", "all_pos"))
 
 
 def ordered_pairs() -> Column:
     """Share of (positive, negative) pairs in the right order, ties counting half."""
-    above = F.col("cum_pos") - F.col("pos") + F.col("pos") / 2
-    return F.try_divide(F.sum(F.col("neg") * above), F.max("all_pos") * F.max("all_neg"))
+    halves = F.lit(2).cast("decimal(20,0)") * F.col("neg") * F.col("cum_pos") - F.col("neg") * F.col("pos")
+    pairs = 2.0 * F.max("all_pos") * F.max("all_neg")
+    return F.try_divide(F.sum(halves.cast("decimal(38,0)")).cast("double"), pairs)
 
 
 def average_precision(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -95,11 +95,20 @@ def permutation_importance(
     scores = stage(average_precision(score_curve(scored, label, by=by), by), "importance")
     plain_score = scores.where(F.col("feature") == "").select("average_precision").scalar()
     drops = scores.where(F.col("feature") != "").select(
-        "feature", (plain_score - F.col("average_precision")).alias("drop")
+        "feature", "repeat", (plain_score - F.col("average_precision")).alias("drop")
     )
-    drop = F.col("drop")
-    return (
-        drops.groupBy("feature")
-        .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std"))
-        .orderBy(F.desc("importance"), "feature")
+    # one number a repeat, added up in the order of the repeats
+    of_repeats = drops.groupBy("feature").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("repeat", "drop"))), lambda r: r["drop"]
+        ).alias("drops")
+    )
+
+    def mean(values):
+        return F.aggregate(values, F.lit(0.0), lambda total, x: total + x) / F.size(values)
+
+    found = of_repeats.withColumn("importance", mean("drops"))
+    spread = F.transform("drops", lambda x: (x - F.col("importance")) * (x - F.col("importance")))
+    return found.select("feature", "importance", F.sqrt(mean(spread)).alias("std")).orderBy(
+        F.desc("importance"), "feature"
     )

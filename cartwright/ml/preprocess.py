@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartwright.ml.stats import exact_medians, most_frequent
+from cartwright.operators.skew import numbered
 from cartwright.sources.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cartwright.sources.staging import stage
 
@@ -161,8 +161,8 @@ def fit_encoding(prepared_train: DataFrame, imputation: Imputation) -> Encoding:
     text = tuple(f"text__{c}" for c in CATEGORICAL_FEATURES)
     found = stacked(prepared_train, text, "string").where("value is not null").distinct()
     found = found.withColumn("feature", F.expr("substring(feature, 7)"))
-    place = F.row_number().over(W.partitionBy("feature").orderBy("value"))
-    dictionary = stage(found.withColumn("index", (place - 1).cast("double")), "categories")
+    places = numbered(found, "feature", "value", "index")
+    dictionary = stage(places.withColumn("index", F.col("index").cast("double")), "categories")
     sizes = {r["feature"]: r["count"] for r in dictionary.groupBy("feature").count().collect()}
     encoder = OneHotEncoder(
         inputCols=[f"index__{c}" for c in CATEGORICAL_FEATURES],

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartwright.functions.columns import is_step, monday, pct
+from cartwright.functions.columns import exact_sum, is_step, monday, pct
 
 
 def user_day_activity(shaped: DataFrame) -> DataFrame:
@@ -172,6 +172,6 @@ def weighted_rate(week: int):
     eligible = F.col(f"eligible_week_{week}")
     kept = F.col("cohort_size") * F.coalesce(F.col(f"week_{week}_rate"), F.lit(0.0))
     return pct(
-        F.sum(F.when(eligible, kept).otherwise(0.0)),
+        exact_sum(F.when(eligible, kept).otherwise(0.0), 12),
         F.sum(F.when(eligible, F.col("cohort_size")).otherwise(0)),
     )

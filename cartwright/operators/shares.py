@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartwright.functions.columns import pct
+from cartwright.functions.columns import exact_sum, pct
+from cartwright.sources.staging import stage
 
 
 def share_of_total(value: str, by: list[str], digits: int = 2) -> Column:
@@ -18,6 +19,18 @@ def share_of_total(value: str, by: list[str], digits: int = 2) -> Column:
     return pct(F.col(value), F.sum(value).over(W.partitionBy(*by)), digits)
 
 
+def with_share(df: DataFrame, value: str, by: str, name: str, digits: int = 2) -> DataFrame:
+    """Adds ``name``: the percentage of the group total, for groups of any number of rows.
+
+    The rows are stored, so that the report behind them runs once. Each task adds up its own
+    part of a group, and the one row of totals a group is joined back; nulls are a group too.
+    """
+    rows = stage(df, "shares")
+    totals = rows.groupBy(F.col(by).alias("of_group")).agg(F.sum(value).alias("group_total"))
+    joined = rows.join(totals, F.col(by).eqNullSafe(F.col("of_group")))
+    return joined.select(*df.columns, pct(F.col(value), F.col("group_total"), digits).alias(name))
+
+
 def share_of_grand_total(value: str, digits: int = 2) -> Column:
     """Percentage of the total over all report rows."""
     return pct(F.col(value), F.sum(value).over(W.partitionBy(F.lit(0))), digits)
@@ -61,7 +74,7 @@ def mix_rate_decomposition(
         .where(F.col("periods_seen") == 2)
     )
     sums = [
-        F.round(100 * F.sum(F.col(f"share_{s}") * F.col(f"rate_{r}")), digits).alias(name)
+        F.round(100 * exact_sum(F.col(f"share_{s}") * F.col(f"rate_{r}")), digits).alias(name)
         for name, (s, r) in names.items()
     ]
     return paired.groupBy(*by).agg(*sums)

@@ -63,6 +63,39 @@ def value_ranges(df: DataFrame, column: str, ranges: int) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=column, outputCol="value_range").transform(df)
 
 
+def default_ranges(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, within limits."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(partitions, 8), 2000)
+
+
+def numbered(
+    df: DataFrame, by: str, order: str, name: str, ranges: int | None = None
+) -> DataFrame:
+    """Adds ``name``: the place, from 0, of each row among those of ``by`` by ``order``.
+
+    Rows are distinct in ``by`` and ``order``, of any type that sorts. Spark samples them
+    for cut points and deals them to ranges, which may lie inside one group; rows are ranked
+    in their range and the sizes of the group's earlier ranges are added. So no task orders
+    a whole group. The cut points only place the work, the numbers are exact.
+    """
+    dealt = df.repartitionByRange(ranges or default_ranges(df), by, order)
+    cut = stage(dealt.withColumn("value_range", F.spark_partition_id()), "numbered")
+    inside = W.partitionBy(by, "value_range").orderBy(order)
+    earlier = (
+        W.partitionBy(by).orderBy("value_range").rowsBetween(W.unboundedPreceding, -1)
+    )
+    sizes = cut.groupBy(by, "value_range").agg(F.count("*").alias("n"))
+    before = sizes.select(
+        by, "value_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    return (
+        cut.withColumn("place", F.row_number().over(inside) - 1)
+        .join(before, [by, "value_range"])
+        .select(*df.columns, (F.col("before") + F.col("place")).alias(name))
+    )
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -81,9 +114,7 @@ def running_totals(
     the caller has done so (``stored``). There are as many ranges as the session
     has shuffle partitions, within limits.
     """
-    if ranges is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(max(partitions, 8), 2000)
+    ranges = ranges or default_ranges(df)
     cut = value_ranges(df if stored else stage(df, "totals"), order, ranges)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = (

@@ -25,7 +25,12 @@ from cartwright.operators.sessions import (
     start_date,
 )
 from cartwright.operators.shape import explode_items, shape_events
-from cartwright.operators.shares import mix_rate_decomposition, share_of_total, stack_scopes
+from cartwright.operators.shares import (
+    mix_rate_decomposition,
+    share_of_total,
+    stack_scopes,
+    with_share,
+)
 from cartwright.plans.audit import distinct_sessions
 from cartwright.plans.kpi import MAIN_STEPS, reached, started_counts
 
@@ -84,12 +89,12 @@ def funnel_device(
 
 
 def share_and_rates(counts: DataFrame, segment: list[str]) -> DataFrame:
-    """Session share within the period and the four plain rates."""
+    """Sessions, their share, and the four plain rates."""
     return counts.select(
         "period",
         *segment,
         "sessions",
-        share_of_total("sessions", ["period"]).alias("session_share_pct"),
+        "session_share_pct",
         "product_view_sessions",
         "checkout_sessions",
         "purchase_sessions",
@@ -104,40 +109,52 @@ def known_channel(*columns: str) -> dict:
     return {c: F.coalesce(c, F.lit("(unknown)")) for c in columns}
 
 
-def channel_funnel(
+CHANNEL = ["first_source", "first_medium"]
+
+
+def channel_counts(
     events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
 ) -> DataFrame:
-    """Small channels are hidden only after the shares are taken."""
-    channel = ["first_source", "first_medium"]
-    counts = (
+    """Sessions and steps per period and channel."""
+    return (
         dated_sessions(events, MAIN_STEPS, first_channel(), config.periods, sessions)
-        .withColumns(known_channel(*channel))
-        .groupBy("period", *channel)
+        .withColumns(known_channel(*CHANNEL))
+        .groupBy("period", *CHANNEL)
         .agg(*started_counts())
     )
+
+
+def channel_funnel(
+    events: DataFrame, config: CommerceConfig, sessions: DataFrame | None = None
+) -> DataFrame:
+    """Small channels are hidden only after the shares are taken."""
+    counts = channel_counts(events, config, sessions)
+    shares = with_share(counts, "sessions", "period", "session_share_pct")
     return (
-        share_and_rates(counts, channel)
+        share_and_rates(shares, CHANNEL)
         .where(F.col("sessions") >= config.min_segment_sessions)
-        .orderBy(period_order(config), F.desc("sessions"), *channel)
+        .orderBy(period_order(config), F.desc("sessions"), *CHANNEL)
     )
 
 
-def channel_mix(events: DataFrame, config: CommerceConfig) -> DataFrame:
-    """Counts session starts as they are, with or without a session id."""
+def channel_starts(events: DataFrame, config: CommerceConfig) -> DataFrame:
+    """Session starts as they are, with or without a session id, per period and channel."""
     first, last = config.window
-    channel = ["first_source", "first_medium"]
     starts = shape_events(events.where(raw_day_between("event_date", first, last))).where(
         F.col("event_name") == "session_start"
     )
-    counts = (
+    return (
         in_periods(starts, config.periods, "event_day")
-        .withColumns(known_channel(*channel))
-        .groupBy("period", *channel)
+        .withColumns(known_channel(*CHANNEL))
+        .groupBy("period", *CHANNEL)
         .agg(F.count("*").alias("sessions"), F.count_distinct("user_pseudo_id").alias("users"))
     )
-    return counts.select(
-        "*", share_of_total("sessions", ["period"]).alias("session_share_pct")
-    ).orderBy(period_order(config), F.desc("sessions"), *channel)
+
+
+def channel_mix(events: DataFrame, config: CommerceConfig) -> DataFrame:
+    """Session starts of each channel and their share of the period."""
+    shares = with_share(channel_starts(events, config), "sessions", "period", "session_share_pct")
+    return shares.orderBy(period_order(config), F.desc("sessions"), *CHANNEL)
 
 
 def customer_new_returning_funnel(
@@ -146,7 +163,8 @@ def customer_new_returning_funnel(
     steps = ("first_visit", *MAIN_STEPS)
     dated = dated_sessions(events, steps, [], config.periods, sessions)
     counts = dated.groupBy("period", user_type().alias("user_type")).agg(*started_counts())
-    return share_and_rates(counts, ["user_type"]).orderBy(period_order(config), "user_type")
+    share = share_of_total("sessions", ["period"])
+    return share_and_rates(counts.withColumn("session_share_pct", share), ["user_type"]).orderBy(period_order(config), "user_type")
 
 
 def counterfactual_names(config: CommerceConfig, names: tuple[str, str, str, str]) -> dict:

@@ -4,12 +4,15 @@ import pytest
 
 from cartwright.config import DRIVER_CONFIG
 from cartwright.operators.orders import leading_orders
+from cartwright.operators.skew import numbered
 from cartwright.plans import audit, kpi, repeat, retention, segments
 from registry import inputs
 
 SF = "/root/testdata/sf0.001"
 MODULES = (audit, kpi, segments, retention)
-REPORTS = {name: f for m in MODULES for name, f in m.REPORTS.items()}
+# Reports that store their counts before totals are joined back are seen by those counts.
+COUNTS = {"channel_funnel": segments.channel_counts, "channel_mix": segments.channel_starts}
+REPORTS = {name: f for m in MODULES for name, f in m.REPORTS.items()} | COUNTS
 # Reports that join two aggregates of the events.
 TWO_SCANS = {"kpi_daily_funnel_orders", "kpi_period_summary", "dq_placeholder_patterns"}
 
@@ -56,3 +59,20 @@ def test_first_orders_are_limited_before_the_shuffle(spark, plan):
     orders = repeat.orders_in_window(inputs.events(spark, SF), DRIVER_CONFIG, "session")
     text = plan(leading_orders(orders))
     assert text[: text.index("(1) ")].count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("name", sorted(COUNTS))
+def test_channel_shares_need_no_window(spark, plan, name):
+    report = segments.REPORTS[name](inputs.events(spark, SF), DRIVER_CONFIG)
+    text = plan(report)
+    assert "Window" not in text and "Cartesian" not in text and "NestedLoop" not in text
+    assert "partial_sum(sessions" in text
+
+
+def test_no_window_numbers_a_whole_feature(spark, plan):
+    encoding = inputs.model(spark, SF, "logistic").encoding
+    assert "Window" not in plan(encoding.dictionary)
+    values = spark.range(1000).selectExpr("id % 3 AS feature", "cast(id AS string) AS value")
+    text = plan(numbered(values.distinct(), "feature", "value", "index"))
+    assert "row_number() windowspecdefinition(feature" in text
+    assert "windowspecdefinition(feature#" in text and "value_range#" in text

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from cartwright.ml.importance import shuffled_positions
 from cartwright.ml.split import stratified_split
 from cartwright.ml.stats import exact_medians, most_frequent
-from cartwright.operators.skew import hot_keys, running_totals, spread_join
+from cartwright.functions.columns import exact_sum
+from cartwright.ml import evaluate
+from cartwright.operators.cohorts import weighted_rate
+from cartwright.operators.shares import mix_rate_decomposition, with_share
+from cartwright.operators.skew import hot_keys, numbered, running_totals, spread_join
 from cartwright.sources import staging
 from cartwright.sources.driver_events import canonical_events
 from cartwright.sources.tables import read_events, write_events
@@ -158,3 +162,74 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         staging.shared_folder(Session())
+
+
+def test_numbered_equals_one_window(spark):
+    """200,000 categories, most of them of one feature, and values that sort as text."""
+    values = spark.range(200_000).select(
+        F.when(F.col("id") < 1000, F.lit("few")).otherwise(F.lit("many")).alias("feature"),
+        F.concat(F.lit("v"), F.col("id") * 7919 % 200_000).alias("value"),
+    )
+    got = numbered(values, "feature", "value", "index", ranges=16)
+    place = F.row_number().over(W.partitionBy("feature").orderBy("value")) - 1
+    want = values.withColumn("index", place.cast("long"))
+    both = got.withColumn("index", F.col("index").cast("long"))
+    assert both.exceptAll(want).count() == 0 and got.count() == 200_000
+    largest = got.groupBy("feature", F.col("index")).count().agg(F.max("count")).first()[0]
+    assert largest == 1
+    assert numbered(values.where("false"), "feature", "value", "index").count() == 0
+
+
+def test_share_joined_back_equals_the_window(spark, skewed):
+    rows = skewed.groupBy("key", "n").agg(F.count("*").alias("v")).withColumn(
+        "key", F.when(F.col("key") != 7, F.col("key"))
+    )
+    got = with_share(rows, "v", "key", "pct")
+    total = F.sum("v").over(W.partitionBy("key"))
+    want = rows.withColumn("pct", F.round(100 * F.col("v") / total, 2))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def in_many_orders(spark, rows, result):
+    """The result of the rows dealt out in several ways."""
+    found = set()
+    for parts, column in ((1, "id"), (3, "id"), (7, "half"), (5, "id")):
+        dealt = rows.withColumn("half", F.col("id") % 2).repartition(parts, column)
+        dealt = dealt.sortWithinPartitions(F.desc("id") if parts % 2 else "id").drop("half")
+        found.add(tuple(tuple(r) for r in result(dealt).collect()))
+    return found
+
+
+def test_sums_of_ratios_are_the_same_in_every_partitioning(spark):
+    ids = spark.range(4_000)
+    noise = F.pmod(F.xxhash64("id"), F.lit(10_007)) / 10_007.0
+    terms = ids.withColumn("x", noise / 3)
+    assert len(in_many_orders(spark, terms, lambda df: df.agg(exact_sum(F.col("x"))))) == 1
+
+    scored = ids.select("id", (noise < 0.3).cast("int").alias("label"), noise.alias("score"))
+    for measure in (evaluate.average_precision, evaluate.roc_auc):
+        found = in_many_orders(spark, scored, lambda df: measure(evaluate.score_curve(df)))
+        assert len(found) == 1
+
+    mixes = ids.select(
+        "id",
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("period"),
+        F.floor(F.col("id") / 2).alias("segment"),
+        (F.col("id") % 13 + 1).alias("weight"),
+        noise.alias("rate"),
+    )
+    names = {"same": (0, 0), "crossed": (0, 1)}
+    found = in_many_orders(
+        spark,
+        mixes,
+        lambda df: mix_rate_decomposition(df, ("a", "b"), "segment", "weight", "rate", names, digits=15),
+    )
+    assert len(found) == 1
+
+    cohorts = ids.select(
+        "id",
+        (F.col("id") % 97 + 1).alias("cohort_size"),
+        noise.alias("week_1_rate"),
+        F.lit(True).alias("eligible_week_1"),
+    )
+    assert len(in_many_orders(spark, cohorts, lambda df: df.agg(weighted_rate(1)))) == 1
