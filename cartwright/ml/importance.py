@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,36 +44,83 @@ def shuffled_positions(
     )
 
 
-def permuted_rows(
-    test: DataFrame, label: str, key: str, features: tuple[str, ...], repeats: int, seed: int
+def paired_rows(
+    test: DataFrame, label: str, key: str, columns: list[str], repeats: int, seed: int
 ) -> DataFrame:
-    """For every feature and repeat the test rows with that one column shuffled.
+    """``repeat, label, own, other``: the columns of each row and of the row in its place.
 
-    In each repeat every row meets the row that took its position; one such
-    pairing serves all features.
+    In each repeat every row meets the row that took its position; one such pairing serves
+    all features.
     """
     positions = stage(shuffled_positions(test.select(key), key, repeats, seed), "positions")
     here = positions.where(F.col("repeat") == 0).select(key, "position")
     there = positions.where(F.col("repeat") > 0)
-    own = F.struct(*[F.col(c) for c in features]).alias("own")
+    values = F.struct(*[F.col(c) for c in columns])
     rows = (
         test.join(here, key)
-        .select("position", label, own)
+        .select("position", label, values.alias("own"))
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     )
-    donors = test.join(there, key).select(
-        "repeat", "position", F.struct(*[F.col(c) for c in features]).alias("other")
-    )
-    swapped = [
+    donors = test.join(there, key).select("repeat", "position", values.alias("other"))
+    return rows.join(donors, ["repeat", "position"]).select("repeat", label, "own", "other")
+
+
+def swapped(feature: str, column: str, name: str) -> Column:
+    """``name`` of the other row if it belongs to ``feature``, else of the row itself."""
+    return F.col("other" if column == feature else "own")[name]
+
+
+def permuted_rows(
+    test: DataFrame, label: str, key: str, features: tuple[str, ...], repeats: int, seed: int
+) -> DataFrame:
+    """For every feature and repeat the test rows with that one column shuffled."""
+    pairs = paired_rows(test, label, key, list(features), repeats, seed)
+    rows = [
+        F.struct(F.lit(f).alias("feature"), *[swapped(f, c, c).alias(c) for c in features])
+        for f in features
+    ]
+    return pairs.select("repeat", label, F.inline(F.array(*rows)))
+
+
+def scored_by_parts(
+    model: FittedModel,
+    test: DataFrame,
+    label: str,
+    key: str,
+    features: tuple[str, ...],
+    repeats: int,
+    seed: int,
+) -> DataFrame:
+    """``feature, repeat, label, score`` of a linear model with one feature shuffled.
+
+    A shuffled feature changes a margin only by the other row's part in place of its own, so
+    the rows are encoded once. Parts are always added in the same order: equal rows keep
+    equal scores.
+    """
+    parts = [f"part__{c}" for c in features]
+    rows = stage(model.contributions(test, features).select(key, label, *parts), "parts")
+
+    def score(values: list[Column]) -> Column:
+        margin = F.lit(float(model.classifier.intercept))
+        for value in values:
+            margin = margin + value
+        return 1 / (1 + F.exp(-margin))
+
+    pairs = paired_rows(rows, label, key, parts, repeats, seed)
+    shuffled = [
         F.struct(
             F.lit(f).alias("feature"),
-            *[F.col(f"{'other' if c == f else 'own'}.{c}").alias(c) for c in features],
+            score([swapped(f, c, f"part__{c}") for c in features]).alias("score"),
         )
         for f in features
     ]
-    return rows.join(donors, ["repeat", "position"]).select(
-        "repeat", label, F.inline(F.array(*swapped))
+    plain = rows.select(
+        F.lit(0).alias("repeat"),
+        label,
+        F.lit("").alias("feature"),
+        score([F.col(c) for c in parts]).alias("score"),
     )
+    return pairs.select("repeat", label, F.inline(F.array(*shuffled))).unionByName(plain)
 
 
 def permutation_importance(
@@ -84,13 +131,23 @@ def permutation_importance(
     features: tuple[str, ...] = FEATURES,
     repeats: int = 20,
     seed: int = 42,
+    by_parts: bool | None = None,
 ) -> DataFrame:
-    """Mean and spread of the loss in average precision when a feature is shuffled."""
-    shuffled = permuted_rows(test, label, key, features, repeats, seed)
-    plain = test.select(
-        F.lit(0).alias("repeat"), label, F.lit("").alias("feature"), *features
-    )
-    scored = model.predict(shuffled.unionByName(plain))
+    """Mean and spread of the loss in average precision when a feature is shuffled.
+
+    Linear models are scored by their parts, unless ``by_parts`` is false; any other model
+    predicts every shuffled copy of the rows.
+    """
+    if by_parts is None:
+        by_parts = getattr(model, "linear", False)
+    if by_parts:
+        scored = scored_by_parts(model, test, label, key, features, repeats, seed)
+    else:
+        shuffled = permuted_rows(test, label, key, features, repeats, seed)
+        plain = test.select(
+            F.lit(0).alias("repeat"), label, F.lit("").alias("feature"), *features
+        )
+        scored = model.predict(shuffled.unionByName(plain))
     by = ("feature", "repeat")
     scores = stage(average_precision(score_curve(scored, label, by=by), by), "importance")
     plain_score = scores.where(F.col("feature") == "").select("average_precision").scalar()

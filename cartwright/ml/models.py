@@ -24,6 +24,36 @@ class FittedModel:
     encoding: Encoding
     classifier: object
 
+    @property
+    def linear(self) -> bool:
+        return hasattr(self.classifier, "coefficients")
+
+    def contributions(self, df: DataFrame, features: tuple[str, ...]) -> DataFrame:
+        """Adds ``part__<feature>``: what each feature adds to a linear model's margin.
+
+        A number adds its coefficient times its value, and that of its missing indicator; a
+        category the coefficient of its value, found by a join, or nothing if unseen.
+        """
+        numeric = self.encoding.numeric
+        weight = dict(zip(numeric, map(float, self.classifier.coefficients)))
+        table = self.encoding.named(self.classifier.coefficients).select(
+            "slot", F.col("value").alias("weight")
+        )
+        categories = self.encoding.category_slots.join(table, "slot")
+        rows = self.preprocessing.prepare(df)
+        parts = {}
+        for c in features:
+            if f"num__{c}" in weight:
+                own = [n for n in (f"num__{c}", f"num__missingindicator_{c}") if n in weight]
+                parts[c] = sum((F.col(n) * weight[n] for n in own[1:]), F.col(own[0]) * weight[own[0]])
+            else:
+                found = categories.where(F.col("feature") == c).select(
+                    F.col("value").alias(f"text__{c}"), F.col("weight").alias(f"weight__{c}")
+                )
+                rows = rows.join(found, f"text__{c}", "left")
+                parts[c] = F.coalesce(f"weight__{c}", F.lit(0.0))
+        return rows.select(*df.columns, *[part.alias(f"part__{c}") for c, part in parts.items()])
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds the predicted class and the probability of a repeat purchase."""
         vectors = self.encoding.transform(self.preprocessing.prepare(df))

@@ -120,16 +120,21 @@ class Encoding:
         return assembler.transform(self.encoder.transform(rows))
 
     @property
-    def slots(self) -> DataFrame:
-        """``slot, feature``: the place of every number and category in the vector."""
+    def category_slots(self) -> DataFrame:
+        """``feature, value, slot``: the place of every category in the vector."""
         starts, at = {}, len(self.numeric)
         for c in CATEGORICAL_FEATURES:
             starts[c] = at
             at += self.sizes.get(c, 0)
         start = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair))
-        categories = self.dictionary.select(
-            (start[F.col("feature")] + F.col("index")).cast("int").alias("slot"),
-            F.concat(F.lit("cat__"), "feature", F.lit("_"), "value").alias("feature"),
+        slot = (start[F.col("feature")] + F.col("index")).cast("int")
+        return self.dictionary.select("feature", "value", slot.alias("slot"))
+
+    @property
+    def slots(self) -> DataFrame:
+        """``slot, feature``: the place of every number and category in the vector."""
+        categories = self.category_slots.select(
+            "slot", F.concat(F.lit("cat__"), "feature", F.lit("_"), "value").alias("feature")
         )
         numbers = self.dictionary.sparkSession.createDataFrame(
             list(enumerate(self.numeric)), "slot int, feature string"

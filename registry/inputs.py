@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwright.config import DRIVER_CONFIG
 from cartwright.ml.models import FittedModel, fit_forest, fit_logistic
+from cartwright.ml.scoring import forest_nodes
 from cartwright.ml.split import stratified_split
 from cartwright.operators.sessions import session_table
 from cartwright.operators.shape import shape_events
@@ -97,6 +98,12 @@ def model(spark: SparkSession, sf_dir: str, kind: str) -> FittedModel:
     return fit(part(spark, sf_dir, "train"), LABEL)
 
 
+@lru_cache(maxsize=None)
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of the fitted forest."""
+    return forest_nodes(model(spark, sf_dir, "forest"))
+
+
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed label and score, to check the quality measures against SQL."""
     use_local_folder(spark)

@@ -26,7 +26,7 @@ from cartwright.functions.columns import (
     user_type,
     valid_transaction,
 )
-from cartwright.ml import eda, evaluate, importance, models, preprocess
+from cartwright.ml import eda, evaluate, importance, models, preprocess, scoring
 from cartwright.ml import split as splitting
 from cartwright.operators import cohorts, customers, orders, sessions, shape, shares
 from cartwright.plans import audit, kpi, repeat, retention, segments
@@ -712,6 +712,41 @@ def ml_comparison_fixed_score(spark, sf):
     )
 
 
+def agreement(spark, sf, kind: str) -> DataFrame:
+    """Held-out rows with the model's score and the one found from its tables."""
+    fitted = inputs.model(spark, sf, kind)
+    rows = test(spark, sf)
+    if kind == "logistic":
+        table = scoring.linear_scores(fitted, rows, KEY)
+    else:
+        table = scoring.forest_scores(fitted, inputs.nodes(spark, sf), rows, KEY)
+    return predictions(spark, sf, kind).select(KEY, "score").join(table, KEY, "left")
+
+
+def ml_predict_agreement(spark, sf):
+    """Whether both scores of each held-out row and model agree to 1e-9."""
+    close = F.coalesce(F.abs(F.col("score") - F.col("table_score")) <= 1e-9, F.lit(False))
+    parts = [
+        agreement(spark, sf, kind).select(F.lit(kind).alias("model"), KEY, close.alias("agrees"))
+        for kind in ("logistic", "forest")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def ml_forest_nodes(spark, sf):
+    """Whether each tree of the node table keeps its bounds and its nodes add up."""
+    return scoring.forest_facts(inputs.nodes(spark, sf))
+
+
+def ml_forest_node_importance(spark, sf):
+    """Per slot, whether the importance from the node table is the model's."""
+    fitted = inputs.model(spark, sf, "forest")
+    own = fitted.encoding.named(fitted.classifier.featureImportances.toArray())
+    found = scoring.node_importances(inputs.nodes(spark, sf))
+    gap = F.abs(F.col("value") - F.coalesce("importance", F.lit(0.0)))
+    return own.join(found, "slot", "left").select("feature", (gap <= 1e-9).alias("equal"))
+
+
 def ml_signed_slots(spark, sf):
     """Whether the ten largest and smallest coefficients are those of the whole table."""
     coefs = ml_coefficients(spark, sf)
@@ -897,6 +932,9 @@ def all_queries() -> dict[str, Query]:
         "ml_predict_rows": ml_predict_rows,
         "ml_logistic_optimum": ml_logistic_optimum,
         "ml_forest_slots": ml_forest_slots,
+        "ml_predict_agreement": ml_predict_agreement,
+        "ml_forest_nodes": ml_forest_nodes,
+        "ml_forest_node_importance": ml_forest_node_importance,
         "ml_importance_fixed_score": ml_importance_fixed_score,
         "ml_comparison_fixed_score": ml_comparison_fixed_score,
         "ml_signed_slots": ml_signed_slots,

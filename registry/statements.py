@@ -781,6 +781,11 @@ def model_checks() -> dict[str, str]:
         "ml_model_support": f"""{customer(SPLIT)} SELECT model, {label} AS actual,
             count(*) AS support, count(*) AS matrix_rows FROM sp, {both}
             WHERE split = 'test' GROUP BY ALL""",
+        "ml_predict_agreement": f"""{customer(SPLIT)} SELECT model, user_pseudo_id,
+            true AS agrees FROM sp, {both} WHERE split = 'test'""",
+        "ml_forest_nodes": """SELECT cast(tree AS INTEGER) AS tree, true AS depth_kept,
+            true AS leaves_large, true AS children_add_up FROM range(300) t(tree)""",
+        "ml_forest_node_importance": f"{slots} SELECT feature, true AS equal FROM slots",
         "ml_logistic_optimum": f"{slots} SELECT feature, true AS vanishes FROM slots",
         "ml_forest_slots": f"""{slots} SELECT feature, true AS not_negative,
             cast(1 AS DOUBLE) AS total FROM slots""",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cartwright.ml import evaluate, importance, models, preprocess
+from cartwright.ml import evaluate, importance, models, preprocess, scoring
 from cartwright.sources.schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from cartwright.sources.tables import (
     read_feature_csv,
@@ -152,3 +152,71 @@ def test_evaluation_tables_are_rounded(spark, logistic, tmp_path):
 def test_top_signed_coefficients(spark, logistic):
     top = models.top_signed(models.coefficients(logistic), 3).collect()
     assert [r.direction for r in top] == ["positive"] * 3 + ["negative"] * 3
+
+
+def agrees(model, table, rows):
+    both = model.predict(rows).select(KEY, "score").join(table, KEY).collect()
+    assert len(both) == rows.count()
+    return max(abs(r.score - r.table_score) for r in both)
+
+
+def with_odd_values(rows):
+    """The rows, one without numbers and texts, one with unseen categories."""
+    first = rows.limit(1)
+    empty = first.withColumn(KEY, F.lit("empty")).withColumns(
+        {
+            c: F.lit(None).cast(rows.schema[c].dataType)
+            for c in (*NUMERIC_FEATURES, "first_source", "first_medium")
+        }
+    )
+    unseen = first.withColumn(KEY, F.lit("unseen")).withColumns(
+        {c: F.lit("unseen") for c in ("device_category", "first_source", "first_medium")}
+    )
+    return rows.unionByName(empty).unionByName(unseen)
+
+
+def test_coefficient_table_scores_as_the_classifier(parts, logistic):
+    rows = with_odd_values(parts[1])
+    assert agrees(logistic, scoring.linear_scores(logistic, rows, KEY), rows) < 1e-12
+
+
+def test_node_table_scores_as_the_forest(spark, parts):
+    train, test = parts
+    forest = models.fit_forest(train, LABEL, trees=12, depth=4)
+    nodes = scoring.forest_nodes(forest)
+    rows = with_odd_values(test)
+    assert agrees(forest, scoring.forest_scores(forest, nodes, rows, KEY, depth=4), rows) < 1e-12
+    facts = scoring.forest_facts(nodes, depth=4)
+    assert facts.where("depth_kept AND leaves_large AND children_add_up").count() == 12
+    # the checks can fail
+    assert scoring.forest_facts(nodes, depth=1).where("depth_kept").count() < 12
+    assert scoring.forest_facts(nodes, 4, min_leaf=10_000).where("leaves_large").count() == 0
+    broken = nodes.withColumn("rows", F.when(F.col("node") == 1, 1).otherwise(F.col("rows")))
+    assert scoring.forest_facts(broken, 4).where("NOT children_add_up").count() > 0
+    found = dict(scoring.node_importances(nodes).collect())
+    own = forest.classifier.featureImportances.toArray()
+    assert max(abs(found.get(i, 0.0) - v) for i, v in enumerate(own)) < 1e-9
+
+
+def test_one_leaf_trees_score_too(parts):
+    forest = models.fit_forest(parts[0], LABEL, trees=2, min_leaf=10_000)
+    nodes = scoring.forest_nodes(forest)
+    assert nodes.count() == 2 and scoring.forest_facts(nodes).where("children_add_up").count() == 2
+    rows = parts[1]
+    assert agrees(forest, scoring.forest_scores(forest, nodes, rows, KEY), rows) < 1e-12
+
+
+def test_importance_by_parts_equals_the_general_path(parts, logistic):
+    rows = with_odd_values(parts[1])
+
+    def found(by_parts):
+        table = importance.permutation_importance(
+            logistic, rows, LABEL, KEY, repeats=3, by_parts=by_parts
+        )
+        return {r.feature: (r.importance, r["std"]) for r in table.collect()}
+
+    parts_found, general = found(True), found(False)
+    assert parts_found.keys() == general.keys() and len(general) == 13
+    for name, values in general.items():
+        assert parts_found[name] == pytest.approx(values, abs=1e-12)
+    assert any(v[0] for v in general.values())
