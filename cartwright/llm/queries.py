@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import hamming, hard_negatives, url_filter
+from cartwright.llm import hamming, hard_negatives, line_dedup, url_filter
 from cartwright.llm.alignment import align_tokens
 from cartwright.llm.html_text import extract_text, fit_tag_weights
 from cartwright.llm.language import fit_language_model, held_out, predict_language
-from cartwright.llm.line_dedup import dedup_lines
 from cartwright.llm.near_duplicates import near_duplicates
 from cartwright.llm.neighbours import nearest_vectors
 from cartwright.llm.packing import pack
@@ -24,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select(F.col("row.doc_id").alias("doc_id"), "text", "lines_removed")
 
 
@@ -118,6 +117,7 @@ def all_queries() -> dict[str, Query]:
 
 def all_statements() -> dict[str, str]:
     return {
+        "op1_line_dedup": line_dedup.statement(),
         "op2_exact_top_k": hamming.statement(),
         "op9_url_filters": url_filter.statement(),
         "op12_hard_negatives": hard_negatives.statement(),
