@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,12 @@ from cartwright.functions.columns import raw_day_between
 from cartwright.sources.schema import EVENTS, feature_schema
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Store events by day, so date filters skip whole folders.
+#: Daily shards of an export are folders or files of this name, ending in ``YYYYMMDD``.
+SHARD = "events_"
+
+
+def _by_day(events: DataFrame) -> DataFrame:
+    """Events dealt by day and sorted by type.
 
     Rebalancing lets Spark split a busy day over several tasks and join small
     days in one, by the sizes it sees at run time. Rows are sorted by event type
@@ -21,16 +25,61 @@ def write_events(events: DataFrame, path: str) -> None:
     as purchases, skip the others.
     """
     names = [field.name for field in EVENTS.fields]
-    (
+    return (
         events.select(*names)
         .hint("rebalance", F.col("event_date"))
         .sortWithinPartitions("event_date", "event_name")
+    )
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Store events by day in a new store, so date filters skip whole folders."""
+    _by_day(events).write.partitionBy("event_date").mode("errorifexists").parquet(path)
+
+
+def load_days(events: DataFrame, path: str) -> None:
+    """Add days to a store, or make one; days that are there already are replaced whole.
+
+    Only folders of days in ``events`` are touched, so loading a day again, after a failure
+    or with late events, leaves each event once. An event without a day is an error: no day
+    folder could hold it.
+    """
+    missing = F.raise_error(F.lit("an event has no event_date"))
+    day = F.when(F.col("event_date").isNull(), missing).otherwise(F.col("event_date"))
+    (
+        _by_day(events.withColumn("event_date", day.cast("string")))
         .write.partitionBy("event_date")
-        .mode("errorifexists")
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .parquet(path)
     )
 
 
+def write_shards(events: DataFrame, folder: str, days: list[date]) -> None:
+    """One shard a day, as an export delivers them."""
+    for day in days:
+        raw = day.strftime("%Y%m%d")
+        own = events.where(F.col("event_date") == raw)
+        own.write.mode("overwrite").parquet(f"{folder}/{SHARD}{raw}")
+
+
+def read_shards(
+    spark: SparkSession, folder: str, first_day: date | None = None, last_day: date | None = None
+) -> DataFrame:
+    """Events of the daily shards in ``folder``; with both bounds only their days are listed.
+
+    Days between the bounds may be missing, but not all of them. An event keeps the day it
+    carries, whatever shard it came in.
+    """
+    names = "*"
+    if first_day is not None and last_day is not None:
+        count = (last_day - first_day).days + 1
+        days = [(first_day + timedelta(n)).strftime("%Y%m%d") for n in range(count)]
+        names = "{" + ",".join(days) + "}"
+    shards = spark.read.schema(EVENTS).parquet(f"{folder}/{SHARD}{names}")
+    return shards.where(raw_day_between("event_date", first_day, last_day))
+
+
 def read_events(
     spark: SparkSession, path: str, first_day: date | None = None, last_day: date | None = None
 ) -> DataFrame:

@@ -65,6 +65,22 @@ def src_events(spark, sf):
     )
 
 
+def src_event_days(spark, sf):
+    """Events a day of a store that was loaded in two calls, one day of it twice."""
+    path = staging_path(inputs.use_local_folder(spark), "event-days")
+    events = inputs.events(spark, sf)
+    middle = events.agg(F.percentile(F.col("event_date").cast("int"), 0.5)).first()[0]
+    cut = F.lit(str(int(middle or 0)))
+    tables.load_days(events.where(F.col("event_date") <= cut), path)
+    tables.load_days(events.where(F.col("event_date") > cut), path)
+    tables.load_days(events.where(F.col("event_date") == cut), path)
+    return (
+        tables.read_events(spark, path)
+        .groupBy("event_date")
+        .agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("distinct_events"))
+    )
+
+
 def src_feature_table(spark, sf):
     return inputs.features(spark, sf)
 
@@ -814,6 +830,7 @@ def session_report(function: Callable) -> Query:
 def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "src_events": src_events,
+        "src_event_days": src_event_days,
         "src_feature_table": src_feature_table,
         "src_feature_csv": src_feature_csv,
         "src_profile": src_profile,

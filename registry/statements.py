@@ -73,6 +73,8 @@ def shaping() -> dict[str, str]:
             unnest(cats) AS item_category FROM ev""",
         "shape_item_category_any": f"""{ev} SELECT event_id, nm AS event_name,
             cat AS item_category FROM ev""",
+        "src_event_days": f"""{ev} SELECT strftime(d, '%Y%m%d') AS event_date,
+            count(*) AS events, count(DISTINCT event_id) AS distinct_events FROM ev GROUP BY 1""",
         "shape_event_date": f"""{ev} SELECT event_id, nm AS event_name,
             strftime(d, '%Y%m%d') AS event_date, d AS event_day FROM ev""",
         "shape_event_time": f"""{ev} SELECT event_id, nm AS event_name,

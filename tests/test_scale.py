@@ -1,5 +1,7 @@
 """Operators that cut up hot keys and global orders give the plain result."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import Window as W
@@ -15,7 +17,13 @@ from cartwright.operators.shares import mix_rate_decomposition, with_share
 from cartwright.operators.skew import hot_keys, numbered, running_totals, spread_join
 from cartwright.sources import staging
 from cartwright.sources.driver_events import canonical_events
-from cartwright.sources.tables import read_events, write_events
+from cartwright.sources.tables import (
+    load_days,
+    read_events,
+    read_shards,
+    write_events,
+    write_shards,
+)
 from cartwright.plans import segments
 from cartwright.config import DRIVER_CONFIG
 
@@ -152,6 +160,28 @@ def test_stored_events_are_pruned(spark, tmp_path, capsys):
     assert "int_value" in read and "string_value" not in read and "items" not in read
 
 
+def test_days_are_added_and_replaced(spark, tmp_path):
+    """Two days in two calls, one of them again with other events: each event once."""
+    events = canonical_events(spark, "/root/testdata/sf0.001")
+    days = [r[0] for r in events.select("event_date").distinct().orderBy("event_date").limit(3).collect()]
+    dates = [datetime.strptime(d, "%Y%m%d").date() for d in days]
+    shards, path = f"{tmp_path}/shards", f"{tmp_path}/store"
+    write_shards(events, shards, [dates[0], dates[2]])  # the second day has no shard
+    load_days(read_shards(spark, shards, dates[0], dates[0]), path)
+    load_days(read_shards(spark, shards, dates[1], dates[2]), path)
+    stored = read_events(spark, path)
+    want = events.where(F.col("event_date").isin(days[0], days[2]))
+    assert stored.select("event_id").exceptAll(want.select("event_id")).count() == 0
+    assert stored.count() == want.count() == read_shards(spark, shards).count()
+
+    fewer = events.where(F.col("event_date") == days[2]).limit(2)
+    load_days(fewer, path)
+    counts = dict(read_events(spark, path).groupBy("event_date").count().collect())
+    assert counts == {days[0]: events.where(F.col("event_date") == days[0]).count(), days[2]: 2}
+    with pytest.raises(Exception, match="no event_date"):
+        load_days(fewer.withColumn("event_date", F.lit(None).cast("string")), path)
+
+
 def test_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Context:
         master = "local[2]"
