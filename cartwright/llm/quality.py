@@ -194,14 +194,13 @@ def text_statistics(docs: DataFrame, text_column: str, keep: list[Column]) -> Da
 
 
 def vector(traits: dict[str, float] = TRAITS) -> list[Column]:
-    """The coordinates ``z0, z1, ..`` in fixed point, of rows that have words."""
-    n = F.col("n_words")
+    """The coordinates ``z0, z1, ..`` in fixed point; null in rows without words."""
     transformed = {
-        "ln_words": F.log(n.cast("double")),
-        "ln_word_length": F.log(F.col("word_chars") / n),
-        "sqrt_symbol_share": F.sqrt(F.col("n_symbols") / F.col("word_chars")),
-        "sqrt_dup_line_share": F.sqrt(F.col("n_dup_lines") / F.col("n_lines")),
-        "sqrt_repeat_share": F.sqrt(F.col("n_repeat_words") / n),
+        "ln_words": F.log(F.col("n_words").cast("double")),
+        "ln_word_length": F.log(F.try_divide("word_chars", "n_words")),
+        "sqrt_symbol_share": F.sqrt(F.try_divide("n_symbols", "word_chars")),
+        "sqrt_dup_line_share": F.sqrt(F.try_divide("n_dup_lines", "n_lines")),
+        "sqrt_repeat_share": F.sqrt(F.try_divide("n_repeat_words", "n_words")),
     }
     return [
         F.round(transformed[name] / spread * UNIT).cast("long").alias(f"z{i}")

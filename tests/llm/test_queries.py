@@ -30,6 +30,12 @@ COLUMNS = {
     "op8_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op9_url_filters": "page_id bigint, host string, path string, rule string, verdict string",
     "op10_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint,"
+    " n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op12_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint,"
+    " positive_score bigint, negative_score bigint",
+    "op13_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint,"
+    " n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 
 
