@@ -7,7 +7,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,8 +22,6 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces packed together by one task.
 GROUP_PIECES = 16_384
-#: Of the giving bin, pairs of this many longest pieces are tried.
-PAIRED = 24
 #: Distinct words, and distinct stems, whose ids a worker remembers; the half used least
 #: lately is dropped.
 WORDS_REMEMBERED = 1_000_000
@@ -224,28 +221,49 @@ class LocalSearch:
         takers[giver] = False
         if not takers.any():
             return False
-        items = self.bins[giver]
-        numbers = np.nonzero(takers)[0]
-        others = np.nonzero(takers[self.bin_of])[0]
+        sizes = self._sizes(giver)
+        given = np.array(list(sizes), np.int64)
         best = (0, None)
-        longest = sorted(items, key=lambda i: -self.lengths[i])[:PAIRED]
-        for given in [(i,) for i in items] + list(combinations(longest, 2)):
-            size = int(self.lengths[list(given)].sum())
-            if len(given) == 1:
-                left = np.where(room[numbers] >= size, room[numbers] - size, self.capacity)
-                at = int(left.argmin())
-                if left[at] < self.capacity and size > best[0]:
-                    best = (size, (given, None, int(numbers[at])))
-            gain = size - self.lengths[others]
-            gain[(gain <= 0) | (gain > room[self.bin_of[others]])] = 0
-            if len(gain) and (most := int(gain.max())) > best[0]:
-                other = int(others[gain.argmax()])
-                best = (most, (given, other, int(self.bin_of[other])))
+        fitting = [size for size, items in sizes.items() if len(items) == 1 and size <= room[takers].max()]
+        if fitting:
+            size = max(fitting)
+            left = np.where(takers & (room >= size), room - size, self.capacity)
+            best = (size, (sizes[size], None, int(left.argmin())))
+        others = np.nonzero(takers[self.bin_of])[0]
+        lengths = self.lengths[others]
+        # for each length the largest size that can take its place, then over all shorter ones
+        reach = np.zeros(self.capacity + 1, np.int64)
+        np.maximum.at(reach, lengths, lengths + room[self.bin_of[others]])
+        upto = np.maximum.accumulate(reach)
+        shortest = np.searchsorted(upto, given)
+        gain = np.where(shortest < given, given - shortest, 0)
+        if gain.max() > best[0]:
+            at = int(gain.argmax())
+            enough = lengths + room[self.bin_of[others]] >= given[at]
+            other = int(others[np.nonzero((lengths == shortest[at]) & enough)[0][0]])
+            best = (int(gain[at]), (sizes[int(given[at])], other, int(self.bin_of[other])))
         if best[1] is None:
             return False
         self._exchange(giver, *best[1])
         return True
 
+    def _sizes(self, giver: int) -> dict[int, tuple]:
+        """Every size that a document or two of the bin have together, one choice for each.
+
+        Equal lengths are alike, and a bin holds at most 63 lengths, so all pairs are covered.
+        """
+        by_length: dict[int, list[int]] = {}
+        for item in self.bins[giver]:
+            by_length.setdefault(int(self.lengths[item]), []).append(item)
+        sizes: dict[int, tuple] = {size: (items[0],) for size, items in by_length.items()}
+        ordered = sorted(by_length)
+        for n, small in enumerate(ordered):
+            for large in ordered[n:]:
+                two = (by_length[small] + by_length[large])[:1] + by_length[large][-1:]
+                if two[0] != two[1]:
+                    sizes.setdefault(small + large, tuple(two))
+        return sizes
+
     def _exchange(self, giver: int, given: tuple, other: int | None, taker: int) -> None:
         for item in given:
             self.bins[giver].remove(item)

@@ -99,3 +99,35 @@ def test_never_worse_than_best_fit():
         packed = pack_lengths(lengths, 1000)
         assert -(-lengths.sum() // 1000) <= len(packed) <= len(start)
         assert sorted(i for b in packed for i in b) == list(range(400))
+
+
+def plain_best(search, giver):
+    """The largest gain of any move or exchange of one or two, by trying all."""
+    room, best = search.capacity - search.fill, 0
+    items = search.bins[giver]
+    for n, a in enumerate(items):
+        for given in [(a,), *((a, b) for b in items[n + 1 :])]:
+            size = int(search.lengths[list(given)].sum())
+            for taker, others in enumerate(search.bins):
+                if taker == giver or search.closed[taker] or search.fill[taker] < search.fill[giver]:
+                    continue
+                gains = [size - int(search.lengths[o]) for o in others]
+                gains += [size] if len(given) == 1 else []
+                best = max([best, *(g for g in gains if 0 < g <= room[taker])])
+    return best
+
+
+def test_every_pair_of_the_giving_bin_is_tried():
+    """Many short documents in a bin: the exchange found is the best of all."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        lengths = np.concatenate([rng.integers(1, 30, 60), rng.integers(20, 90, 30)])
+        order = rng.permutation(90)
+        bins = [order[at : at + 15].tolist() for at in range(0, 90, 15)]
+        search = LocalSearch(bins, lengths, int(max(lengths[b].sum() for b in bins)) + 40)
+        giver = int(np.argmin(search.fill))
+        want, before = plain_best(search, giver), int(search.fill[giver])
+        assert search._give(giver) == (want > 0)
+        assert before - int(search.fill[giver]) == want
+        assert sorted(i for b in search.bins for i in b) == list(range(90))
+        assert (search.fill == [lengths[b].sum() for b in search.bins]).all()
