@@ -110,26 +110,39 @@ def _grouped(marked: DataFrame, distance: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least id.
 
-    Of several rows of the group with that id, one stays (the least text, and of equal
-    texts the least row). Rows of other groups never matter, whatever their ids. All
-    columns are kept.
+    Of several rows of the group with that id, one stays (the least hash of the text, and of
+    equal texts the least row). Rows of other groups never matter, whatever their ids. All
+    columns are kept. Survivors are chosen on ids and hashes; a text moves once, to meet them.
     """
     marked = stage(fingerprints(docs, id_column, text_column, 3, digest=True), "fingerprints")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = (
+    alike = (
         _grouped(marked)
         .where(first)
-        .select(_key("doc_id").alias("_key"), F.col("digest").alias("_digest"), F.col("root").alias("_root"))
-        .distinct()
+        .groupBy("root", "digest", _key("doc_id").alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    least = alike.groupBy("root").agg(F.min(F.struct("digest", "key", "n")).alias("least"))
+    kept = stage(
+        least.select(
+            F.col("root").alias("_root"), F.col("least.digest").alias("_digest"),
+            F.col("least.key").alias("_key"), F.col("least.n").alias("_n"),
+        ),
+        "survivors",
+    )
     rows = docs.select(
         F.struct("*").alias("_row"),
         _key(id_column).alias("_key"),
         text_digest(text_column).alias("_digest"),
     )
+    same = ["_key", "_digest"]
+    if kept.where("_n > 1").isEmpty():
+        return rows.join(kept, same, "left_semi").select("_row.*")
     rank = F.struct(F.col("_row")[text_column], *_orderable(docs))
-    joined = rows.join(kept, ["_key", "_digest"])
-    return joined.groupBy("_root").agg(F.min_by("_row", rank).alias("_row")).select("_row.*")
+    alone = rows.join(kept.where("_n = 1"), same, "left_semi").select("_row")
+    several = rows.join(kept.where("_n > 1"), same)
+    one = several.groupBy("_root").agg(F.min_by("_row", rank).alias("_row")).select("_row")
+    return alone.unionByName(one).select("_row.*")
 
 
 def _orderable(docs: DataFrame) -> list[Column]:
