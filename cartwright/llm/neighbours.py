@@ -142,17 +142,19 @@ def visits_needed(router: Router, vectors: np.ndarray, queries: np.ndarray, k: i
 
 
 def fit_router(good: DataFrame, rows: int, k: int = K, recall: float = RECALL) -> Router:
-    """Fit on about ``SAMPLE + HELD_OUT`` of the ``rows`` vectors, drawn by a hash.
+    """Fit on at most ``SAMPLE + HELD_OUT`` of the ``rows`` vectors, drawn by a hash.
+
+    Those with the least hashes of id and vector are taken, repeated rows once.
 
     The number of parts follows the rows, within ``PARTS`` and an eighth of the sample.
     Vectors without neighbourhoods, as random ones, need most parts visited; grouped
     vectors need few.
     """
-    share = min(1.0, (SAMPLE + HELD_OUT) / max(1, rows))
-    drawn = good.where(
-        F.pmod(F.xxhash64(F.lit("router"), "id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    ).limit(2 * (SAMPLE + HELD_OUT))
-    sample = drawn.toPandas().sort_values(["id", "vector"], key=lambda c: c.map(str), ignore_index=True)
+    draw = F.xxhash64(F.lit("router"), "id", "vector")
+    least = good.select("id", "vector").orderBy(draw, "id", "vector").limit(2 * (SAMPLE + HELD_OUT))
+    sample = least.toPandas()
+    rows_drawn = pd.Series(list(zip(sample["id"], sample["vector"].map(tuple))), dtype=object)
+    sample = sample[~rows_drawn.duplicated().to_numpy()].head(SAMPLE + HELD_OUT)
     vectors = matrix(sample["vector"])
     order = np.random.default_rng(7).permutation(len(vectors))
     held = order[: min(HELD_OUT, len(order) // 8)]
@@ -248,9 +250,12 @@ def nearest_vectors(
     placed = stage(routed(good, router, 1), "placed")
     asked = good.where(F.pmod("id", F.lit(every)) == 0)
     asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
+    by_id = placed.groupBy("part", "id").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_id.groupBy("part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids"))
+    held = counts.collect()
+    sizes = {r["part"]: r["n"] for r in held}
     visits = router.visits
-    if sum(sorted(sizes.values())[:visits]) <= k or len(sizes) < visits:
+    if sum(sorted(r["ids"] for r in held)[:visits]) <= k or len(sizes) < visits:
         visits = len(router.bias)
     blocks = F.create_map(
         *(F.lit(x) for part, size in sizes.items() for x in (part, -(-size // block_rows)))

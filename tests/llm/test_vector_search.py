@@ -119,3 +119,17 @@ def test_odd_vectors(spark, search):
     assert search(frame.where("false")).count() == 0
     alone = search(frame.where("vec_id = 0"))
     assert alone.count() == 0
+
+
+@pytest.mark.parametrize("same_vector", [True, False])
+def test_one_id_may_hold_all_rows_and_more_than_a_sample(spark, same_vector):
+    """6,000 rows of one id: nothing else to find, but for the two other rows."""
+    rng = np.random.default_rng(5)
+    vectors = np.float32(rng.normal(size=(6000, 4))).tolist()
+    rows = [(40, vectors[0] if same_vector else v) for v in vectors] + [(1, vectors[1]), (60, vectors[2])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute([(i, [float(x) for x in v]) for i, v in rows], 20, 20, inner, True)
+    found = grouped(nearest_vectors(frame), "score")
+    assert {q: [i for i, _ in hits] for q, hits in found.items()} == {
+        q: [i for i, _ in hits] for q, hits in want.items()
+    }
