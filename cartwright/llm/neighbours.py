@@ -195,17 +195,21 @@ def rank_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
     """The ``k`` rows of largest inner product of each query, ties to the smaller id.
 
     A matrix product proposes the rows; those as good as the k-th are measured again
-    one by one, so that equal vectors get equal scores wherever they stand.
+    one by one, so that equal vectors get equal scores wherever they stand. Rows of one id
+    are one candidate, by the best of them.
     """
+    rows = rows.sort_values("id", kind="stable")
     ids, own = rows["id"].to_numpy(), queries["id"].to_numpy()
     vectors, asked = matrix(rows["vector"]), matrix(queries["vector"])
+    starts = np.nonzero(np.diff(ids, prepend=ids[0] - 1))[0]
     size = np.abs(vectors).max() * np.abs(asked).max() * vectors.shape[1]
     out = []
     for start in range(0, len(own), TOGETHER):
         scores = asked[start : start + TOGETHER] @ vectors.T
         for at, row in enumerate(scores, start):
             row[ids == own[at]] = -np.inf
-            kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            best = np.maximum.reduceat(row, starts) if len(starts) < len(row) else row
+            kth = np.partition(best, -k)[-k] if len(best) > k else -np.inf
             near = np.nonzero((row >= kth - 1e-12 * size) & (row > -np.inf))[0]
             exact = (vectors[near] * asked[at]).sum(axis=1)
             near_ids = ids[near]
