@@ -32,14 +32,24 @@ def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model tells with some confidence."""
+    """Documents in a language that the model tells with some confidence.
+
+    Null, empty and letterless texts have no language and go; repeated rows are judged alike
+    and stay; null ids stay; an empty table stays empty.
+    """
+    use_local_folder(spark)
     found = predict_language(docs, fit_language_model(docs), keep=True)
     sure = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return found.where(sure).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; a document of nothing else goes."""
+    """Texts without repeated passages; a document of nothing else goes.
+
+    Null and empty texts stay as they are; rows that share an id and a text lose the same
+    lines; null ids come last; an empty table stays empty.
+    """
+    use_local_folder(spark)
     found = dedup_lines(docs).where("lines_removed = 0 OR text <> ''")
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     kept = found.select(*columns)
@@ -47,19 +57,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id."""
+    """One document of each group of near duplicates, the one with the least id.
+
+    Null and empty texts are one group; of repeated rows one stays; a null id is the least
+    only where all are null; an empty table stays empty.
+    """
     use_local_folder(spark)
     return one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each secret masked."""
+    """Texts with each secret masked.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, null ids stay, and
+    an empty table stays empty.
+    """
     use_local_folder(spark)
     return _with_text(docs, redact_secrets(docs, fit_formats(docs)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents and their places in sequences."""
+    """Pieces of the remaining documents and their places in sequences.
+
+    A null or empty text is the end id alone; repeated rows are packed each; null ids stay;
+    an empty table gives no rows.
+    """
     use_local_folder(spark)
     return pack(docs)
 
