@@ -9,38 +9,77 @@ a query ends when its k-th measured distance is within that bound.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cartwright.llm.vectors import best_of, finite_vectors, matrix
+from cartwright.llm.vectors import best_of, block_count, finite_vectors, search_blocks
+from cartwright.sources.staging import stage
 
 K = 10
-#: Codes and queries that one task matches.
-BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 4096
+#: Codes that one task matches.
+BLOCK_ROWS = 131_072
 #: Queries advanced together inside a task.
 TOGETHER = 64
 SEGMENT_BITS = 16
 
 
-def pack_signs(vectors: np.ndarray) -> np.ndarray:
-    """One row of bits per vector: 1 where the component is above zero."""
-    return vectors > 0
+def packed_signs(vectors: DataFrame) -> DataFrame:
+    """``id, code``: one bit a component, 1 above zero, zeros up to a whole byte."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            bits = np.packbits(flat.reshape(batch.num_rows, -1) > 0, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([b.tobytes() for b in bits], pa.binary())],
+                names=["id", "code"],
+            )
+
+    return vectors.select("id", "vector").mapInArrow(of, "id long, code binary")
+
+
+def unpacked(codes: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """One row of bits per code, as bytes of 0 and 1."""
+    whole = b"".join(codes.to_pylist())
+    return np.unpackbits(
+        np.frombuffer(whole, np.uint8).reshape(len(codes), -1), axis=1, bitorder="little"
+    )
+
+
+def nearest_owners(codes: DataFrame, k: int) -> DataFrame:
+    """Of each code the ``k + 1`` smallest distinct ids.
+
+    Others of that code cannot be found: ``k`` smaller ids that are not the query's own stand
+    at the same distance. Repeated rows go before the shuffle, and Spark keeps ``k + 1`` ids
+    of a code in each task, so one code may hold any share of the rows.
+    """
+    place = F.row_number().over(W.partitionBy("code").orderBy("id"))
+    return codes.distinct().withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+
+
+@cache
+def flips(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits with ``radius`` ones."""
+    return np.array([sum(1 << i for i in some) for some in combinations(range(width), radius)], np.int64)
 
 
 class MultiIndex:
-    """Segment tables of a block of codes."""
+    """Segment tables of a block of codes; each pair of id and code stands in it once."""
 
     def __init__(self, ids: np.ndarray, bits: np.ndarray):
-        rows = np.unique(np.concatenate([ids[:, None], bits], axis=1), axis=0)
-        self.ids, bits = rows[:, 0], rows[:, 1:].astype(bool)
+        self.ids = ids
         #: Codes that one id has at most; so many more hits make sure of k ids.
         self.each = int(np.unique(self.ids, return_counts=True)[1].max())
-        ids = self.ids
         self.length = bits.shape[1]
         width = int(np.clip(np.log2(max(2, len(ids))), 1, SEGMENT_BITS))
         count = max(1, -(-self.length // width))
@@ -62,18 +101,16 @@ class MultiIndex:
     def _at_radius(self, table: int, queries: np.ndarray, radius: int):
         """Pairs (query number, code number) whose segments differ in ``radius`` bits."""
         a, b = self.parts[table]
-        flips = np.array(
-            [sum(1 << i for i in some) for some in combinations(range(b - a), radius)], np.int64
-        )
-        if not len(flips):
+        masks = flips(b - a, radius)
+        if not len(masks):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        probes = queries[:, None] ^ flips[None, :]
+        probes = queries[:, None] ^ masks[None, :]
         low, high = self.starts[table][probes], self.starts[table][probes + 1]
         sizes = (high - low).ravel()
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         at = np.arange(total) - np.repeat(ends - sizes, sizes) + np.repeat(low.ravel(), sizes)
-        who = np.repeat(np.arange(len(queries)).repeat(len(flips)), sizes)
+        who = np.repeat(np.arange(len(queries)).repeat(len(masks)), sizes)
         return who, self.order[table][at]
 
     def search(self, own_ids: np.ndarray, bits: np.ndarray, k: int) -> pd.DataFrame:
@@ -123,7 +160,6 @@ def nearest_codes(
     every: int = 50,
     k: int = K,
     block_rows: int = BLOCK_ROWS,
-    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, distance``: the ``k`` nearest codes of each query.
 
@@ -134,29 +170,31 @@ def nearest_codes(
     nearest counts as a candidate, and the least vector as the query. An empty table
     gives no rows.
 
-    Rows and queries meet block by block: each task holds one block of codes and one
-    of queries, whose sizes are fixed, and returns ``k`` rows per query.
+    Vectors become codes before any shuffle. Codes are dealt to blocks of about ``block_rows``
+    once; the queries are sent to every block, which returns ``k`` rows for each.
     """
     good = finite_vectors(rows, id_column, vector_column, zero=True, infinite=True)
+    codes = stage(nearest_owners(packed_signs(good), k), "codes")
     asked = good.where(F.pmod("id", F.lit(every)) == 0)
-    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
-    parts = max(1, -(-good.count() // block_rows))
-    sides = max(1, -(-asked.count() // block_queries))
-
-    def dealt(frame: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        return frame.withColumn(own, F.pmod(F.xxhash64("id", "vector"), F.lit(n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
-        )
-
-    def of(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}, dtype=np.int64)
-        index = MultiIndex(codes["id"].to_numpy(), pack_signs(matrix(codes["vector"])))
-        return index.search(queries["id"].to_numpy(), pack_signs(matrix(queries["vector"])), k)
-
-    index = dealt(good, "part", parts, "side", sides).groupBy("part", "side")
-    search = dealt(asked, "side", sides, "part", parts).groupBy("part", "side")
-    found = index.cogroup(search).applyInPandas(of, "query_id long, vec_id long, distance long")
+    asked = packed_signs(asked.groupBy("id").agg(F.min("vector").alias("vector")))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = block_count(codes.count(), block_rows, cores)
+
+    def build(block: pa.Table) -> MultiIndex:
+        return MultiIndex(block["id"].to_numpy(), unpacked(block["code"]))
+
+    def search(index: MultiIndex, queries: pa.RecordBatch) -> pa.RecordBatch:
+        ids, bits = queries.column("id").to_numpy(), unpacked(queries.column("code"))
+        return pa.RecordBatch.from_pandas(index.search(ids, bits, k), preserve_index=False)
+
+    found = search_blocks(
+        codes.withColumn("block", F.pmod(F.xxhash64("id", "code"), F.lit(blocks))),
+        asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))),
+        blocks,
+        build,
+        search,
+        "query_id long, vec_id long, distance long",
+    )
     return best_of(found, k, "distance", largest=False)
 
 

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwright.llm.vectors import best_of, finite_vectors, matrix
+from cartwright.llm.vectors import best_of, block_count, finite_vectors, matrix, search_blocks
 from cartwright.sources.staging import stage
 
 K = 20
@@ -29,12 +29,11 @@ HELD_OUT = 512
 RECALL = 0.95
 GRAPH_NEIGHBOURS = 10
 ROWS_PER_PART = 4096
-PARTS = (8, 128)
-#: Rows and queries that one task matches.
-BLOCK_ROWS = 4096
-BLOCK_QUERIES = 4096
+PARTS = (8, 512)
+#: Rows that one task matches.
+BLOCK_ROWS = 32_768
 #: Queries ranked together inside a task.
-TOGETHER = 256
+TOGETHER = 128
 
 
 def neighbour_graph(vectors: np.ndarray, k: int = GRAPH_NEIGHBOURS) -> np.ndarray:
@@ -191,34 +190,46 @@ def routed(good: DataFrame, router: Router, visits: int) -> DataFrame:
     return good.select("id", "vector").mapInArrow(of, "id long, vector array<double>, part long")
 
 
-def rank_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` rows of largest inner product of each query, ties to the smaller id.
-
-    A matrix product proposes the rows; those as good as the k-th are measured again
-    one by one, so that equal vectors get equal scores wherever they stand. Rows of one id
-    are one candidate, by the best of them.
-    """
-    rows = rows.sort_values("id", kind="stable")
-    ids, own = rows["id"].to_numpy(), queries["id"].to_numpy()
-    vectors, asked = matrix(rows["vector"]), matrix(queries["vector"])
-    starts = np.nonzero(np.diff(ids, prepend=ids[0] - 1))[0]
-    size = np.abs(vectors).max() * np.abs(asked).max() * vectors.shape[1]
-    out = []
-    for start in range(0, len(own), TOGETHER):
-        scores = asked[start : start + TOGETHER] @ vectors.T
-        for at, row in enumerate(scores, start):
-            row[ids == own[at]] = -np.inf
-            best = np.maximum.reduceat(row, starts) if len(starts) < len(row) else row
-            kth = np.partition(best, -k)[-k] if len(best) > k else -np.inf
-            near = np.nonzero((row >= kth - 1e-12 * size) & (row > -np.inf))[0]
-            exact = (vectors[near] * asked[at]).sum(axis=1)
-            near_ids = ids[near]
-            order = np.lexsort((near_ids, -exact))
-            _, firsts = np.unique(near_ids[order], return_index=True)
-            order = order[np.sort(firsts)][:k]
-            out.append((np.full(len(order), own[at]), near_ids[order], exact[order]))
-    query, vec, score = (np.concatenate(x) for x in zip(*out))
-    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+class Block:
+    """Rows in memory, by id, that rank themselves for queries."""
+
+    def __init__(self, rows: pa.Table):
+        ids = rows["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
+        self.vectors = _vectors(rows["vector"].combine_chunks(), len(ids))[order]
+        self.starts = np.nonzero(np.diff(self.ids, prepend=self.ids[0] - 1))[0]
+        self.largest = np.abs(self.vectors).max()
+
+    def rank(self, own: np.ndarray, asked: np.ndarray, k: int) -> pa.RecordBatch:
+        """``query_id, vec_id, score``: the ``k`` rows of largest inner product of each query.
+
+        Ties go to the smaller id. A matrix product proposes the rows; those as good as
+        the k-th are measured again one by one, so that equal vectors get equal scores
+        wherever they stand. Rows of one id are one candidate, by the best of them.
+        """
+        size = self.largest * np.abs(asked).max() * asked.shape[1]
+        repeated = len(self.starts) < len(self.ids)
+        out = []
+        for start in range(0, len(own), TOGETHER):
+            scores = asked[start : start + TOGETHER] @ self.vectors.T
+            for at, row in enumerate(scores, start):
+                row[np.searchsorted(self.ids, own[at]) : np.searchsorted(self.ids, own[at], "right")] = -np.inf
+                best = np.maximum.reduceat(row, self.starts) if repeated else row
+                kth = np.partition(best, -k)[-k] if len(best) > k else -np.inf
+                near = np.nonzero((row >= kth - 1e-12 * size) & (row > -np.inf))[0]
+                exact = (self.vectors[near] * asked[at]).sum(axis=1)
+                near_ids = self.ids[near]
+                order = np.lexsort((near_ids, -exact))
+                _, firsts = np.unique(near_ids[order], return_index=True)
+                order = order[np.sort(firsts)][:k]
+                out.append((np.full(len(order), own[at]), near_ids[order], exact[order]))
+        columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+
+def _vectors(column: pa.ListArray, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
 def nearest_vectors(
@@ -229,7 +240,6 @@ def nearest_vectors(
     k: int = K,
     recall: float = RECALL,
     block_rows: int = BLOCK_ROWS,
-    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found, nearest first.
 
@@ -240,8 +250,8 @@ def nearest_vectors(
     as the query. An empty table gives no rows.
 
     A part that holds many rows, as of one common vector, is cut into blocks of about
-    ``block_rows`` by a hash, and queries into blocks too; a task ranks one block of
-    rows for one block of queries and returns ``k`` rows for each. All parts are
+    ``block_rows`` at random. Rows are dealt to blocks once; a query is sent to every block
+    of the parts it visits, and each returns ``k`` rows for it. All parts are
     searched when the sample is too small to divide or to measure the recall on, and
     when it holds fewer than ``k`` candidates in the visited parts for some query.
     """
@@ -251,7 +261,9 @@ def nearest_vectors(
         schema = "query_id long, rank int, vec_id long, score double"
         return rows.sparkSession.createDataFrame([], schema)
     router = fit_router(good, n, k, recall)
-    placed = stage(routed(good, router, 1), "placed")
+    # Drawn once and stored, so that repeated rows of one id spread over the blocks of their part.
+    draw = (F.rand(7) * (1 << 31)).cast("long").alias("draw")
+    placed = stage(routed(good, router, 1).select("*", draw), "placed")
     asked = good.where(F.pmod("id", F.lit(every)) == 0)
     asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
     by_id = placed.groupBy("part", "id").agg(F.count(F.lit(1)).alias("n"))
@@ -261,31 +273,33 @@ def nearest_vectors(
     visits = router.visits
     if sum(sorted(r["ids"] for r in held)[:visits]) <= k or len(sizes) < visits:
         visits = len(router.bias)
-    blocks = F.create_map(
-        *(F.lit(x) for part, size in sizes.items() for x in (part, -(-size // block_rows)))
-    )
-    sides = max(1, -(-asked.count() // block_queries))
+    # A part's blocks are numbered from ``first``; the parts are at most ``PARTS``.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    share = max(1, cores // len(sizes))
+    numbers, blocks = {}, 0
+    for part, size in sorted(sizes.items()):
+        numbers[part] = (blocks, block_count(size, block_rows, share))
+        blocks += numbers[part][1]
+
+    def of_part(place: int):
+        return F.create_map(*(F.lit(x) for part, own in numbers.items() for x in (part, own[place])))[
+            F.col("part")
+        ]
+
+    def search(block: Block, queries: pa.RecordBatch) -> pa.RecordBatch:
+        asked = _vectors(queries.column("vector"), queries.num_rows)
+        return block.rank(queries.column("id").to_numpy(), asked, k)
 
-    def of(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return rank_block(block, queries, k)
-
-    def every_of(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1).cast("array<long>"))
-
-    at = blocks[F.col("part")]
     index = placed.select(
-        "id", "vector", "part", F.pmod(F.xxhash64("id", "vector"), at).alias("block")
-    ).withColumn("side", every_of(F.lit(sides)))
-    search = (
+        "id", "vector", (of_part(0) + F.pmod("draw", of_part(1))).alias("block")
+    )
+    each = F.sequence(of_part(0), of_part(0) + of_part(1) - 1).cast("array<long>")
+    sent = (
         routed(asked, router, visits)
-        .where(at.isNotNull())
-        .withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)))
-        .withColumn("block", every_of(at))
+        .where(of_part(0).isNotNull())
+        .select("id", "vector", F.explode(each).alias("block"))
     )
-    key = ("part", "block", "side")
-    found = index.groupBy(*key).cogroup(search.groupBy(*key)).applyInPandas(
-        of, "query_id long, vec_id long, score double"
+    found = search_blocks(
+        index, sent, blocks, Block, search, "query_id long, vec_id long, score double"
     )
     return best_of(found, k, "score", largest=True)

@@ -54,7 +54,7 @@ def test_codes_equal_all_pairs(spark, sf):
     vectors = table(spark, sf, "embeddings")
     want = brute(rows_of(vectors), 50, 10, hamming, False)
     assert grouped(nearest_codes(vectors), "distance") == want
-    assert grouped(nearest_codes(vectors, block_rows=90, block_queries=3), "distance") == want
+    assert grouped(nearest_codes(vectors, block_rows=90), "distance") == want
 
 
 @pytest.mark.parametrize("size", [1, 3, 20, 70])
@@ -67,6 +67,28 @@ def test_codes_of_other_lengths(spark, size):
     assert grouped(nearest_codes(frame, every=10, k=5, block_rows=40), "distance") == want
 
 
+def test_one_code_may_hold_most_rows(spark):
+    """Two thirds of the rows are one code, many of them repeated; ties go to the smaller ids."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (i, [1.0] * 24 if i % 3 else rng.choice([-1.0, 1.0], 24).tolist()) for i in range(400)
+    ]
+    rows += rows[:100] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, 10, 5, hamming, False)
+    assert grouped(nearest_codes(frame, every=10, k=5, block_rows=60), "distance") == want
+
+
+@pytest.mark.parametrize("search", [nearest_codes, nearest_vectors])
+def test_only_queries_are_repeated(spark, sf, search):
+    """One generator in the plan, on the side of the queries; codes are shuffled, not vectors."""
+    found = search(table(spark, sf, "embeddings"), block_rows=100)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    rows, queries = plan[plan.index("Union") :].split("Generate explode")
+    assert "Relation [id" in rows and "Relation [id" not in queries
+
+
 def test_recall_of_the_learned_partition(spark, sf):
     vectors = table(spark, sf, "embeddings")
     want = brute(rows_of(vectors), 20, 20, inner, True)
@@ -84,7 +106,7 @@ def test_common_vector_and_ties(spark):
     one = rng.normal(size=8).astype(np.float32).tolist()
     rows = [(i, one if i % 3 == 0 else rng.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = grouped(nearest_vectors(frame, recall=1.0, block_rows=50, block_queries=7), "score")
+    found = grouped(nearest_vectors(frame, recall=1.0, block_rows=50), "score")
     same = brute(rows, 20, 20, inner, True)
     for q in same:
         if q % 3 == 0:
