@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,10 +29,14 @@ KINDS = ("assign", "access", "hex", "format")
 #: Every assignment holds one of these, in either case.
 KEYWORDS = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 
-#: Runs whose format is scored: 12 or more characters, a digit among them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}", re.ASCII)
+#: Runs whose format is scored: all of the least labelled length and more.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{ASSIGN_LENGTH},}}={{0,2}}", re.ASCII)
 DIGIT = re.compile(r"[0-9]")
-#: Labelled values of a kind, and other runs, that are learned from; all documents are searched for them.
+#: Ordinary runs are learned in two kinds, since numbers would be lost among the words.
+ORDINARY = ("word", "number")
+#: Verdicts on formats that a task remembers.
+REMEMBERED = 100_000
+#: Labelled values of a kind, and ordinary runs of one, that are learned from; all documents are searched for them.
 SAMPLE_LABELLED = 400
 SAMPLE_OTHER = 1500
 #: Fewer labelled values of a kind than this teach nothing.
@@ -45,6 +50,9 @@ CLASSES = str.maketrans(
     "0" * 10 + "a" * 6 + "g" * 20 + "A" * 26,
 )
 
+#: A format's symbols, ``0agA+/_-=`` and the end, each equally likely when nothing was learned of a run.
+SYMBOLS = 10
+
 Span = tuple[int, int, str]
 
 
@@ -66,13 +74,11 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str | None, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs to score that touch no span of ``taken``."""
-    found = []
-    for m in CANDIDATE.finditer(text or ""):
-        if DIGIT.search(m[0]) and all(m.end() <= a or m.start() >= b for a, b, _ in taken):
-            found.append(m.span())
-    return found
+def beside(text: str, taken: list[Span]) -> str:
+    """The text with the spans of ``taken`` as blanks; what is left keeps its place."""
+    for start, end, _ in taken:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return text
 
 
 def format_of(run: str) -> str:
@@ -80,29 +86,48 @@ def format_of(run: str) -> str:
     return run.translate(CLASSES)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Formats:
-    """Automata of the labelled kinds and of all other runs."""
+    """Automata of the labelled kinds and of ordinary runs."""
 
     kinds: list[Automaton] = field(default_factory=list)
-    other: Automaton | None = None
+    ordinary: list[Automaton] = field(default_factory=list)
+    verdicts: dict[str, bool] = field(default_factory=dict)
+
+    def odds(self, shape: str) -> float:
+        """Log odds of the likeliest labelled kind against the likeliest other account of the run.
 
-    def is_secret(self, run: str, log_odds: float = LOG_ODDS) -> bool:
+        That is an ordinary kind, or any symbols at all: a run that no automaton knows, or
+        that is too short to tell, is no secret.
+        """
+        secret = max(k.log_likelihood(shape) for k in self.kinds)
+        anything = -(len(shape) + 1) * math.log(SYMBOLS)
+        return secret - max(anything, *(o.log_likelihood(shape) for o in self.ordinary))
+
+    def is_secret(self, run: str) -> bool:
         if not self.kinds:
             return False
-        text = format_of(run)
-        usual = self.other.log_likelihood(text)
-        return any(k.log_likelihood(text) - usual >= log_odds for k in self.kinds)
+        shape = format_of(run)
+        known = self.verdicts.get(shape)
+        if known is None:
+            if len(self.verdicts) >= REMEMBERED:
+                self.verdicts.clear()
+            known = self.odds(shape) >= LOG_ODDS
+            if len(shape) <= 64:
+                self.verdicts[shape] = known
+        return known
 
 
 def _labelled(text: str | None) -> Iterator[tuple[str, str]]:
-    """Credential values by kind, and the other runs, of one text."""
+    """Credential values by kind, and the distinct other runs, of one text."""
+    if not text:
+        return
     spans = base_spans(text)
     for start, end, kind in spans:
         found = text[start:end]
         yield kind, ASSIGN.match(found)[2] if kind == "assign" else found
-    for start, end in candidates(text, spans):
-        yield "other", text[start:end]
+    for run in set(CANDIDATE.findall(beside(text, spans))):
+        yield "number" if DIGIT.search(run) else "word", run
 
 
 def _draw(run: str) -> bytes:
@@ -128,14 +153,15 @@ class Least:
 
 
 def fit_formats(docs: DataFrame, text_column: str = "text") -> Formats:
-    """Learn one automaton per fixed kind, and one of other runs, from the values of all documents.
+    """Learn one automaton per fixed kind, and two of ordinary runs, from the values of all documents.
 
     Of all distinct values of a kind the ``SAMPLE_LABELLED`` with the least hash are
-    learned from, of other runs ``SAMPLE_OTHER``; a kind with fewer than
-    ``LEAST_LABELLED`` values in all documents teaches nothing. Each task keeps no more
+    learned from, of ordinary runs without and with a digit ``SAMPLE_OTHER`` each; a kind with
+    fewer than ``LEAST_LABELLED`` values in all documents teaches nothing. Each task keeps no more
     than twice as many, so neither tasks nor driver grow with the input.
     """
-    limits = dict.fromkeys(("assign", "access", "hex"), SAMPLE_LABELLED) | {"other": SAMPLE_OTHER}
+    limits = dict.fromkeys(("assign", "access", "hex"), SAMPLE_LABELLED)
+    limits |= dict.fromkeys(ORDINARY, SAMPLE_OTHER)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = {kind: Least(limit) for kind, limit in limits.items()}
@@ -158,15 +184,19 @@ def fit_formats(docs: DataFrame, text_column: str = "text") -> Formats:
     for kind, limit in limits.items():
         rows = runs.where(F.col("kind") == kind).orderBy("draw", "run").limit(limit)
         learned[kind] = [format_of(r["run"]) for r in rows.select("run").collect()]
-    other = learned.pop("other")
+    ordinary = [Automaton(learned.pop(kind) or [""]).merge() for kind in ORDINARY]
     kinds = [Automaton(v).merge() for v in learned.values() if len(v) >= LEAST_LABELLED]
-    return Formats(kinds, Automaton(other or [""]).merge())
+    return Formats(kinds, ordinary)
 
 
 def find_spans(text: str | None, formats: Formats) -> tuple[list[Span], list[Span]]:
     """The spans of the fixed formats, and all spans, each by start and then kind."""
     base = base_spans(text)
-    added = [(a, b, "format") for a, b in candidates(text, base) if formats.is_secret(text[a:b])]
+    rest = beside(text or "", base)
+    added = []
+    if any(map(formats.is_secret, set(CANDIDATE.findall(rest)))):
+        runs = CANDIDATE.finditer(rest)
+        added = [(*m.span(), "format") for m in runs if formats.is_secret(m[0])]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
 

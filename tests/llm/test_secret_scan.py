@@ -54,7 +54,7 @@ def formats():
     words = ["".join(rng.choice(["th", "er", "ing", "on", "re"]) for _ in range(7)) + rng.choice("123") for _ in range(300)]
     cards = ["4" + "".join(rng.choice("0123456789") for _ in range(15)) for _ in range(300)]
     kinds = [Automaton(map(format_of, hexes)).merge()]
-    return Formats(kinds, Automaton(map(format_of, words + cards)).merge())
+    return Formats(kinds, [Automaton(map(format_of, some)).merge() for some in (words, cards)])
 
 
 def test_learned_formats_add_spans(formats):
@@ -65,6 +65,44 @@ def test_learned_formats_add_spans(formats):
     assert [(text[a:b], kind) for a, b, kind in every] == [(secret, "format")]
 
 
+def test_every_run_is_scored(formats):
+    """Digit-free runs and the rest of a run beside a base span; words, numbers and short runs stay."""
+    hexes, glued = "decafbadfacedeadbeefbabe", "decafbadfacedeadbeefbab+"
+    text = f"say {hexes[:22]}x and {'fade' * 5} or token=abcdef1é{'c0ffee12' * 2} {glued}"
+    base, every = find_spans(text, formats)
+    added = [s for s in every if s not in base]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]{6,}={0,2}", text)]
+    free = [r for r in runs if all(r[1] <= a or r[0] >= b for a, b, _ in base)]
+    want = [(*r, "format") for r in free if formats.odds(format_of(text[slice(*r)])) >= 13.8]
+    assert added == want and "c0ffee12c0ffee12" in {text[a:b] for a, b, _ in added}
+    for run in ("decade", "facade", "abc123", "QQzzee", "extraordinary", "4410694465293914"):
+        assert not formats.is_secret(run), run
+
+
+def test_remembered_verdicts_equal_plain_scores(formats):
+    """Automata stepped symbol by symbol in plain numbers, over runs of all formats."""
+    rng = random.Random(12)
+
+    def chance(automaton, shape):
+        at, total = 0, 1.0
+        for symbol in [*shape, None]:
+            if at is None:
+                total *= 1e-4
+                continue
+            hits = automaton.ended[at] if symbol is None else automaton.taken[at].get(symbol, 0)
+            total *= hits / automaton.passed[at] if hits else 1e-4
+            at = None if symbol is None else automaton.steps[at].get(symbol)
+        return total
+
+    for _ in range(2000):
+        run = "".join(rng.choice("0a9fzQ-") for _ in range(rng.randint(6, 24)))
+        shape = format_of(run)
+        other = max([10.0 ** -(len(run) + 1), *(chance(o, shape) for o in formats.ordinary)])
+        ratio = max(chance(k, shape) for k in formats.kinds) / other
+        if abs(ratio / 985_000 - 1) > 0.1:
+            assert formats.is_secret(run) == (ratio > 985_000), run
+
+
 def test_merged_automaton_is_smaller_and_a_distribution():
     rng = random.Random(2)
     samples = ["ab" * (1 + int(rng.expovariate(0.5))) for _ in range(500)]
@@ -129,6 +167,6 @@ def test_learned_values_do_not_depend_on_partitions(spark, sf):
     runs = ["b7b8a0c022e6cc4d66", "hunter2hunter2", "plain-words-and-1", "A1B2C3D4E5F6G7H8"]
     assert len(one.kinds) == len(many.kinds) > 0
     for run in map(format_of, runs):
-        assert [k.log_likelihood(run) for k in (*one.kinds, one.other)] == [
-            k.log_likelihood(run) for k in (*many.kinds, many.other)
+        assert [k.log_likelihood(run) for k in (*one.kinds, *one.ordinary)] == [
+            k.log_likelihood(run) for k in (*many.kinds, *many.ordinary)
         ]
