@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -27,6 +28,9 @@ GROUP_PIECES = 16_384
 WORDS_REMEMBERED = 1_000_000
 #: Longer runs without a blank are encoded each time.
 WORD_LENGTH = 64
+#: How a vocabulary prepares and cuts a text whose words can be looked up on their own.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+CUT_AT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of Latin letters with marks behind them. The vocabulary lower-cases the letters and
 #: cuts before the marks, so the two parts can be looked up on their own.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -63,11 +67,30 @@ class Memory:
             self.now, self.before = {}, self.now
 
 
+def cuts_words(tokenizer) -> bool:
+    """Whether the vocabulary lower-cases, and cuts at white space and before marks.
+
+    Read from its settings, which must be ``NORMALIZERS`` and ``CUT_AT``.
+    """
+    settings = json.loads(tokenizer.to_str())
+    steps = (settings["normalizer"] or {}).get("normalizers", [])
+    cuts = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == NORMALIZERS
+        and steps[1]["content"] == " "
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and cuts[0]["pattern"].get("Regex") == CUT_AT
+        and not cuts[1]["add_prefix_space"]
+        and settings["post_processor"] is None
+        and settings["model"]["type"] == "BPE"
+    )
+
+
 class WordIds:
     """Token ids of texts, as little-endian 32-bit bytes, remembered word by word.
 
-    The vocabulary splits at white space before it merges, so the ids of a text are
-    those of its blank-separated parts in a row.
+    A vocabulary that splits at white space before it merges gives a text the ids of its
+    blank-separated parts in a row. Texts of any other vocabulary are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -76,6 +99,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_word = cuts_words(self.tokenizer)
         self.letters = {chr(b): c for b, c in byte_letters().items()}
         self.words, self.stems = Memory(WORDS_REMEMBERED), Memory(WORDS_REMEMBERED)
         self.marks: dict[str, bytes] = {"": b""}
@@ -109,6 +133,8 @@ class WordIds:
         return ids + tail
 
     def of(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return self._encode(text or "")
         words = text.replace("\n", " ").split(" ") if text else []
         now, before = self.words.now, self.words.before
         long = []

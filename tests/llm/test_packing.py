@@ -33,6 +33,15 @@ def test_ids_equal_the_library():
         assert np.frombuffer(words.of(text), "<u4").tolist() == ids_of(text), repr(text)
 
 
+def test_other_vocabularies_are_not_cut_into_words():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordIds(PATH).by_word and not WordIds(path).by_word
+    plain, words = Tokenizer.from_file(path), WordIds(path)
+    for text in (None, "", "It's  We'll\tgo\n\n12 x", "Ünder the Sea, again!", "ſtop " * 50):
+        ids = plain.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(words.of(text), "<u4").tolist() == ids
+
+
 def check(docs, rows, capacity):
     """Every id stands exactly once, in gapless sequences within the capacity."""
     want = defaultdict(int)
