@@ -38,8 +38,11 @@ BLOCKED = (
     "**.zip",
 )
 
-#: Bytes of one padded URL matrix; a longer single URL is a matrix of its own.
+#: Bytes of one padded URL matrix, of the states of its URLs, and of the verdicts of all globs on a
+#: batch; a single URL may take more.
 MATRIX = 8 << 20
+#: URLs of a batch, at most.
+BATCH = 20_000
 
 SCHEME = re.compile(r"://([^/?#]*)([^?#]*)")
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -79,6 +82,10 @@ class GlobAutomaton:
             if not crosses:
                 self.stay[ord("/"), bit // 64] &= ~np.uint64(1 << bit % 64)
 
+    def batch(self) -> int:
+        """URLs whose verdicts fit in a matrix."""
+        return max(1, min(BATCH, MATRIX // max(1, len(self.finals))))
+
     def _row(self, bits: list[int]) -> np.ndarray:
         row = np.zeros(self.words, np.uint64)
         for bit in bits:
@@ -93,7 +100,7 @@ class GlobAutomaton:
         at = 0
         while at < len(order):
             longest = int(lengths[order[at]])
-            some = order[at : at + max(1, MATRIX // max(1, longest))]
+            some = order[at : at + max(1, MATRIX // max(longest, 8 * self.words))]
             out[some] = self._run([texts[i] for i in some], lengths[some])
             at += len(some)
         return out
@@ -134,7 +141,7 @@ def judge_urls(
     automaton = GlobAutomaton([f"*.{place}**" for _, place in ranked] + list(blocked))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 20_000):
+        for batch in pieces(batches, automaton.batch()):
             parts = [host_and_path(u) for u in batch.column(1).to_pylist()]
             fits = automaton.matches([f".{h}{p}".encode() for h, p in parts])
             by_rule, by_glob = fits[:, : len(ranked)], fits[:, len(ranked) :].any(axis=1)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from cartwright.llm.url_filter import BLOCKED, RULES, GlobAutomaton, _pattern, judge_urls
+from cartwright.llm.url_filter import BLOCKED, MATRIX, RULES, GlobAutomaton, _pattern, judge_urls
 
 
 def plain(url):
@@ -63,3 +63,16 @@ def test_automaton_equals_regular_expressions():
     for row, text in zip(found, texts):
         for fits, glob in zip(row, globs):
             assert fits == bool(re.fullmatch(_pattern(glob), text)), (glob, text)
+
+
+def test_many_rules_are_run_in_small_batches(monkeypatch):
+    """10,000 globs over 300 URLs: no state matrix above the bound, same answers as one by one."""
+    globs = [f"**/dir{n:05d}/*.x" for n in range(10_000)]
+    automaton = GlobAutomaton(globs)
+    sizes = []
+    run = automaton._run
+    monkeypatch.setattr(automaton, "_run", lambda t, n: sizes.append(len(t)) or run(t, n))
+    texts = [f".h/a/dir{n * 33:05d}/b.x" for n in range(300)] + [".h/dir00001/c/b.x"]
+    found = automaton.matches([t.encode() for t in texts])
+    assert [row.nonzero()[0].tolist() for row in found] == [[n * 33] for n in range(300)] + [[]]
+    assert max(sizes) * 8 * automaton.words <= MATRIX and automaton.batch() * 10_000 <= MATRIX
