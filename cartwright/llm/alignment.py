@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: tokens of two vocabularies linked where their bytes overlap.
 
-A task encodes a batch of texts with both tokenizers and merges the two rows of byte ends of
-all documents in lockstep: one NumPy state vector holds a pointer into A and one into B for
+A task encodes a slice of a batch with both tokenizers and merges the two rows of byte ends of
+all its documents in lockstep: one NumPy state vector holds a pointer into A and one into B for
 every document (long documents are cut at common ends and have several), each step emits the
 links at the pointers and the cuts where both tokens end, advances the token that ends first,
 and drops the documents that are done.
@@ -31,14 +31,19 @@ from cartwright.llm.sentence_pieces import BLANK
 from cartwright.llm.tables import pieces
 from cartwright.sources.staging import stage
 
-#: Documents and bytes of text that are merged in lockstep, and share one list of pairs.
+#: Documents and bytes of text that share one list of pairs.
 BATCH_ROWS, BATCH_BYTES = 8192, 8 << 20
+#: Characters of text that are encoded and merged in lockstep at once: a task holds some hundred
+#: bytes for each.
+SLICE_CHARS = 1 << 20
 #: Tokens of A after which a document gets another pointer, and where a common end is looked for.
 LANE, LANE_WINDOW = 512, 16
 #: Blank-separated words whose ids a worker remembers; the half used least lately is dropped.
 WORDS_REMEMBERED = 600_000
 #: Longer words are encoded each time.
 WORD_LENGTH = 64
+#: New words that the libraries encode at once: what they return for a word is kilobytes.
+WORDS_AT_ONCE = 4096
 
 
 class Tokenizers:
@@ -136,7 +141,9 @@ class Tokenizers:
                 now[word] = before[word]
             else:
                 fresh.append(word)
-        now.update(zip(fresh, self._checked(fresh)))
+        for start in range(0, len(fresh), WORDS_AT_ONCE):
+            some = fresh[start : start + WORDS_AT_ONCE]
+            now.update(zip(some, self._checked(some)))
         out: list[tuple[bytes, bytes] | None] = []
         for text, words in zip(texts, split):
             found = [now[w] for w in words] if words else None
@@ -240,13 +247,25 @@ ALIGNED = (
 )
 
 
-def _batch(known: Tokenizers, spelled: list[bytes], texts: list[str | None]) -> dict:
-    """Counts, digests and pairs of each text, and the list of all pairs of the batch."""
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``SLICE_CHARS`` characters; a longer one is a slice."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        more = len(text or "")
+        if i > start and size + more > SLICE_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += more
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _slice(known: Tokenizers, spelled: list[bytes], texts: list[str | None]) -> dict:
+    """Counts and digests of each text, and its distinct pairs: ``doc, code, times``, in order."""
     n = len(texts)
     zero = np.zeros(n, np.int64)
-    out = {"n_a": zero, "n_b": zero, "n_groups": zero, "n_links": zero}
-    out |= {"sha": [""] * n, "pairs": [b""] * n, "times": [b""] * n}
-    out |= {"codes": np.zeros(0, np.int64), "docs": np.zeros(0, np.int32)}
+    out = {"n_a": zero, "n_b": zero, "n_groups": zero, "n_links": zero, "sha": [""] * n}
+    out |= {"doc": zero[:0], "code": zero[:0], "times": np.zeros(0, "<i4")}
     found = known.encode(texts)
     there = np.array([i for i, f in enumerate(found) if f], np.int64)
     if not len(there):
@@ -271,21 +290,41 @@ def _batch(known: Tokenizers, spelled: list[bytes], texts: list[str | None]) ->
     del link_a, link_b, ids_a, ids_b, ends_a, ends_b, of_token
     keys.sort()
     first = np.nonzero(np.diff(keys, prepend=-1))[0]
-    times = np.diff(first, append=len(keys)).astype("<i4")
-    keys = keys[first]
-    doc, keys = np.divmod(keys, every)
-    codes = np.unique(keys)
-    places = np.searchsorted(codes, keys).astype("<i4")
-    ends = np.cumsum(np.bincount(doc, minlength=len(there))).tolist()
+    out["times"] = np.diff(first, append=len(keys)).astype("<i4")
+    doc, out["code"] = np.divmod(keys[first], every)
+    out["doc"] = there[doc]
     for name, values in (
         ("n_a", sizes_a), ("n_b", sizes_b), ("n_groups", groups), ("n_links", links),
     ):
         out[name] = zero.copy()
         out[name][there] = values
-    for i, digest, start, end in zip(there.tolist(), digests, [0, *ends], ends):
+    for i, digest in zip(there.tolist(), digests):
         out["sha"][i] = digest
-        out["pairs"][i] = places[start:end].tobytes()
-        out["times"][i] = times[start:end].tobytes()
+    return out
+
+
+def _batch(known: Tokenizers, spelled: list[bytes], texts: list[str | None]) -> dict:
+    """Counts, digests and pairs of each text, and the list of all pairs of the batch.
+
+    Tokens and links are held for a slice of the texts, distinct pairs only for the batch.
+    """
+    bounds = list(_slices(texts)) or [(0, 0)]
+    parts = [_slice(known, spelled, texts[start:end]) for start, end in bounds]
+    out = {
+        name: np.concatenate([part[name] for part in parts])
+        for name in ("n_a", "n_b", "n_groups", "n_links")
+    }
+    out["sha"] = [digest for part in parts for digest in part["sha"]]
+    doc = np.concatenate([part["doc"] + start for part, (start, _) in zip(parts, bounds)])
+    times = np.concatenate([part["times"] for part in parts])
+    keys = np.concatenate([part["code"] for part in parts])
+    del parts
+    codes = np.unique(keys)
+    places = np.searchsorted(codes, keys).astype("<i4")
+    ends = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+    spans = list(zip([0, *ends], ends))
+    out["pairs"] = [places[start:end].tobytes() for start, end in spans]
+    out["times"] = [times[start:end].tobytes() for start, end in spans]
     out["codes"], out["docs"] = codes, np.bincount(places, minlength=len(codes)).astype(np.int32)
     return out
 

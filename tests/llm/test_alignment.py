@@ -124,3 +124,37 @@ def test_pointers_inside_long_documents_change_nothing(monkeypatch):
     starts = [np.concatenate([[0], x[:-1]]) for x in arrays[:2]]
     want = [(i, j) for i in range(300) for j in range(400) if starts[0][i] < ends_b[j] and starts[1][j] < ends_a[i]]
     assert [x for x in several[0] if x[0] < 300] == want
+
+
+def test_tokens_are_held_for_a_slice_only(known, monkeypatch):
+    """Slices change no result; no lockstep sees more tokens than a slice has characters."""
+    words = ["alpha", "beta-2", "café", "x", "(see)", "a  b", None, "", "12,5"]
+    texts = [
+        None if w is None else " ".join([w, "and", words[i % 6]] * (i % 7)) + w
+        for i, w in enumerate(words * 40)
+    ]
+    spelled = [f"{i}{mark}".encode() for i in range(len(known.bytes_a)) for mark in ",|"]
+    spelled += [f"{i}{mark}".encode() for i in range(len(known.bytes_b)) for mark in ",;"]
+    whole_batch = A._batch(known, spelled, texts)
+    seen, merge = [], A.lockstep
+    monkeypatch.setattr(A, "SLICE_CHARS", 300)
+    monkeypatch.setattr(A, "WORDS_AT_ONCE", 2)
+    monkeypatch.setattr(A, "lockstep", lambda *ends: seen.append(len(ends[0])) or merge(*ends))
+    sliced = A._batch(known, spelled, texts)
+    assert len(seen) > 10 and max(seen) <= 300 + len(texts)
+    assert max(seen) < sum(seen) / 10
+    for name, values in whole_batch.items():
+        assert list(values) == list(sliced[name]), name
+    assert A._batch(known, spelled, [])["sha"] == []
+    assert A._batch(known, spelled, [None, ""])["sha"] == ["", ""]
+
+
+def test_new_words_are_encoded_in_groups(known, monkeypatch):
+    """The libraries never get all new words of a batch at once."""
+    sizes, checked = [], A.Tokenizers._checked
+    monkeypatch.setattr(
+        A.Tokenizers, "_checked", lambda self, texts: sizes.append(len(texts)) or checked(self, texts)
+    )
+    monkeypatch.setattr(known, "memory", A.Memory(100_000))
+    found = known.encode([" ".join(f"w{i}" for i in range(20_000))])
+    assert len(found) == 1 and sum(sizes) == 20_000 and max(sizes) <= 5_000
