@@ -220,3 +220,34 @@ def test_importance_by_parts_equals_the_general_path(parts, logistic):
     for name, values in general.items():
         assert parts_found[name] == pytest.approx(values, abs=1e-12)
     assert any(v[0] for v in general.values())
+
+
+def test_training_rows_are_dealt_by_number(parts, monkeypatch):
+    """A fit's tasks follow from the rows, whose stored files are few; one part stays as it is."""
+    train, _ = parts
+    few = train.coalesce(1)
+    seen = []
+
+    class Seeing:
+        def fit(self, rows):
+            seen.append([len(part) for part in rows.rdd.glom().collect()])
+
+    rows = train.count()
+    models.fit(few, LABEL, Seeing(), rows_per_part=max(1, rows // 4))
+    models.fit(few, LABEL, Seeing())
+    assert sum(seen[0]) == sum(seen[1]) == rows
+    assert len(seen[0]) >= 4 and max(seen[0]) < rows
+    assert len(seen[1]) == 1
+
+
+def test_dealt_rows_give_the_same_optimum(parts, logistic):
+    train, _ = parts
+    seen = []
+
+    class Seeing:
+        def fit(self, rows):
+            seen.append(sorted((r.label, r.class_weight, tuple(r.features)) for r in rows.collect()))
+
+    models.fit(train, LABEL, Seeing(), rows_per_part=5)
+    models.fit(train, LABEL, Seeing())
+    assert seen[0] == seen[1]
