@@ -7,6 +7,8 @@ what a model holds can be queried, checked and used without the classifier.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from cartwright.ml.models import FittedModel
 from cartwright.sources.schema import CATEGORICAL_FEATURES
 from cartwright.sources.staging import staging_path
 
+#: (row, tree) pairs of a task that sends rows down the trees.
+PATHS_PER_PART = 500_000
+
 
 def entries(model: FittedModel, df: DataFrame, key: str) -> DataFrame:
     """``key, slot, value`` of the slots that a row fills; ``key`` is distinct.
@@ -94,33 +99,54 @@ def forest_levels(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def forest_scores(
-    model: FittedModel, nodes: DataFrame, df: DataFrame, key: str, depth: int = 8
+    model: FittedModel,
+    nodes: DataFrame,
+    df: DataFrame,
+    key: str,
+    depth: int = 8,
+    paths_per_part: int = PATHS_PER_PART,
 ) -> DataFrame:
     """``key, table_score``: each row goes down all trees together, a level a join.
 
     The node table is bounded by the forest's settings (trees times two to the depth) and
-    broadcast; the leaves' shares of class 1 are averaged in the order of the trees.
+    broadcast; the leaves' shares of class 1 are averaged in the order of the trees. Rows are
+    dealt by the paths they will make: as rows they are so few bytes that they would be one task.
     """
-    rows = (
+    trees = int(model.classifier.getNumTrees)
+    parts = max(1, math.ceil(df.count() * trees / paths_per_part))
+    filled = (
         entries(model, df, key)
+        .repartition(parts, key)
         .groupBy(key)
         .agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("values"))
     )
-    trees = int(model.classifier.getNumTrees)
+    # Numbers stand in the first slots, a category is one in its own: both are short lists.
+    width = len(model.encoding.numeric)
+    slots = F.sequence(F.lit(0), F.lit(width - 1))
+    rows = filled.select(
+        key,
+        F.transform(slots, lambda slot: F.col("values")[slot]).alias("numbers"),
+        F.filter(F.map_keys("values"), lambda slot: slot >= width).alias("ones"),
+    )
     at = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
         "node", F.lit(0)
     )
     inner = F.broadcast(nodes.where("NOT leaf").drop("leaf", "rows", "weights", "gain"))
-    value = F.coalesce(F.col("values")[F.col("slot")], F.lit(0.0))
+    slot = F.col("slot")
+    value = F.when(
+        slot < width, F.coalesce(F.get("numbers", slot), F.lit(0.0))
+    ).otherwise(F.array_contains("ones", slot).cast("double"))
+    # With exists every level is code of its own. With array_contains all levels become one
+    # method, too long for the JVM to compile, and take four times as long.
     goes_left = F.coalesce(
-        F.col("threshold") >= value, F.array_contains("categories", value), F.lit(False)
+        F.col("threshold") >= value, F.exists("categories", lambda c: c == value), F.lit(False)
     )
-    to: Column = F.when(F.col("slot").isNull(), F.col("node")).otherwise(
+    to: Column = F.when(slot.isNull(), F.col("node")).otherwise(
         F.when(goes_left, F.col("left")).otherwise(F.col("right"))
     )
     for _ in range(depth):
         at = at.join(inner, ["tree", "node"], "left").select(
-            key, "values", "tree", to.alias("node")
+            key, "numbers", "ones", "tree", to.alias("node")
         )
     weight = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w)
     leaves = nodes.where("leaf").select(
@@ -128,7 +154,7 @@ def forest_scores(
     )
     in_order = F.sort_array(F.collect_list(F.struct("tree", "share")))
     return (
-        at.drop("values")
+        at.drop("numbers", "ones")
         .join(F.broadcast(leaves), ["tree", "node"])
         .groupBy(key)
         .agg(in_order.alias("shares"))

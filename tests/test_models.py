@@ -251,3 +251,15 @@ def test_dealt_rows_give_the_same_optimum(parts, logistic):
     models.fit(train, LABEL, Seeing(), rows_per_part=5)
     models.fit(train, LABEL, Seeing())
     assert seen[0] == seen[1]
+
+
+def test_forest_paths_are_dealt_by_number(spark, parts):
+    """Rows are few bytes, their paths through all trees many: tasks follow from the paths."""
+    _, test = parts
+    forest = inputs.model(spark, SF, "forest")
+    nodes = inputs.nodes(spark, SF)
+    trees = int(forest.classifier.getNumTrees)
+    few = scoring.forest_scores(forest, nodes, test, KEY)
+    many = scoring.forest_scores(forest, nodes, test, KEY, paths_per_part=trees)
+    assert many.rdd.getNumPartitions() == test.count()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
